@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one NumPy step works on; bounds a Python worker's memory.
 SLICE_BYTES = 2 << 20
@@ -66,6 +68,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -189,3 +196,29 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     begin = np.cumsum(counts) - counts
     return np.arange(total) - np.repeat(begin, counts) + np.repeat(starts, counts)
+
+
+def buckets(spark: SparkSession) -> int:
+    """Groups that hashed keys are dealt to: several for each shuffle partition, so that they even out."""
+    return max(64, 8 * partitions(spark))
+
+
+def blocks(bucket: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
+    """One row per bucket that occurs, with each array's values of it as bytes: a few large rows to shuffle."""
+    order = np.argsort(bucket, kind="stable")
+    held, first = np.unique(bucket[order], return_index=True)
+    last = np.append(first[1:], len(order))
+    columns = [pa.array(held.astype(np.int32))]
+    for x in arrays:
+        data, size = np.ascontiguousarray(x[order]).tobytes(), x.dtype.itemsize
+        columns.append(pa.array([data[a * size : b * size] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, ["bucket", *(f"c{i}" for i in range(len(arrays)))])
+
+
+def unblock(table: pa.Table, dtypes: list[str]) -> list[np.ndarray]:
+    """The arrays of one bucket's rows, joined."""
+    out = []
+    for i, dtype in enumerate(dtypes):
+        parts = [np.frombuffer(x.as_buffer(), dtype) for x in table.column(f"c{i}")]
+        out.append(np.concatenate(parts) if parts else np.zeros(0, dtype))
+    return out
