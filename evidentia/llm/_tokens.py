@@ -9,25 +9,54 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries of a worker's word caches; beyond it they start anew.
-CACHE_WORDS = 600_000
-#: Longer chunks between spaces are encoded but not kept.
-CACHE_CHARS = 64
-
-#: Letters whose lower case is one character for itself, whatever stands beside it.
-LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
-#: ASCII punctuation without apostrophe, `<`, `|` and `_`.
-MARKS = r"!\"#$%&()*+,\-./:;=>?@\[\\\]^`{}~"
-PLAIN = re.compile(f"([{LETTERS}]+)([{MARKS}]*)").fullmatch
+from ._shared import BASE, LOWER, mix, prefix_hash, ranges, span_hash, word_spans
+
+#: A worker remembers the ids of this many words twice over: a full table becomes the older one.
+CACHE_WORDS = 300_000
+#: Bytes of a word that is remembered.
+CACHE_BYTES = 64
+#: Words that the library is given at once.
+TOGETHER = 2000
+
+SPACE, LETTER, MARK, ODD = range(4)
+#: Kinds of bytes. Spaces are the space and the line feed; marks are ASCII punctuation without apostrophe, `<`, `|` and `_`.
+KIND = np.full(256, ODD, np.uint8)
+KIND[[0x20, 0x0A]] = SPACE
+KIND[65:91] = KIND[97:123] = LETTER
+KIND[[ord(c) for c in r"""!"#$%&()*+,-./:;=>?@[\]^`{}~"""]] = MARK
+#: Lead bytes of U+00C0 to U+017F, which are letters but for two signs; dotted capital I is left out with them.
+LEADS = (0xC3, 0xC4, 0xC5)
+NOT_LETTERS = (0xC397, 0xC3B7, 0xC4B0)
+WORD_TAG, MARK_TAG, RAW_TAG = 0, 1, 2
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    out = KIND[data]
+    lead = np.flatnonzero((data >= LEADS[0]) & (data <= LEADS[-1]))
+    if len(lead):
+        pair = data[lead].astype(np.uint16) << 8 | data[lead + 1]
+        good = lead[~np.isin(pair, NOT_LETTERS)]
+        out[good] = out[good + 1] = LETTER
+    return out
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A to Z and U+00C0 to U+00DE in lower case; the library lowers the rest."""
+    out = LOWER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    high = second[(data[second] <= 0x9E) & (data[second] != 0x97)]
+    out[high] += 0x20
+    return out
 
 
 class Encoder:
-    """Ids of texts without added special tokens, as little-endian integers of `width` bytes.
+    """Ids of texts without added special tokens, little-endian.
 
     If the vocabulary drops white space and ends words by a suffix, a text's ids are the ids of its
     chunks between spaces in turn: normalisation, splitting and merging never look across a space.
-    A chunk of letters and trailing punctuation is the ids of both parts. Anything else, and every
-    other kind of vocabulary, goes to the library as it is.
+    A chunk of letters and trailing punctuation is the ids of both parts. Any other chunk goes to the
+    library as it is, and so do whole texts of every other kind of vocabulary. Which words of a step are
+    the same is told by 64-bit hashes; each different one is looked up, or encoded, once.
     """
 
     def __init__(self, path: str):
@@ -53,110 +82,110 @@ class Encoder:
         self.ends = np.zeros(self.size, bool)
         for token, i in vocab.items():
             self.ends[i] = bool(self.suffix) and token.endswith(self.suffix)
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.whole = self.whole_tokens()
 
-    @lru_cache(maxsize=1)  # noqa: B019  one encoder lives as long as its worker
-    def whole_tokens(self) -> frozenset[str]:
-        """Vocabulary strings of lower-case letters that the library proves to encode alone as one token."""
+    def whole_tokens(self) -> dict[bytes, bytes]:
+        """Vocabulary strings of lower-case letters that the library proves to encode alone as one token, with its id."""
         if not self.by_word:
-            return frozenset()
+            return {}
         stems = [t.removesuffix(self.suffix) for t in self.library.get_vocab(with_added_tokens=False) if t.endswith(self.suffix)]
-        stems = sorted({s for s in stems if s and s == s.lower() and re.fullmatch("[a-z]+", s)})
-        return frozenset(s for s, ids in zip(stems, self._words(stems), strict=True) if len(ids) == self.dtype.itemsize)
+        stems = sorted({s for s in stems if re.fullmatch("[a-z]+", s)})
+        return {b"\0" + s.encode(): ids for s, ids in zip(stems, self._words(stems), strict=True) if len(ids) == self.dtype.itemsize}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters: encoded as one text, cut behind the ids that end a word."""
-        if not words:
-            return []
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, self.dtype)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):
-            return self._plain(words)
-        data, cuts = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
-        return [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that are not kept yet."""
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        out, split, words, plain = {}, [], set(), set()
-        for chunk in missing:
-            if (m := PLAIN(chunk)) is None:
-                plain.add(chunk)
+        out: list[bytes] = []
+        for k in range(0, len(words), TOGETHER):
+            some = words[k : k + TOGETHER]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
+                out += self._plain(some)
                 continue
-            word, marks = m[1].lower(), m[2]
-            split.append((chunk, word, marks))
-            if word not in self.parts:
-                words.add(word)
-            if marks and marks not in self.parts:
-                plain.add(marks)
-        fresh = dict(zip(words, self._words(list(words)), strict=True))
-        fresh.update(zip(plain, self._plain(list(plain)), strict=True))
-        part = lambda x: fresh[x] if x in fresh else self.parts[x]
-        for chunk, word, marks in split:
-            out[chunk] = part(word) + part(marks) if marks else part(word)
-        for chunk in plain:
-            out[chunk] = fresh[chunk]
-        self.parts.update((k, v) for k, v in fresh.items() if len(k) <= CACHE_CHARS)
+            data, ends = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
+            out += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self._plain(texts)
-        if len(self.chunks) > CACHE_WORDS:
-            self.chunks.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        seen: set[str] = set()
-        for chunks in split:
-            seen.update(chunks)
-        held = self.chunks
-        fresh = self._learn([c for c in seen if c not in held])
-        held.update((k, v) for k, v in fresh.items() if len(k) <= CACHE_CHARS)
-        long = {k: v for k, v in fresh.items() if len(k) > CACHE_CHARS}
-        if long:
-            return [b"".join([long[c] if c in long else held[c] for c in chunks]) for chunks in split]
-        return [b"".join(map(held.__getitem__, chunks)) for chunks in split]
-
-
-class Counter:
-    """Token counts: pre-tokens proven to be whole tokens count as one, all others are merged."""
-
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
-        self.whole = encoder.whole_tokens()
-        self.chunks: dict[str, int] = {}
-
-    def count(self, texts: list[str]) -> list[int]:
-        size = self.encoder.dtype.itemsize
-        if not self.encoder.by_word:
-            return [len(x) // size for x in self.encoder.encode(texts)]
-        if len(self.chunks) > CACHE_WORDS:
-            self.chunks.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        seen: set[str] = set()
-        for chunks in split:
-            seen.update(chunks)
-        held, whole = self.chunks, self.whole
-        missing = [c for c in seen if c not in held]
-        fresh = {c: 1 for c in missing if c.lower() in whole and c.isascii()}
-        merged = self.encoder._learn([c for c in missing if c not in fresh])
-        fresh.update((c, len(ids) // size) for c, ids in merged.items())
-        held.update((k, v) for k, v in fresh.items() if len(k) <= CACHE_CHARS)
-        long = {k: v for k, v in fresh.items() if len(k) > CACHE_CHARS}
-        if long:
-            return [sum([long[c] if c in long else held[c] for c in chunks]) for chunks in split]
-        return [sum(map(held.__getitem__, chunks)) for chunks in split]
+    def _look_up(self, keys: list[bytes]) -> list[bytes]:
+        """Ids of words, which are given with their tag in front."""
+        new, old, whole = self.new, self.old, self.whole
+        out: list = [None] * len(keys)
+        missing = []
+        for i, key in enumerate(keys):
+            ids = whole.get(key)
+            if ids is None:
+                ids = new.get(key)
+                if ids is None:
+                    ids = old.get(key)
+                    if ids is None:
+                        missing.append(i)
+                        continue
+                    new[key] = ids
+            out[i] = ids
+        words = [i for i in missing if keys[i][0] == WORD_TAG]
+        others = [i for i in missing if keys[i][0] != WORD_TAG]
+        for some, ids in ((words, self._words([keys[i][1:].decode() for i in words])), (others, self._plain([keys[i][1:].decode() for i in others]))):
+            for i, x in zip(some, ids, strict=True):
+                out[i] = x
+                if len(keys[i]) <= CACHE_BYTES:
+                    new[keys[i]] = x
+        if len(new) > CACHE_WORDS:
+            self.new, self.old = {}, new
+        return out
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray):
+        """Words of the texts in turn: which different word each is, the ids of those, and each text's first word."""
+        kind = kinds(data)
+        starts, ends, first = word_spans(kind != SPACE, offsets)
+        letters = np.concatenate([[0], np.cumsum(kind == LETTER)])
+        odd = np.concatenate([[0], np.cumsum(kind == ODD)])
+        core = starts + letters[ends] - letters[starts]
+        plain = (odd[ends] == odd[starts]) & (core > starts) & (letters[core] - letters[starts] == core - starts)
+        core[~plain] = ends[~plain]
+        low = lowered(data)
+        two = core < ends
+        at = np.arange(len(starts)) + np.cumsum(two) - two
+        n = len(starts) + int(two.sum())
+        a, b, tag = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.uint8)
+        a[at], b[at], tag[at] = starts, core, np.where(plain, WORD_TAG, RAW_TAG)
+        a[at[two] + 1], b[at[two] + 1], tag[at[two] + 1] = core[two], ends[two], MARK_TAG
+        h = span_hash(prefix_hash(low, BASE), BASE, a, b)
+        raw = tag == RAW_TAG
+        if raw.any():
+            h[raw] = span_hash(prefix_hash(data, BASE), BASE, a[raw], b[raw])
+        h = mix(h ^ (b - a).astype(np.uint64) << np.uint64(40) ^ tag.astype(np.uint64) << np.uint64(62))
+        _, one, which = np.unique(h, return_index=True, return_inverse=True)
+        text, raw_text = low.tobytes(), data.tobytes()
+        tags = (b"\0", b"\1", b"\2")
+        keys = [tags[t] + (raw_text if t == RAW_TAG else text)[x:y] for t, x, y in zip(tag[one].tolist(), a[one].tolist(), b[one].tolist(), strict=True)]
+        return which, self._look_up(keys), np.searchsorted(a, offsets)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (UTF-8 bytes and where each begins), and where each text's ids begin."""
+        if not self.by_word or not len(data):
+            whole = data.tobytes()
+            found = self._plain([whole[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+            return np.frombuffer(b"".join(found), self.dtype), np.cumsum([0, *map(len, found)]) // self.dtype.itemsize
+        which, found, first = self._pieces(data, offsets)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        each = sizes[which]
+        return ids[ranges((np.cumsum(sizes) - sizes)[which], each)], np.concatenate([[0], np.cumsum(each)])[first]
+
+    def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Ids of each text, counted: words proven to be whole tokens are one, the others are merged once each."""
+        if not self.by_word or not len(data):
+            return np.diff(self.encode(data, offsets)[1])
+        which, found, first = self._pieces(data, offsets)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        return np.diff(np.concatenate([[0], np.cumsum(sizes[which])])[first])
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
-
-
-@lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    return Counter(encoder(path))

@@ -28,12 +28,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None, i
         held = _tokens.encoder(tokenizer)
         end = [] if end_id is None else [end_id]
         for batch in batches:
-            texts = large(batch.column(1))
-            _, offsets = utf8(texts)
+            data, offsets = utf8(large(batch.column(1)))
             for a, b in slices(offsets):
                 rows: tuple[list, ...] = ([], [], [], [], [])
-                for at, data in enumerate(held.encode(texts[a:b].to_pylist()), a):
-                    ids = np.append(np.frombuffer(data, held.dtype).astype("<u4"), np.array(end, "<u4"))
+                found, first = held.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                found = found.astype("<u4")
+                for at, x, y in zip(range(a, b), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    ids = np.append(found[x:y], np.array(end, "<u4"))
                     n = len(ids)
                     for start in range(0, n, capacity):
                         part = ids[start : start + capacity]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +24,14 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
     bound_batches(docs.sparkSession)
 
     def count(batches):
-        held = _tokens.counter(tokenizer)
+        held = _tokens.encoder(tokenizer)
         for batch in batches:
-            texts = large(batch.column(1))
-            _, offsets = utf8(texts)
-            n: list[int] = []
+            data, offsets = utf8(large(batch.column(1)))
+            n = np.zeros(batch.num_rows, np.int64)
             for a, b in slices(offsets):
-                n += held.count(texts[a:b].to_pylist())
+                n[a:b] = held.count(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             sizes = pa.array(offsets[1:] - offsets[:-1], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(n)], ["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")

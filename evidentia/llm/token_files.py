@@ -35,7 +35,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
         .orderBy("h", "text").limit(SAMPLE_DOCS).collect()
     )
     held = _tokens.encoder(tokenizer)
-    samples = [x[:SAMPLE_BYTES] for x in held.encode([r["text"] for r in rows]) if x]
+    ids, first = held.encode(*utf8(pa.array([r["text"] for r in rows], pa.large_string())))
+    samples = [x for a, b in zip(first[:-1], first[1:], strict=True) if (x := ids[a:b].tobytes()[:SAMPLE_BYTES])]
     try:
         size = min(DICTIONARY_BYTES, max(256, sum(map(len, samples)) // 10))
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -70,13 +71,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
         held = _tokens.encoder(tokenizer)
         end = b"" if end_id is None else np.array([end_id], held.dtype).tobytes()
         for batch in batches:
-            texts = large(batch.column(1))
-            _, offsets = utf8(texts)
+            data, offsets = utf8(large(batch.column(1)))
             ids = np.asarray(batch.column(0), np.int64)
             shard = np.searchsorted(bounds, ids, "left").astype(np.int32)
             for a, b in slices(offsets):
-                data = [x + end for x in held.encode(texts[a:b].to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[a:b]), pa.array(ids[a:b]), pa.array(data, pa.binary())], ["shard", "id", "ids"])
+                found, first = held.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                whole, cut = found.tobytes(), (first * held.dtype.itemsize).tolist()
+                each = [whole[x:y] + end for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[a:b]), pa.array(ids[a:b]), pa.array(each, pa.binary())], ["shard", "id", "ids"])
 
     def pack(batches):
         held = _tokens.encoder(tokenizer)
