@@ -148,7 +148,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
         up[0] = down[0] = 1
         held = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if size <= SLICE_BYTES * 8:
+        if size <= SLICE_BYTES * 2:
             _powers[int(base)] = held
     return held
 

@@ -153,3 +153,13 @@ def score_with_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     model = train(docs, labels.where(~held_out(id_col)), id_col, text_col)
     scored = score(docs, model, id_col, text_col)
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that a model of the labels outside the held-out fold does not reject (score of 0.5 or
+    more), all their columns unchanged."""
+    names = docs.columns
+    model = train(docs, labels.where(~held_out()))
+    renamed = docs.select(F.col(text_col).alias("_text"), *(F.col(f"`{n}`").alias(f"k{i}") for i, n in enumerate(names)))
+    scored = score(renamed, model, "k0", "_text", tuple(f"k{i}" for i in range(len(names))))
+    return scored.where(F.col("score") >= 0.5).select(*(F.col(f"k{i}").alias(n) for i, n in enumerate(names)))
