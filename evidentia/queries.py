@@ -1,0 +1,291 @@
+"""Queries over the test tables, one for each operator; their SQL twins are in oracle.py.
+
+The chunk table is made of documents, embeddings (by id), labels and events, with gaps by fixed rules so that
+every kind of missing value occurs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import metadata as M
+from .functions import text as X
+from .operators import duplicates, features, knn
+from .operators.features import Thresholds
+from .plans import findings as N
+from .plans import report
+from .plans.scan import Limits, ScanResult, scan
+from .sources.catalog import Catalog, soft_delete_counts
+from .sources.chunks import chunk_view, deterministic_sample
+from .sources.introspect import fingerprint
+from .sources.mapping import Mapping
+from .streaming import incremental
+
+#: SQL that Spark and DuckDB read alike.
+META = (
+    "CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 50 = 1 THEN '{}' ELSE '{' || '\"lang\":\"' || lang || '\"' || CASE WHEN doc_id % 3 <> 0 THEN ',\"source\":\"' || source || '\"' ELSE '' END"
+    " || CASE WHEN quality IS NOT NULL THEN ',\"quality\":' || CAST(quality AS STRING) ELSE '' END || ',\"score\":' || CASE WHEN doc_id % 2 = 0 THEN '1.5' ELSE '\"1\"' END"
+    " || CASE WHEN doc_id % 10 = 3 THEN ',\"tags\":[]' WHEN doc_id % 10 = 5 THEN ',\"tags\":[\"a\"]' WHEN doc_id % 10 = 7 THEN ',\"tags\":null' WHEN doc_id % 10 = 9 THEN ',\"tags\":{\"k\":true}' ELSE '' END || '}' END"
+)
+COLUMNS = {
+    "id": "doc_id", "body": "text", "embedding": "embedding", "meta": META, "url": "CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN '  ' ELSE source END", "doc": "CAST(doc_id % 200 AS STRING)",
+    "updated_at": "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE ts END", "deleted_at": "CASE WHEN doc_id % 11 = 0 THEN ts ELSE NULL END", "archived": "CASE WHEN doc_id % 13 = 0 THEN true WHEN doc_id % 13 = 1 THEN NULL ELSE false END",
+}
+MAPPING = Mapping.of("public.corpus", "body", "embedding", "meta", None, "url", "updated_at")
+CHANGED = "2024-01-02T00:00:00Z"
+LOW_COSINE, SAMPLE, SEED, LEAST_CHUNKS, LEAST_DOCUMENTS = 0.40, 100, "my-rag", 1_500, 150
+LOOSE = Thresholds(many_emails=0)
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    docs = read("documents").select("doc_id", "text", "lang", "source")
+    docs = docs.join(read("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    docs = docs.join(read("labels").select("doc_id", "quality"), "doc_id", "left")
+    docs = docs.join(read("events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id", "left")
+    return docs.selectExpr(*(f"{sql} AS {name}" for name, sql in COLUMNS.items()))
+
+
+def view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_view(corpus(spark, sf_dir), MAPPING, "id")
+
+
+def rows(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    return features.features(view(spark, sf_dir), thresholds)
+
+
+def normalize_hash(spark, d):
+    return view(spark, d).select("ref", "content_hash", F.col("length").cast("long").alias("length"))
+
+
+def exact_duplicate_groups(spark, d):
+    return duplicates.exact_groups(view(spark, d)).select("content_hash", "members", "first_ord", F.array_join("refs", ",").alias("refs"))
+
+
+def exact_duplicate_summary(spark, d):
+    held = view(spark, d)
+    total = held.agg(F.count("*").alias("total_chunks"))
+    return duplicates.exact_summary(held).crossJoin(F.broadcast(total)).withColumn("corpus_pct", F.col("exact_rows") / F.col("total_chunks") * 100)
+
+
+def near_neighbor_top1(spark, d):
+    return knn.nearest_neighbors(view(spark, d), 2000).select("ref", "neighbor_ref", F.round("similarity", 4).alias("similarity"))
+
+
+def near_duplicate_pairs(spark, d):
+    return knn.near_pairs(knn.nearest_neighbors(view(spark, d), 2000), LOW_COSINE).select("ref", "neighbor_ref", F.round("similarity", 4).alias("similarity"))
+
+
+def near_duplicate_summary(spark, d):
+    found = knn.nearest_neighbors(view(spark, d), 2000)
+    count = lambda t: knn.near_pairs(found, t).agg(F.count("*").alias(f"pairs_{round(t * 100)}"))
+    return found.agg(F.count_distinct("ref").alias("probes")).crossJoin(count(Thresholds().near_duplicate_cosine)).crossJoin(count(LOW_COSINE))
+
+
+def thin_reason_per_chunk(spark, d):
+    return rows(spark, d).select("ref", "thin_reason")
+
+
+def thin_summary(spark, d):
+    return features.counters(rows(spark, d)).select("scanned", "short", "link_density", "mid_sentence")
+
+
+def link_density(spark, d):
+    return view(spark, d).select("ref", X.link_density(F.col("content_sample")).alias("density"))
+
+
+def mid_sentence(spark, d):
+    return view(spark, d).select("ref", X.mid_sentence(F.col("content_sample")).alias("mid_sentence"))
+
+
+def risky_per_chunk(spark, d):
+    held = rows(spark, d, LOOSE)
+    return held.select("ref", "risk", F.size("secrets").cast("long").alias("n_secrets"), F.col("email_count").cast("long").alias("email_count"), F.array_join("markers", ",").alias("markers"))
+
+
+def risky_summary(spark, d):
+    return features.counters(rows(spark, d, LOOSE)).select("scanned", "critical", "warning")
+
+
+def email_counts(spark, d):
+    held = spark.read.parquet(f"{d}/documents.parquet")
+    return held.select("doc_id", X.email_count(F.col("text")).cast("long").alias("n_emails"))
+
+
+def secret_matches(spark, d):
+    """Secrets of whole texts, redacted: the test tables have most of theirs beyond the sample."""
+    held = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(X.secrets(F.col("text"))).alias("s"))
+    return held.groupBy("doc_id", "s.pattern", "s.redacted").agg(F.count("*").alias("n"))
+
+
+def freshness_summary(spark, d):
+    return features.counters(rows(spark, d), CHANGED).select("scanned", "measured", "missing_timestamps", "stale", ((F.col("stale") + F.col("missing_timestamps")) / F.col("scanned") * 100).alias("stale_pct"))
+
+
+def stale_documents(spark, d):
+    return view(spark, d).where(F.col("updated_present") & (F.col("updated_at") < F.lit(CHANGED).cast("timestamp"))).select("ref", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("updated_at"))
+
+
+def embedding_dims_histogram(spark, d):
+    return features.dims_histogram(view(spark, d))
+
+
+def null_embeddings(spark, d):
+    return features.counters(rows(spark, d)).select("scanned", "null_embeddings")
+
+
+def length_percentiles(spark, d):
+    return features.counters(rows(spark, d)).select("p50_chars", "p95_chars", "max_chars", "large")
+
+
+def missing_metadata(spark, d):
+    return features.counters(rows(spark, d)).select("scanned", "missing_metadata")
+
+
+def metadata_key_presence(spark, d):
+    return features.key_kinds(view(spark, d)).groupBy("key").agg(F.sum("n").alias("present_rows"))
+
+
+def metadata_type_mix(spark, d):
+    return features.key_kinds(view(spark, d))
+
+
+def inconsistent_keys(spark, d):
+    held = view(spark, d)
+    return features.inconsistent_keys(features.key_kinds(held), held.count()).select("key", "present_rows")
+
+
+def mixed_type_keys(spark, d):
+    held = features.mixed_keys(features.key_kinds(view(spark, d)))
+    return held.select("key", "rows", F.array_join(F.transform("types", lambda t: F.concat(t["kind"], F.lit("="), t["n"].cast("string"))), ",").alias("types"))
+
+
+def safe_keys(spark, d):
+    return features.key_kinds(view(spark, d)).select(M.safe_key(F.col("key")).alias("key")).distinct()
+
+
+def source_locator_coverage(spark, d):
+    return features.counters(rows(spark, d)).select("scanned", "source_rows")
+
+
+def source_locator_per_chunk(spark, d):
+    return rows(spark, d).select("ref", "source_locator_present", "has_source", "has_structured")
+
+
+def table_like_per_chunk(spark, d):
+    return rows(spark, d).select("ref", "table_like", (F.col("table_like") & ~F.col("has_structured")).alias("unlocated"))
+
+
+def inventory_gap(spark, d):
+    row = corpus(spark, d).agg(F.count("*").alias("chunks"), F.count_distinct("doc").alias("documents")).first()
+    found, cover = N.inventory(N.Inventory(LEAST_CHUNKS, LEAST_DOCUMENTS, row["documents"]), row["chunks"])
+    return spark.createDataFrame([(f.title, f.severity, f.affected, cover) for f in found], "title string, severity string, affected long, coverage long")
+
+
+def soft_delete(spark, d):
+    return spark.createDataFrame([soft_delete_counts(corpus(spark, d))], "marked_rows long, total_rows long")
+
+
+def sampled(spark, d):
+    return deterministic_sample(view(spark, d), SEED, SAMPLE).select("ref")
+
+
+def distinct_documents(spark, d):
+    return chunk_view(corpus(spark, d), Mapping.of("public.corpus", "body", "embedding", documentId="doc"), "id").agg(F.count_distinct("document_id").alias("documents"))
+
+
+def json_path_extract(spark, d):
+    """Fields mapped to keys of the metadata."""
+    mapping = Mapping.of("public.corpus", "body", "embedding", "meta", "meta:meta.score", "meta:meta.source")
+    return chunk_view(corpus(spark, d), mapping, "id").select("ref", "document_id", "source_locator_present")
+
+
+def average_text_length(spark, d):
+    """Over whole columns: a limit without an order has no twin."""
+    held = Catalog.of_parquet(spark, {n: f"{d}/{n}.parquet" for n in ("documents", "conversations", "benchmark")})
+    return spark.createDataFrame([(n, held.average_length(n, "text", None)) for n in ("documents", "conversations", "benchmark")], "name string, avg_length double")
+
+
+def json_keys(spark, d):
+    held = spark.read.parquet(f"{d}/events.parquet").select(F.explode(F.json_object_keys("props")).alias("key"))
+    return held.distinct()
+
+
+def candidate_tables(spark, d):
+    names = ["documents", "embeddings", "pages", "events", "labels"]
+    held = Catalog.of_parquet(spark, {n: f"{d}/{n}.parquet" for n in names}).candidates()
+    return spark.createDataFrame([(c.qualified, c.estimated_rows, ",".join(c.vectors)) for c in held], "name string, estimated_rows long, vectors string")
+
+
+def fingerprint_columns(spark, d):
+    held = Catalog({"corpus": corpus(spark, d)}, {"corpus": 0})
+    found, digest = fingerprint(held, held.candidates())
+    return spark.createDataFrame([(t["table"], c["name"], c["type"], digest) for t in found for c in t["columns"]], "name string, col string, kind string, digest string")
+
+
+def whole_scan(spark, d) -> ScanResult:
+    changed = [N.Snapshot("https://example.org/a", "etag", "1", CHANGED, True)]
+    return scan(corpus(spark, d), MAPPING, "id", limits=Limits(None, 2000), snapshots=changed)
+
+
+def scan_stats(spark, d):
+    s = whole_scan(spark, d).stats
+    row = (s["totalChunks"], s["exactDuplicateGroups"], s["exactDuplicateRows"], s["nearDuplicatePairs"], s["thinChunks"], s["riskyCritical"], s["riskyWarning"], s["nullEmbeddings"])
+    return spark.createDataFrame([row], "total_chunks long, exact_groups long, exact_rows long, near_pairs long, thin long, critical long, warning long, null_embeddings long")
+
+
+def subscores(spark, d):
+    held = whole_scan(spark, d).subscores
+    return spark.createDataFrame([tuple(float(held[k]) for k in sorted(held))], ", ".join(f"{k} double" for k in sorted(held)))
+
+
+def health_score(spark, d):
+    return spark.createDataFrame([(whole_scan(spark, d).score,)], "score long")
+
+
+def findings_by_type(spark, d):
+    found = [f.to_dict() for f in whole_scan(spark, d).findings]
+    return report.findings_frame(spark, {"findings": found}).groupBy("type", "severity").agg(F.count("*").alias("n"), F.sum("affected").alias("affected"))
+
+
+def next_actions(spark, d):
+    found = [f.to_dict() for f in whole_scan(spark, d).findings]
+    return spark.createDataFrame([(a["rank"], a["title"], len(a["findingRefs"])) for a in report.next_actions(found)], "rank long, title string, n_refs long")
+
+
+def streaming_counters(spark, d):
+    """Counters of conversations, read as a stream in micro-batches."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidentia-stream-")
+    base = f"{base}/{uuid.uuid4().hex}"
+    kind = spark.read.parquet(f"{d}/conversations.parquet").schema
+    stream = spark.readStream.schema(kind).parquet(f"{d}/conversations.parquet*")
+    stream = stream.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text", F.lit(None).cast("array<float>").alias("embedding"))
+    query = incremental.write_batches(chunk_view(stream, Mapping.of("public.conversations", "text", "embedding"), "id"), f"{base}/out", f"{base}/checkpoint")
+    query.awaitTermination()
+    return incremental.total(spark, f"{base}/out")
+
+
+QUERIES = [
+    normalize_hash, exact_duplicate_groups, exact_duplicate_summary, near_neighbor_top1, near_duplicate_pairs, near_duplicate_summary, thin_reason_per_chunk, thin_summary, link_density, mid_sentence,
+    risky_per_chunk, risky_summary, email_counts, secret_matches, freshness_summary, stale_documents, embedding_dims_histogram, null_embeddings, length_percentiles, missing_metadata, metadata_key_presence,
+    metadata_type_mix, inconsistent_keys, mixed_type_keys, safe_keys, source_locator_coverage, source_locator_per_chunk, table_like_per_chunk, inventory_gap, soft_delete, sampled, distinct_documents,
+    json_path_extract, average_text_length, json_keys, candidate_tables, fingerprint_columns, scan_stats, subscores, health_score, findings_by_type, next_actions, streaming_counters,
+]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in QUERIES}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, subscores and counts of a whole scan."""
+    result = whole_scan(spark, sf_dir)
+    names = sorted(result.subscores)
+    values = [None if result.subscores[k] is None else float(result.subscores[k]) for k in names]
+    return spark.createDataFrame([(result.score, len(result.findings), *values)], "score long, findings long, " + ", ".join(f"{k} double" for k in names))
