@@ -71,11 +71,12 @@ def redacted(found: Column) -> Column:
 
 def secrets(text: Column) -> Column:
     """All matches, pattern by pattern: array<struct<pattern, redacted>>."""
-    parts = [
-        F.transform(F.regexp_extract_all(text, F.lit(rf"({pattern})"), F.lit(1)), lambda m, name=name: F.struct(F.lit(name).alias("pattern"), redacted(m).alias("redacted")))
-        for name, pattern in SECRETS.items()
-    ]
-    return F.concat(*parts)
+
+    def found(name: str, pattern: str) -> Column:
+        matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+        return F.transform(matches, lambda m: F.struct(F.lit(name).alias("pattern"), redacted(m).alias("redacted")))
+
+    return F.concat(*(found(name, pattern) for name, pattern in SECRETS.items()))
 
 
 def email_count(text: Column) -> Column:
