@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -14,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one NumPy step works on; bounds a Python worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of one Arrow batch that Spark hands to a Python worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,8 +87,18 @@ def large(column: pa.Array) -> pa.Array:
     return column.fill_null("") if column.null_count else column
 
 
+def release() -> None:
+    """Give freed memory back: a Python worker lives through many tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a large_string column and where each text begins (one more than texts)."""
+    release()
     n = len(column)
     buffers = column.buffers()
     offsets = np.frombuffer(buffers[1], np.int64, n + 1, column.offset * 8)
@@ -143,12 +154,12 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n."""
     held = _powers.get(int(base))
     if held is None or len(held[0]) < n + 1:
-        size = max(n + 1, SLICE_BYTES + (1 << 16))
+        size = max(n + 1, 1 << 19) * 9 // 8
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         up, down = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
         up[0] = down[0] = 1
         held = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if size <= SLICE_BYTES * 2:
+        if size <= 3 << 20:
             _powers[int(base)] = held
     return held
 

@@ -12,11 +12,13 @@ import numpy as np
 from ._shared import BASE, LOWER, mix, prefix_hash, ranges, span_hash, word_spans
 
 #: A worker remembers the ids of this many words twice over: a full table becomes the older one.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Bytes of a word that is remembered.
 CACHE_BYTES = 64
 #: Words that the library is given at once.
 TOGETHER = 2000
+#: Bytes of text that one step works on; a larger step meets each word less often.
+STEP_BYTES = 2 << 20
 
 SPACE, LETTER, MARK, ODD = range(4)
 #: Kinds of bytes. Spaces are the space and the line feed; marks are ASCII punctuation without apostrophe, `<`, `|` and `_`.

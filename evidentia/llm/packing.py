@@ -29,7 +29,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None, i
         end = [] if end_id is None else [end_id]
         for batch in batches:
             data, offsets = utf8(large(batch.column(1)))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, _tokens.STEP_BYTES):
                 rows: tuple[list, ...] = ([], [], [], [], [])
                 found, first = held.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 found = found.astype("<u4")

@@ -28,7 +28,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
         for batch in batches:
             data, offsets = utf8(large(batch.column(1)))
             n = np.zeros(batch.num_rows, np.int64)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, _tokens.STEP_BYTES):
                 n[a:b] = held.count(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             sizes = pa.array(offsets[1:] - offsets[:-1], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(n)], ["id", "n_bytes", "n_tokens"])

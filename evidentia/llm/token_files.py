@@ -74,7 +74,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
             data, offsets = utf8(large(batch.column(1)))
             ids = np.asarray(batch.column(0), np.int64)
             shard = np.searchsorted(bounds, ids, "left").astype(np.int32)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, _tokens.STEP_BYTES):
                 found, first = held.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 whole, cut = found.tobytes(), (first * held.dtype.itemsize).tolist()
                 each = [whole[x:y] + end for x, y in zip(cut[:-1], cut[1:], strict=True)]
