@@ -63,8 +63,8 @@ def repeated_windows(docs: DataFrame, min_run: int, id_col: str, text_col: str)
 
 
 def dedup(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with two more columns last: `_kept` (text without later copies) and `_gone` (numbers
-    of the deleted lines, in order).
+    """row (a document's columns as a struct, so that no name can clash), kept (its text without later copies)
+    and gone (numbers of the deleted lines, in order).
 
     Lines are those between line feeds; lines of white space alone stay and do not part runs. A line
     goes if it belongs to min_run consecutive filled lines that also stand earlier: in a smaller id, or
@@ -76,39 +76,37 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_
     Ids are 128-bit hashes of lines. Null texts have no line; rows of equal id and text are one document;
     a null id comes before all others. An empty table gives none. Other columns are carried, not read.
     """
-    names = docs.columns
     windows = repeated_windows(docs, min_run, id_col, text_col)
-    starts = windows.select(F.col("id").alias("_id"), F.col("print").alias("_print"), "starts")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_print"))
-    rows = rows.join(starts, ["_id", "_print"], "left")
-    whole = F.col(f"_row.`{text_col}`")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("print"))
+    rows = rows.join(windows, KEY, "left")
+    whole, hit = F.col(f"row.`{text_col}`"), F.col("starts").isNotNull()
     places = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (min_run - 1))))))
-    rows = rows.withColumn("_lines", F.when(F.col("starts").isNotNull(), F.split(whole, "\n")))
-    rows = rows.withColumn("_filled", F.when(F.col("starts").isNotNull(), F.transform(filled(F.col("_lines")), lambda x: x["at"])))
-    rows = rows.withColumn("_gone", F.when(F.col("starts").isNotNull(), F.array(F.struct(F.col("_filled").alias("f"), places.alias("p")))))
-    rows = rows.withColumn("_gone", F.flatten(F.transform("_gone", lambda x: F.transform(x["p"], lambda p: F.get(x["f"], p)))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.array_join(F.flatten(F.transform(F.array(F.struct(F.col("_lines").alias("l"), left.alias("k"))), lambda x: F.transform(x["k"], lambda k: F.get(x["l"], k)))), "\n")
-    rows = rows.withColumn("_kept", F.when(F.col("starts").isNotNull(), kept).otherwise(whole))
-    return rows.select("_row.*", "_kept", F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"))
+    # Lines are parted once; numbers of filled lines turn places into line numbers.
+    gone = let(F.transform(filled(F.split(whole, "\n")), lambda x: x["at"]), lambda at: F.transform(places, lambda p: F.get(at, p)))
+    rows = rows.select("row", whole.alias("whole"), F.when(hit, gone).otherwise(F.array().cast("array<int>")).alias("gone"))
+
+    def without(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n")
+
+    kept = F.when(F.size("gone") > 0, let(F.split("whole", "\n"), without)).otherwise(F.col("whole"))
+    return rows.select("row", kept.alias("kept"), "gone")
 
 
 def line_digest(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, n_runs (maximal deleted stretches of lines), kept_sha256."""
     rows = dedup(docs.select("doc_id", "text"), min_run)
-    breaks = let(F.col("_gone"), lambda g: F.size(F.filter(g, lambda x, i: (i == 0) | (x - F.coalesce(F.get(g, i - 1), x) > 1))))
+    breaks = let(F.col("gone"), lambda g: F.size(F.filter(g, lambda x, i: (i == 0) | (x - F.coalesce(F.get(g, i - 1), x) > 1))))
     return rows.select(
-        "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_removed"),
-        breaks.cast("long").alias("n_runs"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"),
+        "row.doc_id", F.size(F.split(F.coalesce("row.text", F.lit("")), "\n")).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"),
+        breaks.cast("long").alias("n_runs"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
     )
 
 
 def clean(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """Documents with later copies of repeated runs deleted, n_chars counted anew, all other columns
     as they were; a document that loses all its filled lines goes."""
-    names = docs.columns
-    rows = dedup(docs, min_run)
-    gone = (F.size("_gone") > 0) & F.col("_kept").rlike("^\\s*$")
-    out = {"text": F.col("_kept")} | ({"n_chars": F.length("_kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
-    return rows.where(~gone).select(*(out[n].alias(n) if n in out else F.col(f"`{n}`") for n in names))
+    rows = dedup(docs, min_run).where((F.size("gone") == 0) | ~F.coalesce(F.col("kept"), F.lit("")).rlike("^\\s*$"))
+    out = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return rows.select(*(out[n].alias(n) if out.get(n) is not None else F.col(f"row.`{n}`") for n in docs.columns))
