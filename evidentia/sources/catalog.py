@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -132,3 +133,23 @@ class Catalog:
 
     def count(self, table: str) -> int:
         return self.frame(table).count()
+
+
+#: Definitions of a table's indexes, as PostgreSQL prints them.
+INDEX_QUERY = "SELECT indexname, indexdef FROM pg_indexes WHERE schemaname = '{schema}' AND tablename = '{table}' ORDER BY indexname"
+
+
+def parse_index(name: str, definition: str) -> tuple[str, str, list[str]]:
+    """Name, method and plain columns of an index from its definition (operator classes and options apart)."""
+    found = re.search(r"\bUSING (\w+) \((.*?)\)(?: WITH | WHERE | INCLUDE |$)", definition)
+    method, inside = (found[1], found[2]) if found else ("", "")
+    columns = [re.match(r'\s*"?([A-Za-z0-9_]+)"?', part) for part in inside.split(",")]
+    return name, method, [m[1] for m in columns if m]
+
+
+def jdbc_indexes(spark: SparkSession, url: str, qualified: str, properties: dict[str, str] | None = None) -> list[tuple[str, str, list[str]]]:
+    """(name, method, columns) of the indexes of a PostgreSQL table, for IndexInfo."""
+    schema, _, table = (qualified if "." in qualified else f"public.{qualified}").partition(".")
+    quoted(schema), quoted(table)
+    rows = spark.read.format("jdbc").options(url=url, query=INDEX_QUERY.format(schema=schema, table=table), **(properties or {})).load().collect()
+    return [parse_index(r["indexname"], r["indexdef"]) for r in rows]

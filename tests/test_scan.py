@@ -5,7 +5,7 @@ from fixtures import SCHEMA, healthy, rotten, row, unit
 
 from evidentia.plans import findings as N
 from evidentia.plans import health as H
-from evidentia.plans import render, report, telemetry
+from evidentia.plans import render, report, sync, telemetry
 from evidentia.plans.scan import Limits, scan
 from evidentia.sources.mapping import Mapping
 
@@ -50,6 +50,12 @@ def test_report_renders(planted):
     assert held["mappingShape"]["id"] == "manual" and telemetry.validate(json.loads(telemetry.serialize(held))) == held
     with pytest.raises(ValueError, match="telemetry"):
         telemetry.validate(held | {"extra": 1})
+    assert sync.request(out)["report"] == out
+    answer = {"scanId": out["scan"]["id"], "dashboardUrl": "https://example.org/s/1", "delta": {"previousScore": 70, "previousScanAt": "2024-01-01T00:00:00Z"}}
+    assert sync.response(answer) == answer
+    for bad in ({}, answer | {"scanId": "1"}, answer | {"dashboardUrl": "x"}, answer | {"delta": {"previousScore": 101}}):
+        with pytest.raises(report.ReportError):
+            sync.response(bad)
     out["findings"][0]["severity"] = "odd"
     with pytest.raises(report.ReportError):
         report.validate(out)

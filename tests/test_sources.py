@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evidentia import cli
 from evidentia.operators import knn
 from evidentia.sources import config as C
-from evidentia.sources.catalog import Catalog, soft_delete_columns, soft_delete_counts
+from evidentia.sources.catalog import Catalog, parse_index, soft_delete_columns, soft_delete_counts
 from evidentia.sources.chunks import chunk_view, deterministic_sample
 from evidentia.sources.introspect import IntrospectError, Prompts, content_score, introspect, match_generic, model_guess, rows_score, table_score
 from evidentia.sources.mapping import Mapping, MappingError, column_expr
@@ -126,6 +126,18 @@ def test_soft_delete(spark):
     assert soft_delete_columns(df) == ["deleted_at", "archived"] and soft_delete_counts(df) == (1, 3)
 
 
+@pytest.mark.parametrize(
+    ("definition", "want"),
+    [
+        ("CREATE INDEX i ON public.t USING hnsw (embedding vector_cosine_ops)", ("i", "hnsw", ["embedding"])),
+        ("CREATE INDEX i ON public.t USING ivfflat (vec vector_l2_ops) WITH (lists='100')", ("i", "ivfflat", ["vec"])),
+        ("CREATE UNIQUE INDEX i ON public.t USING btree (a, b DESC)", ("i", "btree", ["a", "b"])),
+    ],
+)
+def test_index_definitions(definition, want):
+    assert parse_index("i", definition) == want
+
+
 def test_config(tmp_path):
     assert C.load(tmp_path) is None
     base = {"version": 1, "system": {"name": "s"}, "connection": {"env": "E"}}
