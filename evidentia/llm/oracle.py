@@ -31,4 +31,66 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*
 FROM z GROUP BY doc_id
 """
 
-SQL = {"op2_decontamination": OP2, "op3_line_dedup": OP3}
+OP8 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, substring(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d WHERE len(h) >= 200)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM p) WHERE k > 1),
+opens AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM later)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM opens GROUP BY doc_id, g),
+edges AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, len(h) // 2, len(h) // 2 FROM d)),
+kept AS (SELECT doc_id, string_agg(substring(h, CAST(2 * from_ + 1 AS BIGINT), CAST(2 * (a - from_) AS BIGINT)), '' ORDER BY a, b) AS h FROM edges JOIN d USING (doc_id) GROUP BY 1),
+n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+OP10 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS t FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n AS i ON i.doc_id = x JOIN n AS j ON j.doc_id = y WHERE 100 * c >= 75 * (i.n + j.n - c)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.node)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.root), w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.node = w.doc_id GROUP BY w.doc_id
+"""
+
+
+def url_sql(rules: list[tuple[str, str]]) -> str:
+    """The tree of url_filter.judge, level by level."""
+    from . import url_filter as U
+
+    rule = verdict = "NULL"
+    for word, text in sorted(rules, key=lambda r: (len(r[1]), r[1])):
+        host, _, path = text.partition("/")
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+        rule, verdict = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{word}' ELSE {verdict} END"
+    part = lambda k: f"lower(coalesce(string_split(path, '/')[{k + 1}], ''))"
+    plain = lambda k: f"regexp_replace(regexp_replace({part(k)}, '^[0-9a-f]*[0-9][0-9a-f]*-[0-9a-f-]{{8,}}$|^[0-9a-f]{{16,}}$', '#', 'g'), '[0-9]+', '#', 'g')"
+    keys = [f"g{k}" for k in range(1, U.DEPTH + 2)]
+    segments = ", ".join(f"{plain(k)} AS g{k}" for k in range(1, U.DEPTH + 1)) + f", CASE WHEN {part(U.DEPTH + 1)} = '' THEN '' ELSE '*' END AS g{U.DEPTH + 1}"
+    out = [
+        "WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) END AS rest FROM pages)",
+        f"h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), {AZ}), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u)",
+        f"v AS (SELECT *, {rule} AS rule, {verdict} AS ruled, {segments} FROM h)",
+        f"t0 AS (SELECT host, {', '.join(keys)}, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked, '' AS p0 FROM v GROUP BY ALL)",
+    ]
+    for k in range(1, U.DEPTH + 1):
+        out.append(f"c{k} AS (SELECT host, p{k - 1}, count(*) AS d, sum(m) AS m FROM (SELECT host, p{k - 1}, g{k}, sum(n) AS m FROM t{k - 1} GROUP BY ALL) GROUP BY ALL)")
+        out.append(f"t{k} AS (SELECT t.*, t.p{k - 1} || '/' || CASE WHEN d > {U.FANOUT} AND m < d * {U.ROWS_PER_VALUE} AND g{k} <> '' THEN '*' ELSE g{k} END AS p{k} FROM t{k - 1} t JOIN c{k} c ON t.host = c.host AND t.p{k - 1} = c.p{k - 1})")
+    out.append(f"q0 AS (SELECT *, CAST({U.PRIOR} AS DOUBLE) AS purity, CAST(0 AS DOUBLE) AS up_n, CAST(0 AS DOUBLE) AS up_b FROM t{U.DEPTH})")
+    for k in range(U.DEPTH + 1):
+        apart = f"(s.b * up_n - up_b * s.n) * (s.b * up_n - up_b * s.n) * (s.n + up_n) > {U.Z * U.Z} * (s.b + up_b) * (s.n + up_n - s.b - up_b) * s.n * up_n" if k else "true"
+        out.append(f"s{k} AS (SELECT host, p{k}, CAST(sum(labelled) AS DOUBLE) AS n, CAST(sum(blocked) AS DOUBLE) AS b FROM q{k} GROUP BY ALL)")
+        out.append(
+            f"q{k + 1} AS (SELECT q.* EXCLUDE (purity, up_n, up_b), CASE WHEN s.n = 0 THEN {U.PRIOR} + {U.DECAY} * (purity - {U.PRIOR}) WHEN {apart} THEN (s.b + {U.SMOOTHING} * purity) / (s.n + {U.SMOOTHING}) ELSE purity END AS purity,"
+            f" CASE WHEN {apart} THEN s.n ELSE up_n END AS up_n, CASE WHEN {apart} THEN s.b ELSE up_b END AS up_b FROM q{k} q JOIN s{k} s ON q.host = s.host AND q.p{k} = s.p{k})"
+        )
+    same = " AND ".join(f"v.{c} = q.{c}" for c in ("host", *keys))
+    return ", ".join(out) + f" SELECT v.page_id, v.host, v.path, v.rule, coalesce(v.ruled, CASE WHEN q.purity >= {U.REJECT} THEN 'block' ELSE 'allow' END) AS verdict FROM v LEFT JOIN q{U.DEPTH + 1} q ON {same}"
+
+
+def oracle_sql() -> dict[str, str]:
+    from .queries import URL_RULES
+
+    return {"op2_decontamination": OP2, "op3_line_dedup": OP3, "op4_url_filter": url_sql(URL_RULES), "op8_suffix_dedup": OP8, "op10_jaccard_join": OP10}

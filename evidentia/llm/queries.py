@@ -62,6 +62,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracle import SQL
+    from . import oracle
 
-    return dict(SQL)
+    return oracle.oracle_sql()

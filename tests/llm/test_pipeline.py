@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from evidentia.llm import quality
-from evidentia.llm.oracle import SQL
+from evidentia.llm.oracle import oracle_sql
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
@@ -57,7 +57,7 @@ def test_run(spark):
     assert out and max(r["offset"] + r["length"] for r in out) <= 4096
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, name):
     import duckdb
 
@@ -66,7 +66,7 @@ def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "pages"):
         con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
-    ours, theirs = queries.queries()[name](spark, SMALL).toPandas(), con.sql(SQL[name]).df()
+    ours, theirs = queries.queries()[name](spark, SMALL).toPandas(), con.sql(oracle_sql()[name]).df()
     names = sorted(ours.columns)
     assert names == sorted(theirs.columns)
     plain = lambda df: sorted(tuple(str(v) for v in r) for r in df[names].astype(object).itertuples(index=False))
