@@ -271,3 +271,25 @@ def test_empty_tables(frame, spark, name):
 def test_no_benchmark_hits_nothing(odd, frame, spark):
     out = decontaminate.contamination_digest(frame(odd), spark.createDataFrame([], "item_id long, text string"))
     assert out.where("contaminated or n_hit > 0 or n_items > 0").count() == 0 and out.count() == len(odd)
+
+
+def test_long_texts_are_taken_by_parts(monkeypatch):
+    """Every window of a long text is in one part, and has the anchor that it has in the whole."""
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 100, 3000).astype(np.uint8)
+    offsets = np.array([0, 100, 2900, 2950, 3000])
+
+    def windows():
+        out = {}
+        for a, b, base, off in suffix_dedup.steps(offsets, 50):
+            _, owner, at, count, anchor, place = suffix_dedup.anchored(data[offsets[a] + base : offsets[a] + base + off[-1]], off, 50)
+            for o, s, n, h, p in zip(owner, at, count, anchor, place, strict=True):
+                for k in range(n):
+                    window = (a + int(o), base + int(s + k - off[o]))
+                    assert window not in out
+                    out[window] = (int(h), int(p - s - k))
+        return out
+
+    whole = windows()
+    monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 300)
+    assert windows() == whole and len(whole) == 51 + 2751 + 1 + 1
