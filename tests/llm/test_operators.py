@@ -188,6 +188,12 @@ def test_suffix_dedup(odd, frame, width):
     assert got == sorted(brute.repeats(odd, width))
 
 
+def test_rows_without_id_keep_their_own_bytes(frame):
+    rows = [(None, "abcdefghij" * 3 + "x"), (None, "0123456789" * 3), (1, "abcdefghij" * 3)]
+    got = sorted((r["n_bytes"], r["n_removed"]) for r in suffix_dedup.repeat_digest(frame(rows), 25).collect())
+    assert got == [(30, 0), (30, 30), (31, 0)]
+
+
 def test_suffix_dedup_by_small_steps(odd, frame, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 700)
     got = rows_of(suffix_dedup.repeat_digest(frame([*odd, odd[5]]), 30), "doc_id", "n_removed", "kept_sha256")
