@@ -30,10 +30,10 @@ BLOCK = "shard int, block int, first long, n_docs long, n_tokens long, id_bytes
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """A zstandard dictionary of the id arrays of a bounded sample: the SAMPLE_DOCS documents with the
     smallest hashes of their ids, SAMPLE_BYTES of each. Too little to train on: empty, no dictionary."""
-    rows = (
-        docs.select(F.xxhash64("id").alias("h"), F.substring(F.coalesce("text", F.lit("")), 1, 4 * SAMPLE_BYTES).alias("text"))
-        .orderBy("h", "text").limit(SAMPLE_DOCS).collect()
-    )
+    # Ids are chosen first and texts fetched for them alone, so that the driver gets no more than the sample.
+    chosen = docs.select(F.xxhash64("id").alias("h"), "id").distinct().orderBy("h", "id").limit(SAMPLE_DOCS).select("id")
+    texts = docs.join(F.broadcast(chosen), "id", "left_semi").select(F.xxhash64("id").alias("h"), F.substring(F.coalesce("text", F.lit("")), 1, 4 * SAMPLE_BYTES).alias("text"))
+    rows = sorted(texts.limit(SAMPLE_DOCS).collect(), key=lambda r: (r["h"], r["text"]))
     held = _tokens.encoder(tokenizer)
     ids, first = held.encode(*utf8(pa.array([r["text"] for r in rows], pa.large_string())))
     samples = [x for a, b in zip(first[:-1], first[1:], strict=True) if (x := ids[a:b].tobytes()[:SAMPLE_BYTES])]
