@@ -6,11 +6,9 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-
+from brute import words  # noqa: E402
 
-def words(rng, n, many=400):
-    return [f"w{rng.randrange(many)}" for _ in range(n)]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 @pytest.fixture(scope="session")

@@ -5,7 +5,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import words
+from brute import words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
