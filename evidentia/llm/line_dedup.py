@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def filled(lines: Column) -> Column:
     return F.filter(numbered, lambda x: ~x["line"].rlike("^\\s*$"))
 
 
+def is_long(line: Column, long_words: int | None) -> Column:
+    """Whether a line has more than long_words words, parted by white space; null asks for none."""
+    return F.lit(False) if long_words is None else F.regexp_count(line, F.lit("\\S+")) > long_words
+
+
 def ordered_ids(keys: DataFrame, by: list[str]) -> DataFrame:
     """Distinct keys with `rank`: order-preserving, not dense. Range partitions are sorted, so a row's
     partition and place order it; the result is a table, so that lost executors cannot renumber it."""
@@ -29,21 +36,25 @@ def ordered_ids(keys: DataFrame, by: list[str]) -> DataFrame:
     return materialize(ranged.withColumn("rank", F.monotonically_increasing_id()), "line-ranks")
 
 
-def repeated_windows(docs: DataFrame, min_run: int, id_col: str, text_col: str) -> DataFrame:
-    """Windows of min_run lines that also stand earlier: id, print, starts (places among filled lines)."""
+def repeated_windows(docs: DataFrame, min_run: int, id_col: str, text_col: str, long_words: int | None = None) -> DataFrame:
+    """Windows of min_run lines, and single lines of over long_words words, that also stand earlier:
+    id, print, starts (places among filled lines, each with its number of lines)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("print")]
-    lines = docs.select(*key, F.posexplode(F.transform(filled(F.split(text, "\n")), lambda x: F.struct(F.xxhash64(x["line"]).alias("h1"), F.xxhash64(F.lit(1), x["line"]).alias("h2")))).alias("place", "h"))
-    lines = materialize(lines.select(*KEY, "place", F.col("h.h1").alias("k1"), F.col("h.h2").alias("k2")), "lines")
-    width = 1
+    lines = docs.select(*key, F.posexplode(F.transform(filled(F.split(text, "\n")), lambda x: F.struct(F.xxhash64(x["line"]).alias("h1"), F.xxhash64(F.lit(1), x["line"]).alias("h2"), is_long(x["line"], long_words).alias("long")))).alias("place", "h"))
+    lines = materialize(lines.select(*KEY, "place", F.col("h.h1").alias("k1"), F.col("h.h2").alias("k2"), "h.long"), "lines")
+    later = F.struct(*KEY, "place") > F.col("first")
+    windows, width = [], 1
     while True:
         # Ids of this length: distinct keys that occur again, in order; unique ones cannot repeat any further.
         first = F.min(F.struct(*KEY, "place")).alias("first")
         ids = ordered_ids(lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), first).where("n > 1").drop("n"), ["k1", "k2"])
         held = lines.join(ids, ["k1", "k2"])
+        if width == 1 and long_words is not None:
+            windows.append(held.where(F.col("long") & later).select(*KEY, "place", F.lit(1).alias("n")))
         if width >= min_run:
-            later = held.where(F.struct(*KEY, "place") > F.col("first"))
-            return later.groupBy(*KEY).agg(F.collect_set("place").alias("starts"))
+            windows.append(held.where(later).select(*KEY, "place", F.lit(min_run).alias("n")))
+            return reduce(DataFrame.union, windows).groupBy(*KEY).agg(F.collect_set(F.struct("place", "n")).alias("starts"))
         # Doubling: the id at a place and the one behind it make the key of the longer prefix.
         step = min(width, min_run - width)
         runs = held.groupBy(*KEY).agg(F.collect_set(F.struct("place", "rank")).alias("at"))
@@ -62,7 +73,7 @@ def repeated_windows(docs: DataFrame, min_run: int, id_col: str, text_col: str)
         width += step
 
 
-def dedup(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
     """row (a document's columns as a struct, so that no name can clash), kept (its text without later copies)
     and gone (numbers of the deleted lines, in order).
 
@@ -72,16 +83,17 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_
     stays whole and all later ones go. Suffixes are sorted by prefix doubling over line ids up to
     min_run lines; the suffixes of one rank are then the interval of the suffix array whose common prefixes
     reach min_run, and longer intervals lie within these, so doubling further would delete the same lines.
+    With long_words, a single filled line of more words than that is a run, too.
 
     Ids are 128-bit hashes of lines. Null texts have no line; rows of equal id and text are one document;
     a null id comes before all others. An empty table gives none. Other columns are carried, not read.
     """
-    windows = repeated_windows(docs, min_run, id_col, text_col)
+    windows = repeated_windows(docs, min_run, id_col, text_col, long_words)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("print"))
     rows = rows.join(windows, KEY, "left")
     whole, hit = F.col(f"row.`{text_col}`"), F.col("starts").isNotNull()
-    places = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (min_run - 1))))))
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["place"], s["place"] + s["n"] - 1)))))
     # Lines are parted once; numbers of filled lines turn places into line numbers.
     gone = let(F.transform(filled(F.split(whole, "\n")), lambda x: x["at"]), lambda at: F.transform(places, lambda p: F.get(at, p)))
     rows = rows.select("row", whole.alias("whole"), F.when(hit, gone).otherwise(F.array().cast("array<int>")).alias("gone"))
@@ -94,9 +106,9 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_
     return rows.select("row", kept.alias("kept"), "gone")
 
 
-def line_digest(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def line_digest(docs: DataFrame, min_run: int = MIN_RUN, long_words: int | None = None) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, n_runs (maximal deleted stretches of lines), kept_sha256."""
-    rows = dedup(docs.select("doc_id", "text"), min_run)
+    rows = dedup(docs.select("doc_id", "text"), min_run, long_words=long_words)
     breaks = let(F.col("gone"), lambda g: F.size(F.filter(g, lambda x, i: (i == 0) | (x - F.coalesce(F.get(g, i - 1), x) > 1))))
     return rows.select(
         "row.doc_id", F.size(F.split(F.coalesce("row.text", F.lit("")), "\n")).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"),
@@ -104,9 +116,9 @@ def line_digest(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def clean(docs: DataFrame, min_run: int = MIN_RUN, long_words: int | None = None) -> DataFrame:
     """Documents with later copies of repeated runs deleted, n_chars counted anew, all other columns
     as they were; a document that loses all its filled lines goes."""
-    rows = dedup(docs, min_run).where((F.size("gone") == 0) | ~F.coalesce(F.col("kept"), F.lit("")).rlike("^\\s*$"))
+    rows = dedup(docs, min_run, long_words=long_words).where((F.size("gone") == 0) | ~F.coalesce(F.col("kept"), F.lit("")).rlike("^\\s*$"))
     out = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return rows.select(*(out[n].alias(n) if out.get(n) is not None else F.col(f"row.`{n}`") for n in docs.columns))

@@ -136,6 +136,17 @@ def test_line_dedup(odd, frame, run):
     assert rows_of(kept.where("text is not null"), "doc_id", "text", "n_chars") == sorted((i, t, len(t)) for i, n, k, t in want if i != 9000 and not (k and not t.strip(" \t\n\x0b\f\r")))
 
 
+def test_long_lines_alone_are_runs(frame):
+    """With long_words, every later copy of one line of more words goes; shorter ones still need a neighbour."""
+    line = " ".join(f"p{k}" for k in range(51))
+    short = line.rsplit(" ", 1)[0]
+    rows = [(1, f"a\n{line}\nb"), (2, f"c\n \n{line}\nd\n{line}"), (3, line), (4, f"e\n{short}\nf"), (5, f"g\n{short}\nh"), (6, f"a\n{line}\nx"), (None, f"{line}\nz")]
+    digest = lambda n: dict(rows_of(line_dedup.line_digest(frame(rows), 2, long_words=n).where("doc_id is not null"), "doc_id", "n_removed"))
+    assert digest(50) == {1: 1, 2: 2, 3: 1, 4: 0, 5: 0, 6: 2} and digest(None) == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 2} and digest(49)[5] == 1
+    kept = line_dedup.clean(frame(rows, True), 2, long_words=50)
+    assert rows_of(kept.where("doc_id is not null"), "doc_id", "text") == [(1, "a\nb"), (2, "c\n \nd"), (4, rows[3][1]), (5, rows[4][1]), (6, "x")]
+
+
 def test_equal_rows_are_one_document_of_lines(odd, frame):
     rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "a\nb")]
     got = rows_of(line_dedup.line_digest(frame(rows)).where("doc_id is not null"), "doc_id", "n_removed")
