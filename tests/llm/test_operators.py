@@ -170,6 +170,15 @@ def test_url_templates_follow_labels(spark):
     assert all(out[i] == "block" for i in range(50)) and all(out[100 + i] == "allow" for i in range(50)) and out[201] == "allow"
 
 
+def test_unlabelled_url_branches_lose_the_host_purity(spark):
+    """Under a host of blocked labels an undecided sibling branch is allowed (README, Known limits); below the labelled branch it is blocked."""
+    rows = [(i, f"http://a.org/en/{i}") for i in range(40)] + [(100, "http://a.org/de/1"), (101, "http://a.org/EN/1"), (102, "http://a.org/")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    out = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, [("block", "a.org/en/")]).collect()}
+    assert all(out[i] == ("a.org/en/", "block") for i in range(40))
+    assert out[100] == (None, "allow") and out[101] == (None, "block") and out[102] == (None, "allow")
+
+
 def test_fingerprints(odd, frame):
     rows = sorted([*odd, (5000, odd[0][1])], key=lambda r: -r[0])
     got = {r["doc_id"]: r for r in fingerprints.edit_digest(frame(rows, True)).collect()}
