@@ -34,6 +34,19 @@ class Finding:
         return {"type": self.type, "severity": self.severity, "title": self.title, "evidence": self.evidence, "suggestedRepair": self.repair, "affectedCount": self.affected}
 
 
+@dataclass
+class Unlisted:
+    """Findings that are counted but not listed one by one."""
+
+    type: str
+    severity: str
+    findings: int
+    affected: int
+
+    def to_dict(self) -> dict:
+        return {"type": self.type, "severity": self.severity, "findings": self.findings, "affectedCount": self.affected}
+
+
 def repair(kind: str, description: str, sql: str | None = None) -> dict:
     return {"kind": kind, "description": description} | ({"sql": sql} if sql else {})
 
@@ -70,8 +83,9 @@ class IndexInfo:
 def exact(groups: list[dict], n_groups: int, members: int, total: int, sampled: bool) -> tuple[list[Finding], float]:
     """A finding for each group given, in order of first rows, and a summary if the share is high."""
     share = H.pct(members, total)
+    cut = {"truncatedFindings": True} if n_groups > len(groups) else {}
     out = [
-        Finding("exact_duplicate", "warning", f"{g['members']} chunks are exact duplicates", {"duplicateChunks": g["members"], "refs": list(g["refs"]), "sampled": sampled}, None, g["members"])
+        Finding("exact_duplicate", "warning", f"{g['members']} chunks are exact duplicates", {"duplicateChunks": g["members"], "refs": list(g["refs"]), "sampled": sampled} | cut, None, g["members"])
         for g in groups
     ]
     if share > EXACT_CRITICAL_PCT:
@@ -81,6 +95,12 @@ def exact(groups: list[dict], n_groups: int, members: int, total: int, sampled:
     return out, share
 
 
+def exact_unlisted(groups: list[dict], n_groups: int, members: int) -> list[Unlisted]:
+    """The findings of all groups beyond those given, from the counts of all."""
+    rest = n_groups - len(groups)
+    return [Unlisted("exact_duplicate", "warning", rest, members - sum(g["members"] for g in groups))] if rest else []
+
+
 def fixed(x: float, digits: int) -> str:
     """A number with exactly so many decimals."""
     return f"{H.rounded(x, digits):.{digits}f}"

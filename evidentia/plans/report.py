@@ -41,29 +41,45 @@ def action_key(finding: dict) -> str:
     return finding["type"] if finding["type"] in ("exact_duplicate", "near_duplicate") else f"{finding['type']}:{finding['title']}"
 
 
-def next_actions(findings: list[dict]) -> list[dict]:
-    """Findings grouped by what to do, the most severe and widest groups first, five at most."""
+def ranked(findings: list[dict], unlisted: list[dict]) -> list[dict]:
+    """Findings grouped by what to do, the most severe and widest groups first, five at most: title, refs
+    (of those listed) and n (with those that are only counted)."""
     groups: dict[str, dict] = {}
     for i, f in enumerate(findings):
-        g = groups.setdefault(action_key(f), {"worst": f, "refs": [], "affected": 0})
+        g = groups.setdefault(action_key(f), {"worst": f, "refs": [], "n": 0, "affected": 0})
         g["refs"].append(i)
+        g["n"] += 1
         g["affected"] += f["affectedCount"]
         if RANK[f["severity"]] < RANK[g["worst"]["severity"]]:
             g["worst"] = f
-    ranked = sorted(groups.values(), key=lambda g: (RANK[g["worst"]["severity"]], -g["affected"]))[:ACTIONS]
-    return [{"rank": k + 1, "title": g["worst"]["title"], "findingRefs": g["refs"]} for k, g in enumerate(ranked)]
+    for u in unlisted:
+        # Only kinds of which some are listed have unlisted ones, and no repair of their own.
+        if g := groups.get(u["type"]):
+            g["n"] += u["findings"]
+            g["affected"] += u["affectedCount"]
+    best = sorted(groups.values(), key=lambda g: (RANK[g["worst"]["severity"]], -g["affected"]))[:ACTIONS]
+    return [{"title": g["worst"]["title"], "refs": g["refs"], "n": g["n"]} for g in best]
+
+
+def next_actions(findings: list[dict], unlisted: list[dict] | None = None) -> list[dict]:
+    """The ranked groups of findings, with references to those listed."""
+    return [{"rank": k + 1, "title": g["title"], "findingRefs": g["refs"]} for k, g in enumerate(ranked(findings, unlisted or []))]
 
 
 def by_severity(report: dict) -> dict[str, list[tuple[str, list[dict], int]]]:
-    """For each severity its types in order of appearance: (type, first findings, how many there are)."""
+    """For each severity its types in order of appearance: (type, first findings, how many there are, listed or not)."""
     out: dict[str, dict[str, list[dict]]] = {s: {} for s in N.SEVERITIES}
     for f in report["findings"]:
         out[f["severity"]].setdefault(f["type"], []).append(f)
-    return {s: [(t, held[:SHOWN_PER_TYPE], len(held)) for t, held in types.items()] for s, types in out.items()}
+    return {s: [(t, held[:SHOWN_PER_TYPE], len(held) + unlisted_count(report, s, t)) for t, held in types.items()] for s, types in out.items()}
+
+
+def unlisted_count(report: dict, severity: str | None = None, kind: str | None = None) -> int:
+    return sum(u["findings"] for u in report.get("unlisted", []) if severity in (None, u["severity"]) and kind in (None, u["type"]))
 
 
 def severity_count(report: dict, severity: str) -> int:
-    return sum(f["severity"] == severity for f in report["findings"])
+    return sum(f["severity"] == severity for f in report["findings"]) + unlisted_count(report, severity)
 
 
 def build(result: ScanResult, mapping: Mapping, stack: dict, started: str, finished: str, sources: list[dict] | None = None, version: str | None = None) -> dict:
@@ -75,6 +91,7 @@ def build(result: ScanResult, mapping: Mapping, stack: dict, started: str, finis
             f["suggestedRepair"] = f["suggestedRepair"] | {"description": f["suggestedRepair"]["description"][:EVIDENCE_CHARS]}
         found.append(f)
     sources = sources or []
+    unlisted = [u.to_dict() for u in result.unlisted]
     report = {
         "version": 1,
         "scan": {"id": str(uuid.uuid4()), "origin": "cli", "startedAt": started, "finishedAt": finished} | ({"cliVersion": version} if version else {}),
@@ -83,8 +100,8 @@ def build(result: ScanResult, mapping: Mapping, stack: dict, started: str, finis
         "health": {"score": result.score, "scoreVersion": 1, "subscores": result.subscores},
         "findings": found,
         "sources": [{"locator": locator_label(s["locator"]), "kind": s["kind"], "lastIndexedAt": None, "lastChangedAt": None, "status": "unknown"} for s in sources],
-        "nextActions": next_actions(found),
-    }
+        "nextActions": next_actions(found, unlisted),
+    } | ({"unlisted": unlisted} if unlisted else {})
     validate(report)
     return report
 

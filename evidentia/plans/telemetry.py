@@ -40,7 +40,7 @@ def build(report: dict, recipe: str | None = None) -> dict:
     guess = report["stack"]["frameworkGuess"]
     payload = {
         "fingerprintHash": report["stack"]["fingerprintHash"], "frameworkGuess": guess if guess in FRAMEWORKS else "unknown", "embeddingDims": report["stack"]["embeddingDims"],
-        "totals": {k: report["totals"][k] for k in ("documents", "chunks")}, "findingCounts": {"byType": dict(Counter(f["type"] for f in report["findings"]))},
+        "totals": {k: report["totals"][k] for k in ("documents", "chunks")}, "findingCounts": {"byType": dict(Counter(f["type"] for f in report["findings"]) + Counter({u["type"]: u["findings"] for u in report.get("unlisted", [])}))},
         "healthScore": report["health"]["score"], "mappingShape": shape(Mapping.from_dict(report["stack"]["mapping"]), recipe),
         "cliVersion": report["scan"].get("cliVersion", "0.0.0"), "os": f"{platform.system().lower()}/{platform.machine()}",
     }

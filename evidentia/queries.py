@@ -247,13 +247,16 @@ def health_score(spark, d):
 
 
 def findings_by_type(spark, d):
-    found = [f.to_dict() for f in whole_scan(spark, d).findings]
-    return report.findings_frame(spark, {"findings": found}).groupBy("type", "severity").agg(F.count("*").alias("n"), F.sum("affected").alias("affected"))
+    result = whole_scan(spark, d)
+    listed = report.findings_frame(spark, {"findings": [f.to_dict() for f in result.findings]}).select("type", "severity", F.lit(1).cast("long").alias("n"), "affected")
+    rest = spark.createDataFrame([(u.type, u.severity, u.findings, u.affected) for u in result.unlisted], "type string, severity string, n long, affected long")
+    return listed.union(rest).groupBy("type", "severity").agg(F.sum("n").alias("n"), F.sum("affected").alias("affected"))
 
 
 def next_actions(spark, d):
-    found = [f.to_dict() for f in whole_scan(spark, d).findings]
-    return spark.createDataFrame([(a["rank"], a["title"], len(a["findingRefs"])) for a in report.next_actions(found)], "rank long, title string, n_refs long")
+    result = whole_scan(spark, d)
+    held = report.ranked([f.to_dict() for f in result.findings], [u.to_dict() for u in result.unlisted])
+    return spark.createDataFrame([(k + 1, a["title"], a["n"]) for k, a in enumerate(held)], "rank long, title string, n_refs long")
 
 
 def streaming_counters(spark, d):
@@ -288,4 +291,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = whole_scan(spark, sf_dir)
     names = sorted(result.subscores)
     values = [None if result.subscores[k] is None else float(result.subscores[k]) for k in names]
-    return spark.createDataFrame([(result.score, len(result.findings), *values)], "score long, findings long, " + ", ".join(f"{k} double" for k in names))
+    n = len(result.findings) + sum(u.findings for u in result.unlisted)
+    return spark.createDataFrame([(result.score, n, *values)], "score long, findings long, " + ", ".join(f"{k} double" for k in names))

@@ -3,6 +3,7 @@ import json
 import pytest
 from fixtures import SCHEMA, healthy, rotten, row, unit
 
+from evidentia import queries
 from evidentia.plans import findings as N
 from evidentia.plans import health as H
 from evidentia.plans import render, report, sync, telemetry
@@ -152,3 +153,25 @@ def test_actions_group_and_rank():
     held = [f("thin_chunk", "info", None, 1), f("exact_duplicate", "warning", None, 3), f("exact_duplicate", "critical", None, 9), f("architecture", "warning", "x", 50), f("architecture", "info", "x", 1)]
     out = report.next_actions(held)
     assert [a["findingRefs"] for a in out] == [[1, 2], [3, 4], [0]] and out[0]["title"] == "exact_duplicate critical"
+
+
+def test_counts_are_of_all_exact_groups(spark, monkeypatch):
+    """Groups beyond those that a report lists count in the queries, the report's numbers, actions and telemetry."""
+    mapping = Mapping.of("public.chunks", "text", "embedding", "meta", sourceUrl="meta:meta.source")
+
+    def shown(result):
+        monkeypatch.setattr(queries, "whole_scan", lambda *_: result)
+        return [sorted(map(tuple, f(spark, "").collect())) for f in (queries.findings_by_type, queries.next_actions, queries.flagship)]
+
+    whole = run(spark, rotten(), mapping)
+    monkeypatch.setattr("evidentia.plans.scan.GROUP_FINDINGS", 3)
+    cut = run(spark, rotten(), mapping)
+    groups = lambda r: [f for f in r.findings if f.type == "exact_duplicate" and not f.evidence.get("summary")]
+    assert (len(groups(whole)), len(groups(cut))) == (10, 3) and cut.score == whole.score
+    assert not any("truncatedFindings" in f.evidence for f in groups(whole)) and all(f.evidence["truncatedFindings"] for f in groups(cut))
+    assert shown(cut) == shown(whole)
+    full, part = (report.build(r, mapping, BARE, "2026-01-01T00:00:00+00:00", "2026-01-01T00:00:01+00:00") for r in (whole, cut))
+    assert "unlisted" not in full and [(u["type"], u["findings"]) for u in part["unlisted"]] == [("exact_duplicate", 7)]
+    assert telemetry.build(part)["findingCounts"] == telemetry.build(full)["findingCounts"]
+    assert [a["title"] for a in part["nextActions"]] == [a["title"] for a in full["nextActions"]]
+    assert report.severity_count(part, "warning") == report.severity_count(full, "warning") == 31 and "exact_duplicate  … +7 more" in render.as_text(part)
