@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,6 +192,46 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Spans of more bytes are hashed and compared one by one, shorter ones eight bytes at a time.
+LONG = 64
+EIGHT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (zeros behind the end) as one number; a view that is read by places."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of spans, decided by their bytes and the seed alone. Each step mixes eight bytes into all before, so
+    no arrangement of bytes is prone to meet another one, as some are under a polynomial modulo 2**64."""
+    size = ends - starts
+    h = mix(size.astype(np.uint64) + np.uint64(seed))
+    wide, at, k = eights(data), np.flatnonzero(size <= LONG), 0
+    while len(at):
+        left = size[at] - k
+        h[at] = mix(h[at] ^ (wide[starts[at] + k] & EIGHT[np.minimum(left, 8)]))
+        at, k = at[left > 8], k + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
+    return h
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, their_ends: np.ndarray) -> np.ndarray:
+    """Which pairs of spans hold the same bytes."""
+    size = ends - starts
+    out = size == their_ends - others
+    wide, at, k = eights(data), np.flatnonzero(out & (size <= LONG) & (starts != others)), 0
+    while len(at):
+        left = size[at] - k
+        same = (wide[starts[at] + k] ^ wide[others[at] + k]) & EIGHT[np.minimum(left, 8)] == 0
+        out[at[~same]] = False
+        at, k = at[same & (left > 8)], k + 8
+    for i in np.flatnonzero(out & (size > LONG) & (starts != others)).tolist():
+        out[i] = np.array_equal(data[starts[i] : ends[i]], data[others[i] : their_ends[i]])
+    return out
+
+
 def grams(words: np.ndarray, k: int, base: np.uint64 = BASE_2) -> np.ndarray:
     """Hashes of k consecutive word hashes from each word on (the last k-1 are not whole)."""
     n = len(words) - k + 1

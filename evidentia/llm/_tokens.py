@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import marshal
 import os
 import re
+import zlib
 from functools import lru_cache
 
 import numpy as np
 
-from ._shared import BASE, LOWER, mix, prefix_hash, ranges, span_hash, word_spans
+from ._shared import LOWER, ranges, same_spans, word_hash, word_spans
 
 #: A worker remembers the ids of this many words twice over: a full table becomes the older one.
 CACHE_WORDS = 200_000
@@ -57,11 +59,13 @@ class Encoder:
     If the vocabulary drops white space and ends words by a suffix, a text's ids are the ids of its
     chunks between spaces in turn: normalisation, splitting and merging never look across a space.
     A chunk of letters and trailing punctuation is the ids of both parts. Any other chunk goes to the
-    library as it is, and so do whole texts of every other kind of vocabulary. Which words of a step are
-    the same is told by 64-bit hashes; each different one is looked up, or encoded, once.
+    library as it is, and so do whole texts of every other kind of vocabulary. Words of a step with equal
+    64-bit hashes are compared by their bytes; each different one is looked up, or encoded, once.
+
+    proof: what `prove` returned for this vocabulary, so that a worker need not prove it again.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proof: bytes | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -86,15 +90,28 @@ class Encoder:
             self.ends[i] = bool(self.suffix) and token.endswith(self.suffix)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.whole = self.whole_tokens()
-
-    def whole_tokens(self) -> dict[bytes, bytes]:
-        """Vocabulary strings of lower-case letters that the library proves to encode alone as one token, with its id."""
-        if not self.by_word:
-            return {}
-        stems = [t.removesuffix(self.suffix) for t in self.library.get_vocab(with_added_tokens=False) if t.endswith(self.suffix)]
-        stems = sorted({s for s in stems if re.fullmatch("[a-z]+", s)})
-        return {b"\0" + s.encode(): ids for s, ids in zip(stems, self._words(stems), strict=True) if len(ids) == self.dtype.itemsize}
+        self.whole: dict[bytes, bytes] = {}
+        if self.by_word:
+            self.whole = dict(self._stems() if proof is None else marshal.loads(zlib.decompress(proof)))
+
+    def _stems(self) -> list[tuple[bytes, bytes]]:
+        """Strings of the vocabulary that the library, given each alone, encodes as one token, as (key, id): the keys
+        that `_pieces` makes of them, whatever they consist of."""
+        stems = sorted({s for t in self.library.get_vocab(with_added_tokens=False) if t.endswith(self.suffix) and (s := t.removesuffix(self.suffix)) and not re.search("[ \n]", s)})
+        data = np.frombuffer("".join(stems).encode(), np.uint8)
+        offsets = np.cumsum([0, *(len(s.encode()) for s in stems)])
+        kind, low = kinds(data), lowered(data).tobytes()
+        out = []
+        for s, a, b, ids in zip(stems, offsets[:-1].tolist(), offsets[1:].tolist(), self._plain(stems), strict=True):
+            if len(ids) != self.dtype.itemsize:
+                continue
+            letters = (kind[a:b] == LETTER).all()
+            if not letters and not (kind[a:b] == ODD).any() and kind[a] == LETTER:
+                continue  # letters with marks behind are taken as two pieces
+            out.append((b"\0" + low[a:b] if letters else b"\2" + s.encode(), ids))
+            if (kind[a:b] == MARK).all():
+                out.append((b"\1" + s.encode(), ids))
+        return out
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -144,8 +161,9 @@ class Encoder:
         """Words of the texts in turn: which different word each is, the ids of those, and each text's first word."""
         kind = kinds(data)
         starts, ends, first = word_spans(kind != SPACE, offsets)
-        letters = np.concatenate([[0], np.cumsum(kind == LETTER)])
-        odd = np.concatenate([[0], np.cumsum(kind == ODD)])
+        letters, odd = np.zeros(len(kind) + 1, np.int32), np.zeros(len(kind) + 1, np.int32)
+        np.cumsum(kind == LETTER, out=letters[1:])
+        np.cumsum(kind == ODD, out=odd[1:])
         core = starts + letters[ends] - letters[starts]
         plain = (odd[ends] == odd[starts]) & (core > starts) & (letters[core] - letters[starts] == core - starts)
         core[~plain] = ends[~plain]
@@ -156,14 +174,19 @@ class Encoder:
         a, b, tag = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.uint8)
         a[at], b[at], tag[at] = starts, core, np.where(plain, WORD_TAG, RAW_TAG)
         a[at[two] + 1], b[at[two] + 1], tag[at[two] + 1] = core[two], ends[two], MARK_TAG
-        h = span_hash(prefix_hash(low, BASE), BASE, a, b)
-        raw = tag == RAW_TAG
-        if raw.any():
-            h[raw] = span_hash(prefix_hash(data, BASE), BASE, a[raw], b[raw])
-        h = mix(h ^ (b - a).astype(np.uint64) << np.uint64(40) ^ tag.astype(np.uint64) << np.uint64(62))
+        raw, tags = tag == RAW_TAG, (b"\0", b"\1", b"\2")
+        h = word_hash(low, a, b)
+        h[raw] = word_hash(data, a[raw], b[raw])
+        h += tag
         _, one, which = np.unique(h, return_index=True, return_inverse=True)
         text, raw_text = low.tobytes(), data.tobytes()
-        tags = (b"\0", b"\1", b"\2")
+        rep = one[which]
+        same = (tag == tag[rep]) & same_spans(low, a, b, a[rep], b[rep])
+        same[raw] &= same_spans(data, a[raw], b[raw], a[rep[raw]], b[rep[raw]])
+        if not same.all():  # two words share a hash: told apart by their bytes alone
+            held: dict[bytes, int] = {}
+            which = np.array([held.setdefault(tags[t] + (raw_text if t == RAW_TAG else text)[x:y], len(held)) for t, x, y in zip(tag.tolist(), a.tolist(), b.tolist(), strict=True)], np.int64)
+            return which, self._look_up(list(held)), np.searchsorted(a, offsets)
         keys = [tags[t] + (raw_text if t == RAW_TAG else text)[x:y] for t, x, y in zip(tag[one].tolist(), a[one].tolist(), b[one].tolist(), strict=True)]
         return which, self._look_up(keys), np.searchsorted(a, offsets)
 
@@ -189,5 +212,11 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def prove(path: str) -> bytes:
+    """The strings of a vocabulary that are one token each, proven once on the driver; bounded by the vocabulary."""
+    return zlib.compress(marshal.dumps(list(Encoder(path).whole.items())))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, proof: bytes | None = None) -> Encoder:
+    return Encoder(path, proof)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BASE, BASE_2, LOWER, bound_batches, byte_class, grams, large, materialize, mix, prefix_hash, ranges, slices, span_hash, utf8, word_spans
+from ._shared import BASE_2, LOWER, bound_batches, byte_class, grams, large, materialize, mix, ranges, slices, utf8, word_hash, word_spans
 
 #: A benchmark is taken in blocks of so many words; a block's index is what goes to the executors.
 BLOCK_WORDS = 2_000_000
@@ -26,8 +26,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray):
     starts, ends, first = word_spans(WORD[lower], offsets)
     if not len(starts):
         return lower, starts, ends, first, np.zeros(0, np.uint64)
-    hashes = mix(span_hash(prefix_hash(lower, BASE), BASE, starts, ends) ^ (ends - starts).astype(np.uint64) << np.uint64(56))
-    return lower, starts, ends, first, hashes
+    return lower, starts, ends, first, word_hash(lower, starts, ends)
 
 
 def phrase(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, n: int) -> bytes:

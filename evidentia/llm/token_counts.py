@@ -15,16 +15,17 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
     """One row per document: its id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     tokenizer: path of a vocabulary file of the tokenizers library. Which vocabulary strings encode
-    alone as one token is proven once per worker with the library itself; pre-tokens among them are
-    counted directly, all others are merged by the library and remembered in a bounded cache.
+    alone as one token is proven beforehand, on the driver, with the library itself; pre-tokens among them
+    are counted directly, all others are merged by the library and remembered in a bounded cache.
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows give a row each; an empty table
     gives none. Long texts are read whole. Other columns are not read and cannot clash.
     """
     bound_batches(docs.sparkSession)
+    proof = docs.sparkSession.sparkContext.broadcast(_tokens.prove(tokenizer))
 
     def count(batches):
-        held = _tokens.encoder(tokenizer)
+        held = _tokens.encoder(tokenizer, proof.value)
         for batch in batches:
             data, offsets = utf8(large(batch.column(1)))
             n = np.zeros(batch.num_rows, np.int64)

@@ -1,0 +1,130 @@
+"""Hash collisions, equal ids, rows without an id, hot groups: each with a defined result."""
+
+import random
+
+import brute
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from brute import words
+from tokenizers import Tokenizer
+
+from evidentia.llm import _shared, _tokens, decontaminate, jaccard_join, packing, token_counts
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def twins(n: int, x: str = "a", y: str = "b") -> list[str]:
+    """Two words of 2**n bytes that every polynomial hash modulo 2**64 of an odd base confuses (n of 10 or more)."""
+    one, two = x, y
+    for _ in range(n):
+        one, two = one + two, two + one
+    return [one, two]
+
+
+def test_word_hash_tells_twins_apart():
+    for n in (3, 4, 5, 6, 7, 10, 12):
+        data = np.frombuffer("".join(twins(n)).encode(), np.uint8)
+        at = np.array([0, 2**n])
+        h = _shared.word_hash(data, at, at + 2**n)
+        assert h[0] != h[1] and not _shared.same_spans(data, at[:1], at[:1] + 2**n, at[1:], at[1:] + 2**n)[0]
+        assert _shared.same_spans(data, at, at + 2**n, at, at + 2**n).all()
+
+
+def test_spans_of_all_lengths_compare_by_bytes():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    starts, size = rng.integers(0, 3800, 3000), rng.integers(1, 80, 3000)
+    others = np.where(rng.random(3000) < 0.5, starts, rng.integers(0, 3800, 3000))
+    got = _shared.same_spans(data, starts, starts + size, others, others + size)
+    assert got.tolist() == [data[a : a + n].tobytes() == data[b : b + n].tobytes() for a, b, n in zip(starts, others, size, strict=True)]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_tokens_of_twins_are_the_library_s(monkeypatch, weak):
+    """Whatever shares their step, and even if all words had one of two hashes."""
+    if weak:
+        monkeypatch.setattr(_tokens, "word_hash", lambda data, a, b, seed=0: (b - a).astype(np.uint64) % np.uint64(2))
+    held = Tokenizer.from_file(VOCABULARY)
+    for x, y in ("ab", "ae", "bz", "qx"):
+        pair = [*twins(10, x, y), *twins(11, x, y)]
+        texts = [*pair, " ".join(pair), "It's a test, 12 times. " + " ".join(pair[:2]) + " café Ünï!"]
+        ids, first = _tokens.Encoder(VOCABULARY, _tokens.prove(VOCABULARY)).encode(*_shared.utf8(pa.array(texts, pa.large_string())))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [e.ids for e in held.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_whole_tokens_are_proven():
+    held = Tokenizer.from_file(VOCABULARY)
+    whole = _tokens.Encoder(VOCABULARY).whole
+    assert len(whole) > 30_000 and {k[0] for k in whole} == {0, 1, 2}
+    for key, ids in random.Random(1).sample(sorted(whole.items()), 2000):
+        assert held.encode(key[1:].decode(), add_special_tokens=False).ids == [int.from_bytes(ids, "little")]
+
+
+def test_twins_in_tables(frame):
+    pair = twins(10)
+    rows = [(i, f"p q r s {w} u v w") for i, w in enumerate(pair)]
+    assert sorted(tuple(r) for r in jaccard_join.linked(frame(rows)).collect()) == [(0, 4, 0), (1, 4, 1)]
+    held = Tokenizer.from_file(VOCABULARY)
+    want = {i: len(held.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(frame(rows).coalesce(1), VOCABULARY, 5).collect()} == want
+    assert {r["doc_id"]: r["doc_tokens"] - 1 for r in packing.pack(frame(rows).coalesce(1), VOCABULARY).collect()} == want
+    bench = frame([(7, rows[0][1])]).selectExpr("doc_id as item_id", "text")
+    assert {r["doc_id"]: r["contaminated"] for r in decontaminate.contamination_digest(frame(rows), bench).collect()} == {0: True, 1: False}
+
+
+def test_names_that_meet_are_told_apart(odd, frame, monkeypatch):
+    """With short names of five bits most sets share one; the result is the same."""
+    monkeypatch.setattr(jaccard_join, "NAME_BITS", 5)
+    got = sorted(tuple(r) for r in jaccard_join.linked(frame(odd)).collect())
+    assert got == sorted(brute.linked(odd))
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 0])
+def test_rows_without_id_and_equal_ids_in_the_join(frame, monkeypatch, bits):
+    monkeypatch.setattr(jaccard_join, "SIEVE_BITS", bits)
+    rng = random.Random(3)
+    base = words(rng, 100)
+    near = lambda k: " ".join([*base[:k], "new", *base[k + 1 :]])
+    far = " ".join([*base[:8], "new", *base[9:20], "other", *base[21:]])
+    other = " ".join(words(rng, 100))
+    rows = [(1, " ".join(base)), (5, near(50)), (5, other), (None, near(70)), (None, other), (9, other), (9, other), (12, None), (12, ""), (None, None), (30, far)]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.linked(frame(rows)).collect()), key=str)
+    n = len(brute.shingles(other))
+    assert got == sorted([(1, 96, 1), (5, 96, 1), (5, n, 5), (None, 96, None), (None, n, None), (9, n, 5), (9, n, 5), (12, 0, 12), (12, 0, 12), (None, 0, None), (30, 96, 1)], key=str)
+    kept = jaccard_join.clean(frame(rows, True))
+    assert kept.columns == frame(rows, True).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, rows[0][1]), (5, other), (12, None), (12, ""), (None, None)], key=str)
+
+
+def test_one_row_of_equal_ones_stays(frame):
+    text = " ".join(words(random.Random(1), 50))
+    rows = [(3, text)] * 4 + [(None, "only here it is told")] * 3 + [(4, text.upper())]
+    assert sorted((r["doc_id"], r["text"]) for r in jaccard_join.clean(frame(rows)).where("doc_id is not null").collect()) == [(3, text)]
+    assert jaccard_join.clean(frame(rows)).where("doc_id is null").count() == 1
+
+
+def test_copies_of_two_near_texts_are_one_pair(frame, monkeypatch):
+    """Thousands of copies, and of rows that are equal as a whole, verify one pair of sets."""
+    seen = []
+    plain = jaccard_join.verify
+    monkeypatch.setattr(jaccard_join, "verify", lambda whole, pairs, share: (seen.append((whole.count(), pairs.count())), plain(whole, pairs, share))[1])
+    base = words(random.Random(2), 80)
+    texts = [" ".join(base), " ".join([*base[:40], "new", *base[41:]])]
+    rows = [(k % 3000, texts[k % 2]) for k in range(6000)]
+    got = jaccard_join.linked(frame(rows)).groupBy("component_id").count().collect()
+    assert [tuple(r) for r in got] == [(0, 6000)] and seen[0] == (2, 1) and seen[1][1] == 0
+
+
+def test_one_group_of_many_components_is_joined_by_parts(frame, monkeypatch):
+    """A large component and many small ones under common tokens, by parts of four sets."""
+    monkeypatch.setattr(jaccard_join, "PART", 4)
+    rng = random.Random(9)
+    base, rows = words(rng, 60), []
+    for k in range(50):
+        text = list(base)
+        for _ in range(rng.choice([1, 1, 1, 4])):
+            text[rng.randrange(60)] = f"new{rng.randrange(10**6)}"
+        rows.append((k, " ".join(text)))
+    assert sorted(tuple(r) for r in jaccard_join.linked(frame(rows)).collect()) == sorted(brute.linked(rows))
