@@ -23,7 +23,8 @@ x AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FRO
 f AS (SELECT doc_id, line, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM x WHERE NOT regexp_matches(line, '^[ \t\n\x0B\f\r]*$')),
 p AS (SELECT doc_id, place, line, lead(line) OVER (PARTITION BY doc_id ORDER BY place) AS line2 FROM f),
 r AS (SELECT doc_id, place, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, place) AS k FROM p WHERE line2 IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, unnest([place, place + 1]) AS place FROM r WHERE k > 1),
+q AS (SELECT doc_id, place, row_number() OVER (PARTITION BY line ORDER BY doc_id, place) AS k FROM f WHERE len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) > 50),
+g AS (SELECT DISTINCT doc_id, unnest([place, place + 1]) AS place FROM r WHERE k > 1 UNION SELECT doc_id, place FROM q WHERE k > 1),
 y AS (SELECT x.doc_id, x.pos, x.line, g.place IS NOT NULL AS gone FROM x LEFT JOIN f USING (doc_id, pos) LEFT JOIN g ON g.doc_id = f.doc_id AND g.place = f.place),
 z AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM y)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_runs,

@@ -12,8 +12,8 @@ from ._shared import read_table
 
 #: The vocabulary of the token queries.
 TOKENIZER = "word_bpe_49k.json"
-#: Words of a benchmark window, and lines of a repeated run.
-WINDOW, MIN_RUN = 10, 2
+#: Words of a benchmark window, lines of a repeated run, and words of more than which one line is such a run.
+WINDOW, MIN_RUN, LONG_WORDS = 10, 2, 50
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
@@ -26,7 +26,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_digest(read_table(spark, sf_dir, "documents"), MIN_RUN)
+    return line_dedup.line_digest(read_table(spark, sf_dir, "documents"), MIN_RUN, LONG_WORDS)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

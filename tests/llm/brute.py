@@ -41,26 +41,53 @@ def contamination(docs, items, width=10):
     return out
 
 
-def lines(docs, run=2):
+def lines(docs, run=2, long_words=None):
     """(doc_id, n_lines, n_removed, kept text) by the first place of every run of lines."""
     first: dict = {}
     held = []
+
+    def runs(all_, filled):
+        for k in range(len(filled) - run + 1):
+            yield k, run, tuple(all_[i] for i in filled[k : k + run])
+        for k, i in enumerate(filled):
+            if long_words is not None and len(re.findall(r"[^ \t\n\x0b\f\r]+", all_[i])) > long_words:
+                yield k, 1, (all_[i],)
+
     for doc, text in sorted(docs, key=lambda r: r[0]):
         all_ = (text or "").split("\n")
         filled = [k for k, x in enumerate(all_) if not re.fullmatch(r"[ \t\n\x0b\f\r]*", x)]
         held.append((doc, all_, filled))
-        for k in range(len(filled) - run + 1):
-            first.setdefault(tuple(all_[i] for i in filled[k : k + run]), (doc, k))
+        for k, _, what in runs(all_, filled):
+            first.setdefault(what, (doc, k))
     out = []
     for doc, all_, filled in held:
         gone = set()
-        for k in range(len(filled) - run + 1):
-            if first[tuple(all_[i] for i in filled[k : k + run])] < (doc, k):
-                gone |= set(filled[k : k + run])
+        for k, n, what in runs(all_, filled):
+            if first[what] < (doc, k):
+                gone |= set(filled[k : k + n])
         out.append((doc, len(all_), len(gone), "\n".join(x for k, x in enumerate(all_) if k not in gone)))
     return out
 
 
+def earlier_prefixes(docs, run=2):
+    """{(doc_id, place): lines of the longest run from there that also stands earlier}, of those of `run` or more."""
+    places = []
+    for doc, text in sorted(docs, key=lambda r: r[0]):
+        filled = [x for x in (text or "").split("\n") if not re.fullmatch(r"[ \t\n\x0b\f\r]*", x)]
+        places += [(doc, k, filled) for k in range(len(filled))]
+    out = {}
+    for i, (doc, k, mine) in enumerate(places):
+        best = 0
+        for _, j, other in places[:i]:
+            n = 0
+            while k + n < len(mine) and j + n < len(other) and mine[k + n] == other[j + n]:
+                n += 1
+            best = max(best, n)
+        if best >= run:
+            out[doc, k] = best
+    return out
+
+
 def repeats(docs, width=100):
     seen: set = set()
     out = []

@@ -10,7 +10,7 @@ import pytest
 from brute import words
 from tokenizers import Tokenizer
 
-from evidentia.llm import _shared, _tokens, decontaminate, jaccard_join, packing, token_counts
+from evidentia.llm import _shared, _tokens, decontaminate, jaccard_join, line_dedup, packing, token_counts
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -128,3 +128,31 @@ def test_one_group_of_many_components_is_joined_by_parts(frame, monkeypatch):
             text[rng.randrange(60)] = f"new{rng.randrange(10**6)}"
         rows.append((k, " ".join(text)))
     assert sorted(tuple(r) for r in jaccard_join.linked(frame(rows)).collect()) == sorted(brute.linked(rows))
+
+
+@pytest.mark.parametrize("run", [1, 2, 3])
+def test_common_prefixes_are_doubled_to_the_end(frame, run):
+    """Each suffix's width is the greatest doubled one within its longest earlier common prefix, by brute force."""
+    rng = random.Random(run)
+    line = lambda: rng.choice("abcdefgh" if rng.random() < 0.7 else "z") + "x" * rng.randint(0, 1)
+    texts = ["\n".join(line() for _ in range(rng.choice([0, 1, 3, 9, 30]))) for _ in range(25)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100, texts[-1] + "\nend"), (101, "\n \n".join(max(texts, key=len).split("\n"))), (102, "\n".join("q" * 40)), (103, None), (104, texts[3] + "\n" + max(texts, key=len))]
+    got = {(r["doc_id"], r["place"]): r["width"] for r in line_dedup.suffixes(frame([*rows, rows[-1]]), run).collect()}
+    widest = lambda n: run * 2 ** ((n // run).bit_length() - 1)
+    assert got == {k: widest(n) for k, n in brute.earlier_prefixes(rows, run).items()} and max(got.values()) >= 16
+
+
+def test_runs_of_lines_are_maximal(frame):
+    body = [f"line {k}" for k in range(21)]
+    rows = [(1, "\n".join(body)), (2, "\n".join(["new", *body[3:17], "new", *body[18:20], "\n", "new"])), (3, "\n".join([body[5], "x", body[6]]))]
+    runs = {r["row"]["doc_id"]: [tuple(x) for x in r["runs"]] for r in line_dedup.dedup(frame(rows, True)).collect()}
+    assert runs == {1: [], 2: [(1, 14, 8), (16, 2, 2)], 3: []}
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,0)", "date"])
+def test_ids_of_other_types(spark, kind):
+    rows = [("2024-01-01", "a\nb\nc"), ("2024-01-02", "a\nb\nx"), (None, "b\nc"), ("2024-01-02", "q\nr"), ("2024-01-03", "q\nr")]
+    cast = "cast(regexp_replace(i, '-', '') as decimal(20,0))" if kind.startswith("dec") else f"cast(i as {kind})"
+    df = spark.createDataFrame(rows, "i string, text string").selectExpr(f"{cast} as doc_id", "text")
+    got = sorted((str(r["doc_id"])[-1:], r["n_removed"]) for r in line_dedup.line_digest(df).collect())
+    assert got == [("1", 2), ("2", 0), ("2", 2), ("3", 2), ("e", 0)]
