@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.llm import decontaminate, jaccard_join, line_dedup, packing, quality
 from evidentia.llm._shared import materialize, read_table
-from evidentia.llm.queries import MIN_RUN, TOKENIZER, WINDOW
+from evidentia.llm.queries import LONG_WORDS, MIN_RUN, TOKENIZER, WINDOW
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go, and documents of which nothing is left."""
-    return line_dedup.clean(docs, MIN_RUN)
+    """Later copies of repeated runs of lines, and of long lines, go, and documents of which nothing is left."""
+    return line_dedup.clean(docs, MIN_RUN, LONG_WORDS)
 
 
 def jaccard_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
