@@ -5,111 +5,142 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import let
+from ._shared import let, partitions
 
-#: Units of a k-mer, anchors that a fingerprint keeps, and hexadecimal digits of each.
-K, ANCHORS, DIGITS = 5, 64, 12
-#: A text with more characters a word than this is taken by characters.
+#: Units of a k-mer.
+K = 5
+#: A run of more characters without white space is taken by characters.
 UNSPACED = 32
-#: Documents dealt together to find neighbours, and ranges of ids whose limits the driver knows.
-NEAR, RANGES = 256, 4096
+#: Ranges of ids for each shuffle partition and at most, ids of a sample that set the limits of one, ranges looked up
+#: at a time, and ranges (by a hash of the text) for rows without an id.
+BOXES, MAX_BOXES, EACH, FAN, NO_ID_BOXES = 4, 4096, 32, 64, 64
+
+SPACE = "[ \\t\\n\\x0B\\f\\r]+"
+
+
+def units(text: Column) -> Column:
+    """Words between white space; in place of a word of more than UNSPACED characters, its characters."""
+    words = F.filter(F.split(text, SPACE), lambda w: w != "")
+    parted = lambda ws: F.flatten(F.transform(ws, lambda w: F.when(F.length(w) > UNSPACED, F.split(w, "")).otherwise(F.array(w))))
+    return let(words, lambda ws: F.when(F.exists(ws, lambda w: F.length(w) > UNSPACED), parted(ws)).otherwise(ws))
 
 
 def anchors(text: Column) -> Column:
-    """The sketch of a text: its ANCHORS smallest distinct anchor hashes, in order.
+    """All anchors of a text in their order: hash and place (number of the first unit).
 
-    Units are words, or characters of a text without spaces. A k-mer is an anchor if the least of its
-    unit hashes stands first or last in it (a closed syncmer); so whether it is one depends on the
-    k-mer alone. A text too short for an anchor has its whole sequence as the only one; one without
-    units has none.
+    A k-mer is an anchor if the least of its unit hashes stands first or last in it (a closed syncmer); so
+    whether it is one depends on the k-mer alone, wherever it stands, and of K - 1 k-mers in a row one is. A text
+    too short for an anchor, or without one, has its whole sequence as the only one; one without units has none.
     """
 
-    def choose(words: Column) -> Column:
-        spaced = F.length(text) <= UNSPACED * (F.size(words) + 1)
-        return F.when(spaced, words).otherwise(F.split(text, ""))
-
     def edges(h: Column) -> Column:
         def is_edge(i: Column) -> Column:
             inner = F.least(*(F.get(h, i + j) for j in range(1, K - 1)))
             return F.least(F.get(h, i), F.get(h, i + (K - 1))) <= inner
 
         all_ = F.when(F.size(h) >= K, F.sequence(F.lit(0), F.size(h) - K)).otherwise(F.array().cast("array<int>"))
-        kmers = F.transform(F.filter(all_, is_edge), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(K))))
-        whole = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
-        return let(kmers, lambda k: F.when(F.size(k) > 0, F.slice(F.array_sort(F.array_distinct(k)), 1, ANCHORS)).otherwise(whole))
+        kmers = F.transform(F.filter(all_, is_edge), lambda i: F.struct(F.xxhash64(*(F.get(h, i + j) for j in range(K))).alias("hash"), i.alias("place")))
+        whole = F.when(F.size(h) > 0, F.array(F.struct(F.xxhash64(h).alias("hash"), F.lit(0).alias("place")))).otherwise(F.array().cast("array<struct<hash:bigint,place:int>>"))
+        return let(kmers, lambda k: F.when(F.size(k) > 0, k).otherwise(whole))
 
-    words = F.filter(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
-    return let(words, lambda w: let(F.transform(choose(w), lambda u: F.xxhash64(u)), edges))
+    return let(F.transform(units(text), lambda u: F.xxhash64(u)), edges)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard likeness of the anchors behind two sketches; of two empty ones 1."""
+    """Jaccard likeness of the distinct hashes of two texts' anchors, all of them; of two empty ones 1."""
+
+    def shares(u: Column, v: Column) -> Column:
+        return let(F.size(F.array_intersect(u, v)), lambda both: F.when((F.size(u) == 0) & (F.size(v) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.size(u) + F.size(v) - both, F.lit(1))))
+
+    return let(F.array_distinct(a["hash"]), lambda u: let(F.array_distinct(b["hash"]), lambda v: shares(u, v)))
 
-    def shared(u: Column) -> Column:
-        both = F.size(F.array_intersect(F.array_intersect(u, a), b))
-        return F.when(F.size(u) == 0, F.lit(1.0)).otherwise(both / F.greatest(F.size(u), F.lit(1)))
 
-    return let(F.slice(F.array_sort(F.array_union(a, b)), 1, ANCHORS), shared)
+def shared_places(a: Column, b: Column) -> Column:
+    """Where two texts share anchors: (place in a, place in b) for each anchor of a whose hash stands once in b. A shared
+    passage is a row of them at one distance."""
+    once = lambda x: F.filter(x, lambda e, i: (F.array_position(x["hash"], e["hash"]) == i + 1))
+    places = lambda b1: F.map_from_arrays(b1["hash"], b1["place"])
+    return let(places(once(b)), lambda m: F.transform(F.filter(a, lambda e: F.map_contains_key(m, e["hash"])), lambda e: F.struct(e["place"].alias("a"), F.try_element_at(m, e["hash"]).alias("b"))))
 
 
-def printed(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.right(F.hex(h), F.lit(DIGITS)), DIGITS, "0")), "")
+def printed(found: Column) -> Column:
+    """128 bits that name a text's anchors in their order; nothing for a text without any."""
+    hashes = found["hash"]
+    return F.when(F.size(hashes) == 0, "").otherwise(F.lower(F.concat(F.lpad(F.hex(F.xxhash64(hashes)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), hashes)), 16, "0"))))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_chars (code points), sketch, fingerprint. Null texts count as empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col), F.length(text).cast("long").alias("n_chars"), anchors(text).alias("sketch"))
-    return rows.withColumn("fingerprint", printed(F.col("sketch")))
+    """One row per document: id, n_chars (code points), anchors (hash and place, all of them), fingerprint (a digest of them).
+
+    Null texts count as empty; both have no anchor and an empty fingerprint. Repeated rows give a row each, an
+    empty table none; long texts are read whole. Other columns are not read.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`"), F.length(text).cast("long").alias("n_chars"), anchors(text).alias("anchors"))
+    return rows.withColumn("fingerprint", printed(F.col("anchors")))
+
+
+def boxes(docs: DataFrame) -> Column:
+    """The range of a row (id, text_hash), from the greatest ids on: limits are quantiles of a sample of ids that a hash
+    chooses, EACH for each range, so they follow the ids however these lie; rows without an id come last, ranged by hash."""
+    spark = docs.sparkSession
+    n = min(MAX_BOXES, BOXES * partitions(spark))
+    share = max(1, docs.count() // (n * EACH))
+    sample = docs.select("id").where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(share)) == 0)).distinct()
+    held = [r["id"] for r in sample.orderBy("id").collect()]
+    limits = list(dict.fromkeys(held[k] for k in range(EACH, len(held), EACH)))
+    kind = docs.schema["id"].dataType
+    lit = lambda xs: F.array(*(F.lit(x).cast(kind) for x in xs)).cast(f"array<{kind.simpleString()}>")
+    beyond = lambda xs: F.size(F.filter(xs, lambda x: x >= F.col("id")))
+    # Two looks of FAN limits each, not one of all.
+    groups = [limits[k : k + FAN] for k in range(0, len(limits), FAN)]
+    higher = beyond(lit([g[0] for g in groups]))  # groups whose least limit is not below the id
+    part = F.array(*(lit(g) for g in groups)) if groups else F.array(lit([]))
+    whole = F.greatest(F.lit(len(groups)) - higher - 1, F.lit(0))
+    inside = F.coalesce(F.size(F.get(part, whole)) - beyond(F.get(part, whole)), F.lit(0))
+    below = whole * FAN + inside
+    no_id = F.lit(MAX_BOXES) + F.floor((F.shiftrightunsigned("text_hash", 32)) * NO_ID_BOXES / (1 << 32)).cast("int")
+    return F.when(F.col("id").isNull(), no_id).otherwise(F.lit(len(limits)) - below).cast("int")
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text, sketch, next_text, next_sketch: of the next document in descending order of id, after
-    the last the first. A null id counts as smaller than all; equal ids are in order of their texts.
+    """id, text, next_text: of the next document in descending order of id, after the last the first. Ids are of any
+    type that has an order; equal ids are in the order of a hash of their texts, and null ids, likewise, behind all others.
 
-    Texts are dealt once, by ranges of about NEAR ids. Only the last document of a range looks beyond
-    it: the next filled range is found on the list of ranges alone, and its first document is joined.
+    Texts are dealt once, by ranges of ids with about as many rows each. Only the last document of a range
+    looks beyond it, to the first of the next filled one; the list of ranges is as long as there are ranges.
     """
     spark = docs.sparkSession
-    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    low, high = (0, 0) if low is None else (int(low), int(high))
-    near = max(1, (high - low + 2) * NEAR // max(1, n))
-    far = max(1, -(-((high - low + 1) // near + 2) // RANGES))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(low - 1))
-    box = F.coalesce(F.floor((key - F.lit(low - 1)) / F.lit(near)).cast("long"), F.lit(0))
-    boxes = docs.select(box.alias("box")).distinct()
-    # At most RANGES rows: the highest box of each range of boxes, and the range before.
-    tops = sorted((r["far"], r["top"]) for r in boxes.groupBy(F.floor(F.col("box") / F.lit(far)).cast("long").alias("far")).agg(F.max("box").alias("top")).collect())
-    before = [(f, tops[k - 1][1]) for k, (f, _) in enumerate(tops)]
-    before = spark.createDataFrame(before, "far long, wrap long")
-    boxes = boxes.withColumn("far", F.floor(F.col("box") / F.lit(far)).cast("long"))
-    boxes = boxes.withColumn("lower", F.lead("box").over(Window.partitionBy("far").orderBy(F.desc("box")))).join(F.broadcast(before), "far")
-    boxes = boxes.select(F.col("box").alias("tail_box"), F.coalesce("lower", "wrap").alias("head_box"))
-
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    docs = docs.withColumn("box", boxes(docs))
+    # MAX_BOXES + NO_ID_BOXES + 1 rows at most.
+    filled = sorted(r["box"] for r in docs.select("box").distinct().collect())
+    follows = spark.createDataFrame(list(zip(filled, filled[1:] + filled[:1], strict=True)), "tail_box int, head_box int")
     # All three uses below read the same columns of the same exchange, which Spark then runs once.
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(key.alias("key"), box.alias("box"), F.struct(text.alias("text"), F.col(id_col).alias("id"), anchors(text).alias("sketch")).alias("row")).repartition("box")
-    order = Window.partitionBy("box").orderBy(F.desc("key"), "row")
+    rows = docs.select("id", "box", "text_hash", F.struct("text", "id").alias("row")).repartition("box")
+    order = Window.partitionBy("box").orderBy(F.desc("id"), "text_hash", "row")
     rows = rows.withColumns({"rank": F.row_number().over(order), "next": F.lead("row").over(order)})
     inner = rows.where("next is not null").select("row", "next")
     heads = rows.where("rank = 1").select(F.col("box").alias("head_box"), F.col("row").alias("next"))
     tails = rows.where("next is null").select("row", F.col("box").alias("tail_box"))
-    found = inner.unionByName(tails.join(boxes, "tail_box").join(heads, "head_box").select("row", "next"))
-    return found.select("row.id", "row.text", "row.sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
+    found = inner.unionByName(tails.join(F.broadcast(follows), "tail_box").join(heads, "head_box").select("row", "next"))
+    return found.select("row.id", "row.text", F.col("next.text").alias("next_text"))
 
 
 def edit_digest(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of the text whose latter half is the beginning of the next document.
 
     One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next. Null texts count as empty; repeated rows give a row each; an empty table gives none.
+    near_next (likeness of all anchors). Null texts count as empty; repeated rows give a row each; an empty
+    table gives none; the only document is its own next. Long texts are read whole.
     """
     rows = with_next(docs, "doc_id", "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.select("id", n.cast("long").alias("n_chars"), F.concat(F.left("text", n - half), F.left("next_text", half)).alias("edited"), "sketch", "next_sketch")
-    rows = rows.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", anchors(F.col("edited")).alias("edited_sketch"))
+    edited = F.concat(F.left("text", n - half), F.left("next_text", half))
+    rows = rows.select("id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), anchors(F.col("text")).alias("mine"), anchors(edited).alias("edited"), anchors(F.col("next_text")).alias("next"))
     return rows.select(
-        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", printed(F.col("sketch")).alias("fingerprint"), printed(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", printed(F.col("mine")).alias("fingerprint"), printed(F.col("edited")).alias("edited_fingerprint"),
+        likeness(F.col("mine"), F.col("edited")).alias("near_edited"), likeness(F.col("mine"), F.col("next")).alias("near_next"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import xxhash
+
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -127,3 +129,29 @@ def linked(docs, k=5, share=75):
                 p, q = root(i), root(j)
                 up[max(p, q)] = min(p, q)
     return [(i, len(sets[i]), root(i)) for i in ids]
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def chained(values, seed=42):
+    """xxhash64 of whole numbers in turn."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), seed)
+    return signed(seed)
+
+
+def anchors(text, k=5):
+    """(hash, place) of the k-mers whose least unit hash stands at an edge."""
+    units = []
+    for w in re.split(r"[ \t\n\x0b\f\r]+", text or ""):
+        units += list(w) if len(w) > 32 else [w] if w else []
+    h = [signed(xxhash.xxh64_intdigest(u.encode(), 42)) for u in units]
+    found = [(chained(h[i : i + k]), i) for i in range(len(h) - k + 1) if min(h[i], h[i + k - 1]) <= min(h[i + 1 : i + k - 1])]
+    return found or ([(chained(h), 0)] if h else [])
+
+
+def likeness(a, b):
+    u, v = {h for h, _ in anchors(a)}, {h for h, _ in anchors(b)}
+    return len(u & v) / len(u | v) if u | v else 1.0

@@ -189,7 +189,7 @@ def test_fingerprints(odd, frame):
         edited = text[: len(text) - half] + after[:half]
         assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(text), brute.sha(edited.encode()))
         assert by_text.setdefault(text, got[i]["fingerprint"]) == got[i]["fingerprint"]
-        assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
+        assert got[i]["near_edited"] == pytest.approx(brute.likeness(text, edited), abs=1e-12) and got[i]["near_next"] == pytest.approx(brute.likeness(text, after), abs=1e-12)
         if edited == text:
             assert got[i]["near_edited"] == 1
     assert got[9000]["fingerprint"] == ""
@@ -197,6 +197,47 @@ def test_fingerprints(odd, frame):
     assert np.mean([r["near_edited"] for r in long]) > 0.2
 
 
+def test_anchors_are_closed_syncmers(odd, frame):
+    got = {r["doc_id"]: [tuple(a) for a in r["anchors"]] for r in fingerprints.fingerprints(frame([*odd, (7000, "ab" * 16 + " " + "cd" * 17)], True)).collect()}
+    assert all(got[i] == brute.anchors(t) for i, t in odd) and len(got[7000]) > 5
+
+
+def test_shared_passages_are_placed(spark):
+    rng = random.Random(8)
+    passage, one, two = words(rng, 40, 10**6), words(rng, 3000, 10**6), words(rng, 200, 10**6)
+    df = spark.createDataFrame([(" ".join([*one[:1000], *passage, *one[1000:]]), " ".join([*two[:50], *passage, *two[50:]]))], "a string, b string")
+    found = df.select(fingerprints.shared_places(fingerprints.anchors(F.col("a")), fingerprints.anchors(F.col("b"))).alias("m")).first()["m"]
+    assert len(found) >= 8 and {x["a"] - x["b"] for x in found} == {950} and all(1000 <= x["a"] <= 1035 for x in found)
+
+
+def test_a_few_characters_do_not_change_all_units(spark):
+    text = "x" * 900 + " " + " ".join(words(random.Random(1), 30))
+    rows = spark.createDataFrame([(text[:n], text[: n + 4]) for n in (500, 890, 1020)], "a string, b string")
+    near = rows.select(fingerprints.likeness(fingerprints.anchors(F.col("a")), fingerprints.anchors(F.col("b"))).alias("x")).collect()
+    assert all(r["x"] > 0.8 for r in near)
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "decimal(30,0)"])
+def test_next_documents_of_odd_ids(spark, monkeypatch, kind):
+    """Far outliers, the least long, repeated and missing ids, and ids that are no integers."""
+    monkeypatch.setattr(fingerprints, "EACH", 8)
+    monkeypatch.setattr(fingerprints, "FAN", 4)
+    ids = [*range(400), 10**15, -(2**63), 7, 7, None, None, None]
+    texts = [f"text {k} of its own" for k in range(len(ids))]
+    df = spark.createDataFrame(list(zip(map(str, ids), texts, strict=True)), "i string, text string").selectExpr(f"cast(nullif(i, 'None') as {kind}) as doc_id", "text")
+    held = fingerprints.with_next(df, "doc_id", "text").collect()
+    after = {r["text"]: r["next_text"] for r in held}
+    key = {t: str(i) if kind == "string" else i for t, i in zip(texts, ids, strict=True) if i is not None}
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(sorted(key, key=lambda t: hashed[t]), key=lambda t: key[t], reverse=True)
+    order = [t for _, g in __import__("itertools").groupby(order, key=lambda t: key[t]) for t in sorted(g, key=lambda t: hashed[t])]
+    last = [t for t in texts if t not in key]
+    assert len(held) == len(ids) == len(after) and all(after[a] == b for a, b in zip(order[:-1], order[1:], strict=True))
+    assert after[order[-1]] in last and sum(after[t] in last for t in last) == len(last) - 1 and [after[t] for t in last if after[t] not in last] == [order[0]]
+    sizes = df.withColumnRenamed("doc_id", "id").withColumn("text_hash", F.xxhash64("text"))
+    assert max(r["count"] for r in sizes.withColumn("box", fingerprints.boxes(sizes)).groupBy("box").count().collect()) <= 100
+
+
 def test_one_document_follows_itself(frame):
     out = fingerprints.edit_digest(frame([(1, "a b c d e f g h")])).first()
     assert out["near_next"] == 1 and out["edited_sha256"] == brute.sha(b"a b c d a b c d"[:8] + b"a b c d "[:7])
