@@ -156,3 +156,29 @@ def test_ids_of_other_types(spark, kind):
     df = spark.createDataFrame(rows, "i string, text string").selectExpr(f"{cast} as doc_id", "text")
     got = sorted((str(r["doc_id"])[-1:], r["n_removed"]) for r in line_dedup.line_digest(df).collect())
     assert got == [("1", 2), ("2", 0), ("2", 2), ("3", 2), ("e", 0)]
+
+
+@pytest.mark.parametrize("most", [4, 10, 300])
+def test_short_documents_leave_little_padding(frame, most):
+    rng = random.Random(most)
+    rows = [(k, " ".join(["the"] * rng.randint(1 if most > 4 else 2, most - 1))) for k in range(6000)]
+    got = packing.pack(frame(rows), VOCABULARY).collect()
+    used: dict = {}
+    for r in got:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in used.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    total = sum(r["length"] for r in got)
+    assert len(got) == 6000 and sorted(used) == list(range(len(used))) and len(used) <= total / 4096 / 0.97 + 1
+
+
+def test_a_frequent_length_has_salts_of_its_own(frame, monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER", 50)
+    rows = [(7, "the cat")] * 700 + [(k, "one two three") for k in range(30)]
+    got = packing.pack(frame(rows), VOCABULARY).collect()
+    places = [(r["sequence_id"], r["offset"]) for r in got]
+    assert len(got) == 730 == len(set(places)) and max(r["sequence_id"] for r in got) == 0
