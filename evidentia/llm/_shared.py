@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one NumPy step works on; bounds a Python worker's memory.
 SLICE_BYTES = 1 << 20
@@ -83,6 +84,22 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of keys that are sent to all tasks at most (some ten bytes each).
+SENT = 500_000
+
+
+def few(rows: DataFrame, keys: DataFrame, on: str | list[str] | Column, how: str) -> DataFrame:
+    """A join with a table of keys: sent to all tasks if it has SENT rows at most, else by a shuffle."""
+    return rows.join(F.broadcast(keys) if keys.count() <= SENT else keys, on, how)
+
+
+def whole_ids(docs: DataFrame, id_col: str) -> None:
+    """Refuse ids that are no whole numbers of 64 bits at most."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{id_col}: whole numbers are needed, not {kind.simpleString()}")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -263,9 +280,14 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(begin, counts) + np.repeat(starts, counts)
 
 
-def buckets(spark: SparkSession) -> int:
-    """Groups that hashed keys are dealt to: several for each shuffle partition, so that they even out."""
-    return max(64, 8 * partitions(spark))
+#: Bytes of input for one bucket at most, on average.
+BUCKET_BYTES = 32 << 20
+
+
+def buckets(spark: SparkSession, size: int = 0) -> int:
+    """Groups that hashed keys are dealt to: several for each shuffle partition, so that they even out, and more
+    where the input (`size` bytes) asks for it, so that one stays small."""
+    return max(64, 8 * partitions(spark), -(-size // BUCKET_BYTES))
 
 
 def blocks(bucket: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:

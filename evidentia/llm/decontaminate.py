@@ -2,30 +2,29 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import BASE_2, LOWER, bound_batches, byte_class, grams, large, materialize, mix, ranges, slices, utf8, word_hash, word_spans
+from ._shared import BASE_2, LOWER, bound_batches, byte_class, few, grams, large, let, materialize, mix, ranges, slices, utf8, word_hash, word_spans
 
-#: A benchmark is taken in blocks of so many words; a block's index is what goes to the executors.
-BLOCK_WORDS = 2_000_000
 #: Words of the k-grams whose minima are kept.
 K = 5
+#: Bits of a sieve for each fingerprint, and at most; a benchmark of more windows is taken in several passes.
+SIEVE_SHARE, SIEVE_BITS = 32, 1 << 27
 
 #: Bytes of words after lower-casing: digits, a to z, everything beyond ASCII.
 WORD = byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
+FOUND = "array<struct<place:int,n:int,full:bigint,phrase:binary>>"
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray):
     """Lower-cased bytes, word starts and ends, each text's first word, and word hashes."""
     lower = LOWER[data]
     starts, ends, first = word_spans(WORD[lower], offsets)
-    if not len(starts):
-        return lower, starts, ends, first, np.zeros(0, np.uint64)
     return lower, starts, ends, first, word_hash(lower, starts, ends)
 
 
@@ -36,166 +35,164 @@ def phrase(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, n:
     return b" ".join([whole[s - a : e - a] for s, e in zip(starts[at : at + n].tolist(), ends[at : at + n].tolist(), strict=True)])
 
 
-@dataclass
-class Index:
-    """Windows of one block of benchmark items: hashes in order, their words, and the items of each."""
-
-    width: int
-    prints: np.ndarray  # minima of the k-grams of full windows, sorted
-    sieve: np.ndarray  # which low bits the minima have
-    hashes: dict[int, np.ndarray]  # of windows by number of words, sorted
-    phrases: dict[int, list[bytes]]  # in the same order
-    items: dict[int, list[tuple[str, ...]]]
-
-
-def low_bits(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return sieve[(h & np.uint64(len(sieve) - 1)).astype(np.int64)]
-
-
-def build(rows: list[tuple[str, str]], width: int) -> Index:
-    texts = large(pa.array([t or "" for _, t in rows], pa.large_string()))
-    lower, starts, ends, first, h = words_of(*utf8(texts))
-    found: dict[int, dict[bytes, tuple[int, set[str]]]] = {}
-    minima: set[int] = set()
-    five = grams(h, K)
-    for k, (item, _) in enumerate(rows):
-        a, b = int(first[k]), int(first[k + 1])
-        n = min(width, b - a)
-        if not n:
-            continue
-        full = grams(h[a:b], n)
-        for at in range(a, b - n + 1):
-            found.setdefault(n, {}).setdefault(phrase(lower, starts, ends, at, n), (int(full[at - a]), set()))[1].add(item)
-            if n == width:
-                minima.add(int(five[at : at + width - K + 1].min()))
-    prints = np.array(sorted(minima), np.uint64)
-    sieve = np.zeros(1 << max(16, (16 * len(prints)).bit_length()), bool)
-    sieve[(prints & np.uint64(len(sieve) - 1)).astype(np.int64)] = True
-    hashes, phrases, items = {}, {}, {}
-    for n, windows in found.items():
-        order = sorted(windows.items(), key=lambda x: x[1][0])
-        hashes[n] = np.array([x[1][0] for x in order], np.uint64)
-        phrases[n] = [x[0] for x in order]
-        items[n] = [tuple(sorted(x[1][1])) for x in order]
-    return Index(width, prints, sieve, hashes, phrases, items)
-
-
-def hits(index: Index, data: np.ndarray, offsets: np.ndarray):
-    """Occurrences of the index's windows: word numbers, words of the window, items; and each text's first word."""
-    lower, starts, ends, first, h = words_of(data, offsets)
-    owner = np.repeat(np.arange(len(first) - 1), first[1:] - first[:-1])
-    out: list[tuple[int, int, tuple[str, ...]]] = []
-    for n, known in index.hashes.items():
-        if len(h) < n:
-            continue
-        if n == index.width:
-            # Winnowing: each window keeps the minimum of its k-grams; a minimum holds for a run of windows.
-            five = grams(h, K)
-            least = five[: len(h) - n + 1].copy()
-            for i in range(1, n - K + 1):
-                np.minimum(least, five[i : len(least) + i], out=least)
-            change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-            run = np.diff(np.append(change, len(least)))
-            kept = least[change]
-            maybe = np.flatnonzero(low_bits(index.sieve, kept))
-            place = np.searchsorted(index.prints, kept[maybe])
-            maybe = maybe[index.prints[np.minimum(place, len(index.prints) - 1)] == kept[maybe]]
-            at = ranges(change[maybe], run[maybe])
-        else:
-            at = np.arange(len(h) - n + 1)
-        at = at[owner[at] == owner[at + n - 1]]
-        # Extension: all windows of the run are compared as a whole, by hash and then by their words.
-        full = h[at].copy()
-        for i in range(1, n):
-            full *= BASE_2
-            full += h[at + i]
-        full = mix(full)
-        place = np.searchsorted(known, full)
-        same = known[np.minimum(place, len(known) - 1)] == full
-        for word, k in zip(at[same].tolist(), place[same].tolist(), strict=True):
-            words = phrase(lower, starts, ends, word, n)
-            value = known[k]
-            while k < len(known) and known[k] == value:
-                if index.phrases[n][k] == words:
-                    out.append((word, n, index.items[n][k]))
-                    break
-                k += 1
-    return out, first
-
-
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Disjoint spans in order that cover the same words."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            if b > out[-1][1]:
-                out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def minima(h: np.ndarray, n: int) -> np.ndarray:
+    """Winnowing: of each window of n words the least hash of its K-grams."""
+    k = min(K, n)
+    each = grams(h, k)
+    least = each[: len(h) - n + 1].copy()
+    for i in range(1, n - k + 1):
+        np.minimum(least, each[i : len(least) + i], out=least)
+    return least
+
+
+def full_hash(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    full = h[at].copy()
+    for i in range(1, n):
+        full *= BASE_2
+        full += h[at + i]
+    return mix(full)
+
+
+def benchmark_windows(items: DataFrame, width: int) -> DataFrame:
+    """A table of the different windows of the items (item, text): n (words), print (the least hash), full (the hash of the
+    whole window), phrase (its words), items (sorted). An item of fewer words than `width` is one window."""
+
+    def cut(batches):
+        for batch in batches:
+            data, offsets = utf8(large(batch.column(1)))
+            names = batch.column(0).to_pylist()
+            for a, b in slices(offsets):
+                lower, starts, ends, first, h = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                rows: dict[tuple[str, bytes], tuple[int, int, int]] = {}
+                for k in range(b - a):
+                    x, y = int(first[k]), int(first[k + 1])
+                    n = min(width, y - x)
+                    if not n:
+                        continue
+                    own = h[x:y]
+                    least, full = minima(own, n).view(np.int64).tolist(), full_hash(own, np.arange(y - x - n + 1), n).view(np.int64).tolist()
+                    for i, (p, f) in enumerate(zip(least, full, strict=True)):
+                        rows[names[a + k], phrase(lower, starts, ends, x + i, n)] = (n, p, f)
+                held = list(rows.items())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v[0] for _, v in held], pa.int32()), pa.array([v[1] for _, v in held], pa.int64()), pa.array([v[2] for _, v in held], pa.int64()), pa.array([k[1] for k, _ in held], pa.binary()), pa.array([k[0] for k, _ in held], pa.string())],
+                    ["n", "print", "full", "phrase", "item"],
+                )
+
+    rows = items.mapInArrow(cut, "n int, print long, full long, phrase binary, item string")
+    return materialize(rows.groupBy("n", "print", "full", "phrase").agg(F.array_sort(F.collect_set("item")).alias("items")), "benchmark-windows")
+
+
+def sieve(windows: DataFrame, column: str, size: int) -> np.ndarray:
+    """Which remainders modulo `size` the column has; four bytes a window come to the driver, in one pass at most SIEVE_BITS / SIEVE_SHARE."""
+
+    def mark(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.unique(np.asarray(batch.column(0), np.int64)).astype("<u4").tobytes()])], ["x"])
+
+    bits = np.zeros(size, bool)
+    for row in windows.select(F.pmod(column, F.lit(size))).mapInArrow(mark, "x binary").collect():
+        bits[np.frombuffer(bytes(row["x"]), "<u4")] = True
+    return np.packbits(bits)
+
+
+def low_bits(held: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h & np.uint64(8 * len(held) - 1)).astype(np.int64)
+    return (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def candidates(docs: DataFrame, windows: DataFrame, width: int, all_rows: bool) -> DataFrame:
+    """Of documents (text, id, print): id, print, n_words and the windows whose fingerprint and whole hash pass the sieves of
+    the benchmark's (found: place, n, full, phrase); rows without any only if all_rows."""
+    spark = docs.sparkSession
+    sizes = sorted(r["n"] for r in windows.select("n").distinct().collect())  # width numbers at most
+    bits = 1 << max(16, (windows.count() * SIEVE_SHARE - 1).bit_length())
+    least, whole = (spark.sparkContext.broadcast(sieve(windows, c, bits)) for c in ("print", "full"))
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("n", pa.int32()), ("full", pa.int64()), ("phrase", pa.binary())]))
+
+    def look(batches):
+        for batch in batches:
+            data, offsets = utf8(large(batch.column(0)))
+            for a, b in slices(offsets):
+                lower, starts, ends, first, h = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                owner = np.repeat(np.arange(b - a), np.diff(first))
+                found: list[list[dict]] = [[] for _ in range(b - a)]
+                for n in sizes:
+                    if len(h) < n:
+                        continue
+                    # A minimum holds for a run of windows; all windows of a run that passes are taken as a whole.
+                    each = minima(h, n)
+                    change = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
+                    run = np.diff(np.append(change, len(each)))
+                    maybe = np.flatnonzero(low_bits(least.value, each[change]))
+                    at = ranges(change[maybe], run[maybe])
+                    at = at[owner[at] == owner[at + n - 1]]
+                    full = full_hash(h, at, n)
+                    good = low_bits(whole.value, full)
+                    for word, f in zip(at[good].tolist(), full[good].view(np.int64).tolist(), strict=True):
+                        k = int(owner[word])
+                        found[k].append({"place": word - int(first[k]), "n": n, "full": f, "phrase": phrase(lower, starts, ends, word, n)})
+                keep = np.arange(b - a) if all_rows else np.array([k for k in range(b - a) if found[k]], np.int64)
+                held = batch.slice(a, b - a).take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([held.column(1), held.column(2), pa.array(np.diff(first)[keep], pa.int64()), pa.array([found[k] for k in keep.tolist()], kind)], ["id", "print", "n_words", "found"])
+
+    id_kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(look, f"id {id_kind}, print long, n_words long, found {FOUND}")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    return docs.select(text.alias("text"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("print"))
+
+
+def looked_up(docs: DataFrame, benchmark: DataFrame, width: int, all_rows: bool) -> tuple[DataFrame | None, DataFrame]:
+    """The documents (id, print, n_words), if asked for, and their occurrences of benchmark windows (id, print, place, n, items): fingerprints
+    and windows of both sides are joined, and a window's words compared as they are."""
+    spark: SparkSession = docs.sparkSession
+    bound_batches(spark)
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    windows = benchmark_windows(items, width)
+    passes = max(1, -(-windows.count() * SIEVE_SHARE // SIEVE_BITS))
+    rows, hits = None, []
+    for k in range(passes):
+        mine = materialize(windows.where(F.pmod(F.xxhash64("full"), F.lit(passes)) == k), "benchmark-part") if passes > 1 else windows
+        held = materialize(candidates(docs, mine, width, all_rows and not k), "fingerprints")
+        if all_rows and not k:
+            rows = held.select("id", "print", "n_words")
+        asked = held.select("id", "print", F.explode("found").alias("f")).select("id", "print", "f.*")
+        hits.append(few(asked, mine.select("n", "full", "phrase", "items"), ["n", "full", "phrase"], "inner").select("id", "print", "place", "n", "items"))
+    return rows, reduce(DataFrame.union, hits)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Which words of each document stand in windows of `width` consecutive words of benchmark items.
 
-    One row per document: id, n_words, spans (disjoint hit spans [from, to) of word numbers), items
-    (sorted ids, as text, of items with occurring windows). An item of fewer words is one window of its own; an item without words is none. Winnowing keeps the least
-    hash of the K-grams of each window of the document; a window that also stands in the benchmark has
-    the same minimum there, so every shared span of `width` words is found. Matches are extended
-    to whole windows and compared word by word.
+    One row per document: id, n_words, spans (disjoint hit spans [a, b) of word numbers), items
+    (sorted ids, as text, of items with occurring windows). An item of fewer words is one window of its own; an item
+    without words is none. Winnowing keeps the least hash of the K-grams of each window, of documents and
+    benchmark alike, so every shared span of `width` words has a fingerprint in common. Documents' windows
+    whose fingerprint passes a sieve of the benchmark's are joined with the benchmark's windows and compared word by word.
 
-    The benchmark is indexed in blocks of about block_words words, one pass over the documents each, so
-    what goes to the executors is bounded. A single item is never split: one longer than that is a block.
-    Null texts have no words. Repeated rows give a row each; equal item ids count once. A null item id
-    is the empty text. Whole texts are read; other columns are neither read nor changed.
+    Nothing of the benchmark but the sieve (SIEVE_SHARE bits a window, SIEVE_BITS at most) goes to all tasks; a larger
+    benchmark is taken in passes. Texts are read once a pass and never shuffled. Null texts have no words.
+    Repeated rows give a row each; equal item ids count once; a null item id is the empty text; ids are of
+    any type. An empty table gives none. Whole texts are read; other columns are neither read nor changed.
     """
-    held = scan(docs, benchmark, width, [id_col], text_col, block_words)
-    return held.select(F.col("k0").alias(id_col), "n_words", "spans", "items")
+    rows, hits = looked_up(keyed(docs, id_col, text_col), benchmark, width, True)
+    each = hits.groupBy("id", "print").agg(F.collect_set(F.struct("place", "n")).alias("hit"), F.collect_set("items").alias("items"))
+    words = F.array_sort(F.array_distinct(F.flatten(F.transform("hit", lambda h: F.sequence(h["place"], h["place"] + h["n"] - 1)))))
+    spans = F.when(F.col("hit").isNotNull(), let(words, islands)).otherwise(F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"))
+    names = F.coalesce(F.array_sort(F.array_distinct(F.flatten("items"))), F.expr("cast(array() as array<string>)"))
+    each = each.select(F.col("id").alias("_i"), F.col("print").alias("_p"), "hit", "items")
+    rows = rows.join(each, F.col("id").eqNullSafe(F.col("_i")) & F.col("print").eqNullSafe(F.col("_p")), "left")
+    return rows.select(F.col("id").alias(id_col), "n_words", spans.alias("spans"), names.alias("items"))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int, keep: list[str], text_col: str, block_words: int) -> DataFrame:
-    """text, n_words, spans, items, and the columns of `keep` as k0, k1, ..., so that no name can clash."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // (6 * block_words)))
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in keep}
-    carried = ", ".join(f"`k{i}` {kind}" for i, kind in enumerate(kinds.values()))
-    held = docs.select(F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<a:long,b:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(kinds)))
-    schema = f"text string, n_words long, spans array<struct<a:long,b:long>>, items array<string>, {carried}"
-    span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-
-    def step(index: Index):
-        def run(batches):
-            for batch in batches:
-                texts = large(batch.column(0))
-                data, offsets = utf8(texts)
-                spans: dict[int, list[tuple[int, int]]] = {}
-                items: dict[int, set[str]] = {}
-                n_words = np.zeros(batch.num_rows, np.int64)
-                for a, b in slices(offsets):
-                    found, first = hits(index, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    n_words[a:b] = first[1:] - first[:-1]
-                    owners = np.searchsorted(first, [f[0] for f in found], "right") - 1 if found else []
-                    for (word, n, names), k in zip(found, owners, strict=True):
-                        at = word - int(first[k])
-                        spans.setdefault(a + int(k), []).append((at, at + n))
-                        items.setdefault(a + int(k), set()).update(names)
-                old_spans, old_items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                all_spans = [[{"a": a, "b": b} for a, b in merge([(x["a"], x["b"]) for x in old_spans[k]] + spans[k])] if k in spans else old_spans[k] for k in range(batch.num_rows)]
-                all_items = [sorted({*old_items[k], *items[k]}) if k in items else old_items[k] for k in range(batch.num_rows)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(all_spans, span), pa.array(all_items, pa.list_(pa.string())), *batch.columns[4:]], names=batch.schema.names)
-
-        return run
-
-    for k in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else items
-        index = build([(r["item"], r["text"]) for r in mine.collect()], width)
-        if k:
-            held = materialize(held, "decontaminate")
-        held = held.mapInArrow(step(index), schema)
-    return held
+def islands(words: Column) -> Column:
+    """Runs of consecutive numbers of a sorted array, as [a, b)."""
+    begin = F.filter(words, lambda x, i: (i == 0) | (F.get(words, F.greatest(i - 1, F.lit(0))) < x - 1))
+    end = F.filter(words, lambda x, i: (i == F.size(words) - 1) | (F.get(words, i + 1) > x + 1))
+    return F.zip_with(begin, end, lambda a, b: F.struct(a.cast("long").alias("a"), (b + 1).cast("long").alias("b")))
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -208,8 +205,12 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, width: int = 10)
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents without any word in a benchmark window, all their columns unchanged."""
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without any word in a benchmark window, all their columns unchanged, repeated rows each; rows of one id are
+    judged each by its own text, null texts and ids stay like any others, an empty table stays empty."""
     names = docs.columns
-    held = scan(docs, benchmark, width, names, text_col, block_words)
-    return held.where(F.size("spans") == 0).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)))
+    _, hits = looked_up(keyed(docs, id_col, text_col), benchmark, width, False)
+    gone = materialize(hits.select(F.col("id").alias("_i"), F.col("print").alias("_p")).distinct(), "contaminated")
+    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"), F.xxhash64(F.col(f"`{text_col}`")).alias("_print"))
+    same = F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_i")) & (F.col("_print") == F.col("_p"))
+    return few(rows, gone, same, "left_anti").select("_row.*")

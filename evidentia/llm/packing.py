@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _tokens
-from ._shared import bound_batches, large, materialize, slices, utf8
+from ._shared import bound_batches, few, large, materialize, slices, utf8
 
 #: A sequence has this many units at most; the linear program has a row for each length in units.
 CLASSES = 512
@@ -18,8 +18,6 @@ CLASSES = 512
 TOGETHER = 100_000
 #: The program ends when no pattern is worth more than 1 + TOLERANCE, or after so many columns, MANY a pricing at most.
 TOLERANCE, MAX_COLUMNS, MANY = 1e-3, 4000, 24
-#: Rows of salts that are sent to all tasks at most; more are joined by a shuffle.
-SENT = 500_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,7 +230,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int | No
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     offsets = materialize(offsets.select("length", "salt", before.alias("before")), "salts")
     order = Window.partitionBy("length", "salt").orderBy("id", "start", "ids_crc32", "doc_tokens")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).join(F.broadcast(offsets) if offsets.count() <= SENT else offsets, ["length", "salt"])
+    ranked = few(rows.withColumn("rank", F.row_number().over(order)), offsets, ["length", "salt"], "inner")
     ranked = ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("rank") - 1).alias("rank"))
     first = np.searchsorted(places[:, 0], np.arange(size + 2))
 

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _tokens
-from ._shared import bound_batches, large, partitions, shared_dir, slices, utf8
+from ._shared import bound_batches, large, partitions, shared_dir, slices, utf8, whole_ids
 
-#: Documents whose ids train the dictionary, bytes used of each, and the dictionary's size.
+#: Documents whose ids train the dictionary, bytes used of each (from a place that a hash chooses), and the dictionary's size.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 64 << 10
 #: A block is closed beyond so many bytes of frames.
 BLOCK_BYTES = 4 << 20
@@ -24,7 +24,7 @@ LEVEL = 3
 #: Stands for a null id, before all others.
 NO_ID = -(2**63)
 
-BLOCK = "shard int, block int, first long, n_docs long, n_tokens long, id_bytes int, dictionary string, ids binary, tokens binary, offsets binary, frames binary"
+BLOCK = "shard int, block int, low long, high long, first long, n_docs long, n_tokens long, id_bytes int, dictionary string, ids binary, tokens binary, offsets binary, frames binary"
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
@@ -32,8 +32,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     smallest hashes of their ids, SAMPLE_BYTES of each. Too little to train on: empty, no dictionary."""
     # Ids are chosen first and texts fetched for them alone, so that the driver gets no more than the sample.
     chosen = docs.select(F.xxhash64("id").alias("h"), "id").distinct().orderBy("h", "id").limit(SAMPLE_DOCS).select("id")
-    texts = docs.join(F.broadcast(chosen), "id", "left_semi").select(F.xxhash64("id").alias("h"), F.substring(F.coalesce("text", F.lit("")), 1, 4 * SAMPLE_BYTES).alias("text"))
-    rows = sorted(texts.limit(SAMPLE_DOCS).collect(), key=lambda r: (r["h"], r["text"]))
+    text, h = F.coalesce("text", F.lit("")), F.xxhash64("id")
+    piece = F.substring(text, F.lit(1) + F.pmod(h, F.greatest(F.length(text) - 4 * SAMPLE_BYTES, F.lit(1))).cast("int"), F.lit(4 * SAMPLE_BYTES))
+    # One text of each id, the same whatever the order of rows.
+    texts = docs.join(F.broadcast(chosen), "id", "left_semi").groupBy(h.alias("h")).agg(F.min(piece).alias("text"))
+    rows = sorted(texts.collect(), key=lambda r: (r["h"], r["text"]))
     held = _tokens.encoder(tokenizer)
     ids, first = held.encode(*utf8(pa.array([r["text"] for r in rows], pa.large_string())))
     samples = [x for a, b in zip(first[:-1], first[1:], strict=True) if (x := ids[a:b].tobytes()[:SAMPLE_BYTES])]
@@ -51,14 +54,17 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
     do and lost tasks are committed once): a shard holds a range of document ids; a block holds, for
     its documents in order, ids (int64), tokens (uint32 counts), offsets (uint64, one more than
     documents) into frames, and the SHA-256 of the dictionary. `path`/dictionary has that dictionary.
-    A frame is one document's ids, little-endian, id_bytes each. Reading one document takes the
-    offset index and one frame.
+    A frame is one document's ids, little-endian, id_bytes each. Each block is a page of its own and
+    tells its least and greatest id, so reading one document takes one block (of BLOCK_BYTES or one document).
 
     Null texts count as empty; a document then has only end_id. Rows with equal ids stay, in order of
-    their bytes; rows without an id come first. An empty table writes no blocks. Returns `path`.
+    their bytes; rows without an id come first (the least 64-bit integer stands for it). Ids are whole numbers;
+    others are refused (TypeError). An empty table writes no blocks. Long texts are encoded whole. Returns `path`.
     """
     spark = docs.sparkSession
     bound_batches(spark)
+    whole_ids(docs, id_col)
+    proof = spark.sparkContext.broadcast(_tokens.prove(tokenizer))
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     dictionary = train_dictionary(docs, tokenizer)
     digest = hashlib.sha256(dictionary).hexdigest()
@@ -68,7 +74,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
     bounds = np.array(sorted(set(cuts)), np.int64)
 
     def encode(batches):
-        held = _tokens.encoder(tokenizer)
+        held = _tokens.encoder(tokenizer, proof.value)
         end = b"" if end_id is None else np.array([end_id], held.dtype).tobytes()
         for batch in batches:
             data, offsets = utf8(large(batch.column(1)))
@@ -80,9 +86,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
                 each = [whole[x:y] + end for x, y in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard[a:b]), pa.array(ids[a:b]), pa.array(each, pa.binary())], ["shard", "id", "ids"])
 
+    size = _tokens.encoder(tokenizer).dtype.itemsize
+
     def pack(batches):
-        held = _tokens.encoder(tokenizer)
-        size = held.dtype.itemsize
         data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         if data:
             data.precompute_compress(level=LEVEL)
@@ -91,8 +97,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
 
         def close():
             offsets = np.cumsum([0, *map(len, frames)]).astype("<u8")
-            row = [[shard], [block], [first], [len(docs_)], [sum(tokens)], [size], [digest], [np.array(docs_, "<i8").tobytes()], [np.array(tokens, "<u4").tobytes()], [offsets.tobytes()], [b"".join(frames)]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            row = [[shard], [block], [docs_[0]], [docs_[-1]], [first], [len(docs_)], [sum(tokens)], [size], [digest], [np.array(docs_, "<i8").tobytes()], [np.array(tokens, "<u4").tobytes()], [offsets.tobytes()], [b"".join(frames)]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
             names = [x.split()[0] for x in BLOCK.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
 
@@ -111,8 +117,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
         if docs_:
             yield close()
 
-    rows = docs.mapInArrow(encode, "shard int, id long, ids binary").repartition(n, "shard").sortWithinPartitions("shard", "id", "ids")
-    rows.mapInArrow(pack, BLOCK).write.parquet(f"{path}/blocks")
+    # A task for each shard, so that ranges of about as many documents each stay apart.
+    rows = docs.mapInArrow(encode, "shard int, id long, ids binary").repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "id", "ids")
+    rows.mapInArrow(pack, BLOCK).write.option("parquet.page.row.count.limit", "1").parquet(f"{path}/blocks")
     return path
 
 
@@ -149,24 +156,32 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "start", "n_tokens", "ids_crc32")
 
 
+def blocks_with(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
+    """The blocks whose ids reach over this one: the range is pushed down to the pages, so no other block is read."""
+    held = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
+    return held.where((F.col("low") <= doc_id) & (F.col("high") >= doc_id)).select("ids", "offsets", "frames", "id_bytes", "dictionary")
+
+
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
-    """The ids of the documents with this id: one block's index, then only their own frames."""
+    """The ids of the documents with this id: the block that has them (several only for equal ids), of it its index and their
+    own frames. Refuses a block of another dictionary."""
     row = spark.read.parquet(f"{path}/dictionary").first()
-    dictionary = bytes(row["data"])
+    digest, dictionary = row["dictionary"], bytes(row["data"])
 
     def find(batches) -> Iterator[pa.RecordBatch]:
         data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         open_ = zstandard.ZstdDecompressor(dict_data=data) if data else zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, offsets, frames, width = (batch.column(i)[k].as_py() for i in range(4))
+                if batch.column(4)[k].as_py() != digest:
+                    raise ValueError("a block was written with another dictionary")
+                ids, offsets, frames = (memoryview(batch.column(i)[k].as_buffer()) for i in range(3))
                 at = np.flatnonzero(np.frombuffer(ids, "<i8") == doc_id)
                 cut = np.frombuffer(offsets, "<u8").astype(int)
                 got = [open_.decompress(frames[cut[i] : cut[i + 1]]) for i in at]
-                yield pa.RecordBatch.from_arrays([pa.array([width] * len(got), pa.int32()), pa.array(got, pa.binary())], ["w", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(3)[k].as_py()] * len(got), pa.int32()), pa.array(got, pa.binary())], ["w", "x"])
 
-    blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks").select("ids", "offsets", "frames", "id_bytes")
-    return [np.frombuffer(bytes(r["x"]), f"<u{r['w']}") for r in blocks.mapInArrow(find, "w int, x binary").collect()]
+    return [np.frombuffer(bytes(r["x"]), f"<u{r['w']}") for r in blocks_with(spark, path, doc_id).mapInArrow(find, "w int, x binary").collect()]
 
 
 def token_file_digest(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

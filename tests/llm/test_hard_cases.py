@@ -10,7 +10,7 @@ import pytest
 from brute import words
 from tokenizers import Tokenizer
 
-from evidentia.llm import _shared, _tokens, decontaminate, jaccard_join, line_dedup, packing, token_counts
+from evidentia.llm import _shared, _tokens, decontaminate, jaccard_join, line_dedup, packing, suffix_dedup, token_counts, token_files
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -182,3 +182,36 @@ def test_a_frequent_length_has_salts_of_its_own(frame, monkeypatch):
     got = packing.pack(frame(rows), VOCABULARY).collect()
     places = [(r["sequence_id"], r["offset"]) for r in got]
     assert len(got) == 730 == len(set(places)) and max(r["sequence_id"] for r in got) == 0
+
+
+def test_one_document_is_read_from_one_block(frame, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 200)
+    rows = [(k, f"text {k} of {k % 7} words") for k in range(300)]
+    path = token_files.write_token_files(frame(rows), VOCABULARY, str(tmp_path / "files"))
+    held = spark.read.parquet(f"{path}/blocks")
+    assert held.count() >= 10 and all(token_files.blocks_with(spark, path, k).count() == 1 for k in (0, 77, 299))
+    assert token_files.read_document(spark, path, 77)[0].tolist() == [*Tokenizer.from_file(VOCABULARY).encode(rows[77][1], add_special_tokens=False).ids, 2]
+    assert token_files.read_document(spark, path, 1000) == []
+
+
+def test_the_dictionary_does_not_hang_on_the_order_of_rows(spark):
+    rows = [(k % 40, " ".join(words(random.Random(k), 60))) for k in range(160)]
+    made = []
+    for some in (rows, rows[::-1]):
+        made.append(token_files.train_dictionary(spark.createDataFrame(some, "id long, text string").repartition(3), VOCABULARY))
+    assert made[0] == made[1] != b""
+
+
+@pytest.mark.parametrize("call", ["files", "suffix"])
+def test_ids_that_are_no_whole_numbers_are_refused(spark, call):
+    df = spark.createDataFrame([("x", "some text")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="whole numbers"):
+        token_files.token_file_digest(df, VOCABULARY) if call == "files" else suffix_dedup.repeat_digest(df).collect()
+
+
+def test_equal_and_missing_ids_in_decontamination(frame, spark):
+    bench = spark.createDataFrame([("x", "a b c d e f g h i j k")], "item_id string, text string")
+    rows = [(1, "z a b c d e f g h i j z"), (1, "clean text"), (None, "a b c d e f g h i j k"), (None, "clean"), (None, None), (2, "A B C D E F G H I J"), (2, "A B C D E F G H I J")]
+    got = sorted(((r["doc_id"], r["n_words"], [tuple(s) for s in r["spans"]], r["items"]) for r in decontaminate.contamination(frame(rows), bench).collect()), key=str)
+    assert got == sorted([(1, 12, [(1, 11)], ["x"]), (1, 2, [], []), (None, 11, [(0, 11)], ["x"]), (None, 1, [], []), (None, 0, [], []), (2, 10, [(0, 10)], ["x"]), (2, 10, [(0, 10)], ["x"])], key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in decontaminate.clean(frame(rows, True), bench).collect()), key=str) == sorted([(1, "clean text"), (None, "clean"), (None, None)], key=str)
