@@ -73,18 +73,27 @@ def url_sql(rules: list[tuple[str, str]]) -> str:
     out = [
         "WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) END AS rest FROM pages)",
         f"h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), {AZ}), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u)",
-        f"v AS (SELECT *, {rule} AS rule, {verdict} AS ruled, {segments} FROM h)",
-        f"t0 AS (SELECT host, {', '.join(keys)}, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked, '' AS p0 FROM v GROUP BY ALL)",
+        f"v AS MATERIALIZED (SELECT *, {rule} AS rule, {verdict} AS ruled, {segments} FROM h)",
+        f"t0 AS MATERIALIZED (SELECT host, {', '.join(keys)}, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked, '' AS p0 FROM v GROUP BY ALL)",
     ]
     for k in range(1, U.DEPTH + 1):
         out.append(f"c{k} AS (SELECT host, p{k - 1}, count(*) AS d, sum(m) AS m FROM (SELECT host, p{k - 1}, g{k}, sum(n) AS m FROM t{k - 1} GROUP BY ALL) GROUP BY ALL)")
-        out.append(f"t{k} AS (SELECT t.*, t.p{k - 1} || '/' || CASE WHEN d > {U.FANOUT} AND m < d * {U.ROWS_PER_VALUE} AND g{k} <> '' THEN '*' ELSE g{k} END AS p{k} FROM t{k - 1} t JOIN c{k} c ON t.host = c.host AND t.p{k - 1} = c.p{k - 1})")
+        out.append(f"t{k} AS MATERIALIZED (SELECT t.*, t.p{k - 1} || '/' || CASE WHEN d > {U.FANOUT} AND m < d * {U.ROWS_PER_VALUE} AND g{k} <> '' THEN '*' ELSE g{k} END AS p{k} FROM t{k - 1} t JOIN c{k} c ON t.host = c.host AND t.p{k - 1} = c.p{k - 1})")
     out.append(f"q0 AS (SELECT *, CAST({U.PRIOR} AS DOUBLE) AS purity, CAST(0 AS DOUBLE) AS up_n, CAST(0 AS DOUBLE) AS up_b FROM t{U.DEPTH})")
+    differ = lambda n, b, m, c: f"({b} * {m} - {c} * {n}) * ({b} * {m} - {c} * {n}) * ({n} + {m}) > {U.Z * U.Z} * ({b} + {c}) * ({n} + {m} - {b} - {c}) * {n} * {m}"
     for k in range(U.DEPTH + 1):
-        apart = f"(s.b * up_n - up_b * s.n) * (s.b * up_n - up_b * s.n) * (s.n + up_n) > {U.Z * U.Z} * (s.b + up_b) * (s.n + up_n - s.b - up_b) * s.n * up_n" if k else "true"
-        out.append(f"s{k} AS (SELECT host, p{k}, CAST(sum(labelled) AS DOUBLE) AS n, CAST(sum(blocked) AS DOUBLE) AS b FROM q{k} GROUP BY ALL)")
+        apart = differ("s.n", "s.b", "up_n", "up_b") if k else "true"
+        up = f"host, p{k - 1}" if k else "host"
+        out.append(f"k{k} AS MATERIALIZED (SELECT {up}, p{k}, CAST(sum(labelled) AS DOUBLE) AS n, CAST(sum(blocked) AS DOUBLE) AS b FROM q{k} GROUP BY ALL)")
+        if k:
+            out.append(f"l{k} AS (SELECT *, lag(n) OVER w AS n1, lag(b) OVER w AS b1 FROM (SELECT {up}, n, b, count(*) AS m FROM k{k} WHERE n > 0 GROUP BY ALL) WINDOW w AS (PARTITION BY {up} ORDER BY b / n, n))")
+            out.append(f"j{k} AS (SELECT *, sum(CASE WHEN {differ('n', 'b', 'n1', 'b1')} THEN 1 ELSE 0 END) OVER (PARTITION BY {up} ORDER BY b / n, n) AS alike FROM l{k})")
+            out.append(f"o{k} AS (SELECT *, sum(m * n) OVER (PARTITION BY {up}, alike) AS n_, sum(m * b) OVER (PARTITION BY {up}, alike) AS b_ FROM j{k})")
+            out.append(f"s{k} AS (SELECT k.host, k.p{k}, coalesce(n_, 0) AS n, coalesce(b_, 0) AS b FROM k{k} k LEFT JOIN o{k} o ON k.host = o.host AND k.p{k - 1} = o.p{k - 1} AND k.n = o.n AND k.b = o.b)")
+        else:
+            out.append("s0 AS (SELECT * FROM k0)")
         out.append(
-            f"q{k + 1} AS (SELECT q.* EXCLUDE (purity, up_n, up_b), CASE WHEN s.n = 0 THEN {U.PRIOR} + {U.DECAY} * (purity - {U.PRIOR}) WHEN {apart} THEN (s.b + {U.SMOOTHING} * purity) / (s.n + {U.SMOOTHING}) ELSE purity END AS purity,"
+            f"q{k + 1} AS MATERIALIZED (SELECT q.* EXCLUDE (purity, up_n, up_b), CASE WHEN {apart} THEN (s.b + {U.SMOOTHING} * purity) / (s.n + {U.SMOOTHING}) ELSE purity END AS purity,"
             f" CASE WHEN {apart} THEN s.n ELSE up_n END AS up_n, CASE WHEN {apart} THEN s.b ELSE up_b END AS up_b FROM q{k} q JOIN s{k} s ON q.host = s.host AND q.p{k} = s.p{k})"
         )
     same = " AND ".join(f"v.{c} = q.{c}" for c in ("host", *keys))

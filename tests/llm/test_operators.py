@@ -170,13 +170,29 @@ def test_url_templates_follow_labels(spark):
     assert all(out[i] == "block" for i in range(50)) and all(out[100 + i] == "allow" for i in range(50)) and out[201] == "allow"
 
 
-def test_unlabelled_url_branches_lose_the_host_purity(spark):
-    """Under a host of blocked labels an undecided sibling branch is allowed (README, Known limits); below the labelled branch it is blocked."""
-    rows = [(i, f"http://a.org/en/{i}") for i in range(40)] + [(100, "http://a.org/de/1"), (101, "http://a.org/EN/1"), (102, "http://a.org/")]
+def test_unlabelled_url_branches_keep_the_host_purity(spark):
+    """Under a host of blocked labels an undecided sibling branch is judged like the host, however deep; a host without labels is allowed."""
+    rows = [(i, f"http://a.org/en/{i}") for i in range(40)] + [(100, "http://a.org/de/1"), (101, "http://a.org/EN/1"), (102, "http://a.org/"), (103, "http://a.org/x/y/z/u/v/w/q"), (104, "http://b.org/en/1"), (None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string")
     out = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, [("block", "a.org/en/")]).collect()}
     assert all(out[i] == ("a.org/en/", "block") for i in range(40))
-    assert out[100] == (None, "allow") and out[101] == (None, "block") and out[102] == (None, "allow")
+    assert out[100] == out[101] == out[102] == out[103] == (None, "block") and out[104] == out[None] == (None, "allow")
+
+
+def test_similar_siblings_are_judged_together(spark):
+    """Small branches of blocked pages, each too small to differ from its host, are merged and then differ from it."""
+    rows, rules = [], [("allow", "a.org/good/")]
+    for k in range(200):
+        rows.append((k, f"http://a.org/good/{k}.html"))
+    for j, name in enumerate("abcdef"):
+        rows += [(1000 + 10 * j + k, f"http://a.org/{name}x/bad{k}") for k in range(5)]
+        rows.append((2000 + j, f"http://a.org/{name}x/other"))
+        rules.append(("block", f"a.org/{name}x/bad"))
+    out = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert all(out[2000 + j] == "block" for j in range(6)) and all(out[k] == "allow" for k in range(200))
+    alone = [r for r in rows if r[0] < 1010 or r[0] == 2000]
+    out = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(alone, "page_id long, url string"), rules).collect()}
+    assert out[2000] == "allow"
 
 
 def test_fingerprints(odd, frame):
