@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -86,18 +85,27 @@ class Catalog:
         tables = [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]
         return cls({f"{database}.{t}": spark.table(f"{quoted(database)}.{quoted(t)}") for t in tables})
 
-    @classmethod
-    def of_jdbc(cls, spark: SparkSession, url: str, tables: list[str], properties: dict[str, str] | None = None) -> Catalog:
-        """Tables of a database that JDBC reaches, read-only: each session is told to refuse writes."""
-        held = {"sessionInitStatement": "SET default_transaction_read_only = on", "fetchsize": "500"} | (properties or {})
-        return cls({t: spark.read.format("jdbc").options(url=url, dbtable=t, **held).load() for t in tables})
-
     def frame(self, table: str) -> DataFrame:
         name = table if "." in table else f"public.{table}"
         if name not in self.tables:
             raise KeyError(f"unknown table: {table}")
         return self.tables[name]
 
+    def keyed(self, table: str, key: str) -> DataFrame:
+        """A table that is read as a whole, by a store that deals it by ranges of its key if it can."""
+        return self.frame(table)
+
+    def indexes(self, table: str) -> list[tuple[str, str, list[str]]] | None:
+        """(name, method, columns) of a table's indexes; null where the store has none to speak of."""
+        return None
+
+    def estimate(self, qualified: str) -> int:
+        """Rows by the catalog's estimate, or by a table's own statistics, else counted."""
+        if qualified in self.estimates:
+            return self.estimates[qualified]
+        known = self.tables[qualified]._jdf.queryExecution().optimizedPlan().stats().rowCount()
+        return int(str(known.get())) if known.isDefined() else self.tables[qualified].count()
+
     def candidates(self) -> list[Candidate]:
         """Tables with a vector column, and all of the schema `vecs`, with their estimated numbers of rows."""
         out = []
@@ -105,17 +113,18 @@ class Catalog:
             schema, _, name = qualified.partition(".")
             held = Candidate(schema, name, self.tables[qualified])
             if held.vectors or schema == "vecs":
-                held.estimated_rows = self.estimates[qualified] if qualified in self.estimates else held.frame.count()
+                held.estimated_rows = self.estimate(qualified)
                 out.append(held)
         return out
 
-    def json_keys(self, table: str, column: str) -> list[str]:
-        """Distinct top-level keys of a few filled rows."""
+    def json_keys(self, table: str, column: str, rows: int | None = KEY_ROWS) -> list[str]:
+        """Distinct top-level keys of a few filled rows; of all with rows null."""
         df = self.frame(table)
         kind = df.select(F.col(quoted(column))).schema[0].dataType
-        rows = df.where(F.col(quoted(column)).isNotNull()).limit(KEY_ROWS)
+        held = df.where(F.col(quoted(column)).isNotNull())
+        held = held.limit(rows) if rows else held
         text = F.col(quoted(column)) if isinstance(kind, T.StringType) else F.to_json(F.col(quoted(column)))
-        return sorted(r["k"] for r in rows.select(F.explode(F.json_object_keys(text)).alias("k")).distinct().collect())
+        return sorted(r["k"] for r in held.select(F.explode(F.json_object_keys(text)).alias("k")).distinct().collect())
 
     def average_length(self, table: str, column: str, rows: int | None = LENGTH_ROWS) -> float:
         df = self.frame(table).where(F.col(quoted(column)).isNotNull()).select(F.length(F.col(quoted(column)).cast("string")).alias("n"))
@@ -134,22 +143,3 @@ class Catalog:
     def count(self, table: str) -> int:
         return self.frame(table).count()
 
-
-#: Definitions of a table's indexes, as PostgreSQL prints them.
-INDEX_QUERY = "SELECT indexname, indexdef FROM pg_indexes WHERE schemaname = '{schema}' AND tablename = '{table}' ORDER BY indexname"
-
-
-def parse_index(name: str, definition: str) -> tuple[str, str, list[str]]:
-    """Name, method and plain columns of an index from its definition (operator classes and options apart)."""
-    found = re.search(r"\bUSING (\w+) \((.*?)\)(?: WITH | WHERE | INCLUDE |$)", definition)
-    method, inside = (found[1], found[2]) if found else ("", "")
-    columns = [re.match(r'\s*"?([A-Za-z0-9_]+)"?', part) for part in inside.split(",")]
-    return name, method, [m[1] for m in columns if m]
-
-
-def jdbc_indexes(spark: SparkSession, url: str, qualified: str, properties: dict[str, str] | None = None) -> list[tuple[str, str, list[str]]]:
-    """(name, method, columns) of the indexes of a PostgreSQL table, for IndexInfo."""
-    schema, _, table = (qualified if "." in qualified else f"public.{qualified}").partition(".")
-    quoted(schema), quoted(table)
-    rows = spark.read.format("jdbc").options(url=url, query=INDEX_QUERY.format(schema=schema, table=table), **(properties or {})).load().collect()
-    return [parse_index(r["indexname"], r["indexdef"]) for r in rows]

@@ -12,6 +12,7 @@ from .mapping import Mapping
 
 # Results depend on them.
 LONG_TEXT, LEAST_SCORE, LEAST_MARGIN = 80, 16, 6
+INTERNAL = ("evidentia_",)
 MODELS = {1536: "openai text-embedding-3-small or ada-002 (guess)", 3072: "openai text-embedding-3-large (guess)", 1024: "Cohere/BGE-class (guess)", 768: "sentence-transformers-class (guess)"}
 
 
@@ -66,7 +67,7 @@ def content_score(name: str) -> int:
     return 6 if "chunk" in n and "text" in n else 0 if n.endswith("_hash") else 2
 
 
-def table_score(name: str, internal: tuple[str, ...] = ()) -> int:
+def table_score(name: str, internal: tuple[str, ...] = INTERNAL) -> int:
     """internal: prefixes of tables that tools keep for themselves."""
     n = name.lower()
     out = {"document_chunks": 10, "documents": 7}.get(n, 5 if n.endswith("_documents") or "chunk" in n else 0)
@@ -98,7 +99,7 @@ def pick(t: Candidate, kinds: tuple[str, ...] | None, names: tuple[str, ...], an
     return next((n for n in fits if n in names), fits[0] if any_other and fits else None)
 
 
-def score_table(catalog: Catalog, t: Candidate, internal: tuple[str, ...] = ()) -> tuple[int, Mapping] | None:
+def score_table(catalog: Catalog, t: Candidate, internal: tuple[str, ...] = INTERNAL) -> tuple[int, Mapping] | None:
     content = content_column(catalog, t) if t.vectors else None
     if content is None:
         return None
@@ -111,7 +112,7 @@ def score_table(catalog: Catalog, t: Candidate, internal: tuple[str, ...] = ())
     return score, Mapping.of(t.qualified, content[0], embedding, metadata, document, url, updated)
 
 
-def match_generic(catalog: Catalog, tables: list[Candidate], internal: tuple[str, ...] = ()) -> Mapping | None:
+def match_generic(catalog: Catalog, tables: list[Candidate], internal: tuple[str, ...] = INTERNAL) -> Mapping | None:
     """The one table that clearly is the chunk table, if there is one."""
     scored = [(s[0], t.estimated_rows, s[1]) for t in tables if (s := score_table(catalog, t, internal))]
     scored.sort(key=lambda x: (-x[0], -(-1 if x[1] is None else x[1]), x[2].table))
@@ -177,7 +178,7 @@ def stack_of(catalog: Catalog, mapping: Mapping, framework: str | None = None, t
     return {"fingerprintHash": fingerprint(catalog, tables)[1], "frameworkGuess": framework, "embeddingDims": dims, "embeddingModelGuess": model_guess(dims)}
 
 
-def introspect(catalog: Catalog, prompts: Prompts | None = None, yes: bool = False, internal: tuple[str, ...] = ()) -> Introspection:
+def introspect(catalog: Catalog, prompts: Prompts | None = None, yes: bool = False, internal: tuple[str, ...] = INTERNAL) -> Introspection:
     """Named recipe, else scores, else questions; without prompts what needs a question is an error."""
     tables = catalog.candidates()
     if not tables:
