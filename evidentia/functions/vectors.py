@@ -1,4 +1,4 @@
-"""Vectors: dimensions and cosine likeness."""
+"""Vectors: dimensions."""
 
 from __future__ import annotations
 
@@ -9,10 +9,3 @@ from pyspark.sql import functions as F
 def dims(vector: Column) -> Column:
     return F.when(vector.isNotNull(), F.size(vector))
 
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

@@ -9,23 +9,28 @@ from pyspark.sql import functions as F
 
 #: Bytes of probe vectors that go to the executors at once; more probes are taken in blocks of that size.
 PROBE_BYTES = 64 << 20
+#: Bytes of vectors, and of likenesses, that one matrix product works on.
+STEP_BYTES = 32 << 20
+#: Likenesses that differ by less are equal.
+DIGITS, TIE = 12, 1e-12
 
 
 def nearest_neighbors(chunks: DataFrame, probes: int) -> DataFrame:
     """The nearest other chunk, by cosine, of each of the first `probes` chunks that have an embedding.
 
     ref, ord, content_hash, neighbor_ref, neighbor_hash, similarity. Only vectors of one length are compared;
-    of equal likenesses the first chunk counts; a probe without any neighbour has no row. The probes are a
+    of equal likenesses the first chunk counts; a probe without any neighbour has no row. A vector with a null, NaN or
+    infinite element has no likeness to any other, as probe or neighbour; neither has one of zeros only, but 0. The probes are a
     stated number of rows and are sent to all executors in blocks of bounded size; each batch of the
     corpus is one matrix product and gives one row per probe, and partial maxima meet in the shuffle.
     """
     spark = chunks.sparkSession
-    first = chunks.where("embedding is not null").select("ref", "ord", "content_hash", "embedding").orderBy("ord", "ref").limit(probes)
-    rows = [(r["ref"], r["ord"], r["content_hash"], np.array(r["embedding"], np.float64)) for r in first.toLocalIterator()]
-    corpus = chunks.where("embedding is not null").select("ref", F.col("ord").cast("long").alias("ord"), "content_hash", "embedding")
+    first = chunks.where("embedding is not null").select("ref", "ord", "embedding").orderBy("ord", "ref").limit(probes)
+    rows = [(r["ref"], r["ord"], np.array(r["embedding"], np.float64)) for r in first.toLocalIterator()]
+    corpus = chunks.where("embedding is not null").select("ref", F.col("ord").cast("long").alias("ord"), "embedding")
     size = sum(8 * len(v) for *_, v in rows)
     step = max(1, len(rows) * PROBE_BYTES // max(PROBE_BYTES, size))
-    schema = "probe int, similarity double, neighbor_ord long, neighbor_ref string, neighbor_hash string"
+    schema = "probe int, similarity double, neighbor_ord long, neighbor_ref string"
     out = None
 
     def search(block):
@@ -33,45 +38,60 @@ def nearest_neighbors(chunks: DataFrame, probes: int) -> DataFrame:
         for k, ref, v in block:
             by_dims.setdefault(len(v), []).append((k, ref, v))
         units = {d: ([k for k, _, _ in g], [ref for _, ref, _ in g], np.stack([v for *_, v in g])) for d, g in by_dims.items()}
-        units = {d: (k, ref, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)) for d, (k, ref, m) in units.items()}
+        with np.errstate(invalid="ignore", over="ignore"):
+            units = {d: (k, ref, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)) for d, (k, ref, m) in units.items()}
 
         def run(batches):
             for batch in batches:
-                vectors = batch.column(3)
+                vectors = batch.column(2)
                 lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
                 begin = np.concatenate([[0], np.cumsum(lengths)])
                 flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                refs, ords, hashes = (batch.column(i).to_pylist() for i in range(3))
-                found = ([], [], [], [], [])
+                refs, ords = (batch.column(i).to_pylist() for i in range(2))
+                found = ([], [], [], [])
                 for d, (ks, own, m) in units.items():
                     at = np.flatnonzero(lengths == d)
                     if not len(at) or not d:
                         continue
                     order = at[np.argsort(np.array([ords[i] for i in at], np.int64), kind="stable")]
-                    x = flat[begin[order][:, None] + np.arange(d)]
-                    sim = m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
                     place = {refs[i]: j for j, i in enumerate(order)}
-                    for p, ref in enumerate(own):
-                        if ref in place:
-                            sim[p, place[ref]] = -np.inf
-                    best = sim.argmax(1)
-                    for p, j in enumerate(best.tolist()):
-                        if sim[p, j] > -np.inf:
-                            i = order[j]
-                            for column, value in zip(found, (ks[p], float(sim[p, j]), ords[i], refs[i], hashes[i]), strict=True):
-                                column.append(value)
-                kinds = (pa.int32(), pa.float64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds, strict=True)], ["probe", "similarity", "neighbor_ord", "neighbor_ref", "neighbor_hash"])
+                    mine = np.array([place.get(ref, -1) for ref in own])
+                    best, value = np.zeros(len(own), np.int64), np.full(len(own), -np.inf)
+                    step = max(1, STEP_BYTES // (8 * max(d, len(own))))
+                    for a in range(0, len(order), step):
+                        x = flat[begin[order[a : a + step]][:, None] + np.arange(d)]
+                        with np.errstate(invalid="ignore", over="ignore"):
+                            sim = m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+                        sim[~np.isfinite(sim)] = -np.inf
+                        here = np.flatnonzero((mine >= a) & (mine < a + len(x)))
+                        sim[here, mine[here] - a] = -np.inf
+                        # Sums of products differ in their last bits with the shape of a product: what is closer than that is a tie.
+                        most = sim.max(1)
+                        top = (sim >= most[:, None] - TIE).argmax(1)
+                        most = np.round(most, DIGITS)
+                        better = most > value
+                        best[better], value[better] = a + top[better], most[better]
+                    for p in np.flatnonzero(value > -np.inf).tolist():
+                        i = order[best[p]]
+                        for column, v in zip(found, (ks[p], float(value[p]), ords[i], refs[i]), strict=True):
+                            column.append(v)
+                kinds = (pa.int32(), pa.float64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds, strict=True)], ["probe", "similarity", "neighbor_ord", "neighbor_ref"])
 
         return run
 
     for a in range(0, max(1, len(rows)), step):
-        block = [(k, rows[k][0], rows[k][3]) for k in range(a, min(a + step, len(rows)))]
+        block = [(k, rows[k][0], rows[k][2]) for k in range(a, min(a + step, len(rows)))]
         part = corpus.mapInArrow(search(block), schema)
         out = part if out is None else out.unionByName(part)
-    best = out.groupBy("probe").agg(F.max_by(F.struct("similarity", "neighbor_ref", "neighbor_hash"), F.struct("similarity", -F.col("neighbor_ord"))).alias("b"))
-    named = spark.createDataFrame([(k, r[0], r[1], r[2]) for k, r in enumerate(rows)], "probe int, ref string, ord long, content_hash string")
-    return named.join(best, "probe").select("ref", "ord", "content_hash", "b.neighbor_ref", "b.neighbor_hash", "b.similarity")
+    best = out.groupBy("probe").agg(F.max_by(F.struct("similarity", "neighbor_ref"), F.struct("similarity", -F.col("neighbor_ord"))).alias("b"))
+    named = spark.createDataFrame([(k, r[0], r[1]) for k, r in enumerate(rows)], "probe int, ref string, ord long")
+    found = named.join(best, "probe").select("ref", "ord", "b.neighbor_ref", "b.similarity").persist()
+    # Texts are normalised and hashed for probes and their neighbours alone: two rows a probe at most.
+    asked = found.select(F.explode(F.array("ref", "neighbor_ref")).alias("ref")).distinct()
+    hashes = chunks.select("ref", "content_hash").join(F.broadcast(asked), "ref").dropDuplicates(["ref"]).persist()
+    own, other = hashes, hashes.select(F.col("ref").alias("neighbor_ref"), F.col("content_hash").alias("neighbor_hash"))
+    return found.join(own, "ref").join(other, "neighbor_ref").select("ref", "ord", "content_hash", "neighbor_ref", "neighbor_hash", "similarity")
 
 
 def near_pairs(neighbors: DataFrame, threshold: float) -> DataFrame:

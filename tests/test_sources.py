@@ -160,3 +160,34 @@ def test_training_data_operators_are_apart():
     for p in ROOT.glob("evidentia/**/*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"\bllm\b", p.read_text()), p
+
+
+def test_vectors_with_odd_elements_are_like_no_other(spark):
+    """NaN, null and infinite elements neither erase others' neighbours nor get any, whatever the batches."""
+    nan, inf = float("nan"), float("inf")
+    good = [(i, f"t{i}", [float(x) for x in unit(i, 4)]) for i in range(12)] + [(12, "t12", [float(x) for x in unit(3, 4)])]
+    odd = [(20, "a", [nan, 1.0, 0.0, 0.0]), (21, "b", [1.0, None, 0.0, 0.0]), (22, "c", [inf, 1.0, 0.0, 0.0]), (23, "d", [nan] * 4)]
+    view = lambda rows, n: chunk_view(spark.createDataFrame(rows, "id long, c string, e array<float>").repartition(n), Mapping.of("t", "c", "e"), "id")
+    want = knn.nearest_neighbors(view(good, 1), 100).orderBy("ord").collect()
+    assert len(want) == 13 and next(r for r in want if r["ref"] == "3")["neighbor_ref"] == "12"
+    for n in (1, 5):
+        assert knn.nearest_neighbors(view([*odd, *good], n), 100).orderBy("ord").collect() == want
+    zeros = knn.nearest_neighbors(view([(1, "x", [0.0, 0.0]), (2, "y", [1.0, 0.0])], 1), 5).orderBy("ord").collect()
+    assert [(r["ref"], r["similarity"]) for r in zeros] == [("1", 0.0), ("2", 0.0)]
+
+
+def test_neighbors_by_small_products(spark, monkeypatch):
+    rows = [(i, f"t{i}", [float(x) for x in unit(i, 8)]) for i in range(60)]
+    view = chunk_view(spark.createDataFrame(rows, "id long, c string, e array<float>").coalesce(1), Mapping.of("t", "c", "e"), "id")
+    want = knn.nearest_neighbors(view, 30).orderBy("ord").collect()
+    monkeypatch.setattr(knn, "STEP_BYTES", 2000)
+    assert knn.nearest_neighbors(view, 30).orderBy("ord").collect() == want and len(want) == 30
+
+
+def test_a_sample_reads_names_first(spark):
+    df = spark.range(5000).select("id", F.concat(F.lit("text "), "id").alias("c"), F.array(F.lit(1.0)).cast("array<float>").alias("e"))
+    whole = {r["id"] for r in deterministic_sample(df, "s", 50, "id").collect()}
+    known = deterministic_sample(df, "s", 50, "id", 5000)
+    assert len(whole) == 50 and {r["id"] for r in known.collect()} == whole
+    text = chunk_view(known, Mapping.of("t", "c", "e"), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("sha2") < text.index("Join LeftSemi") < text.index("md5")  # hashes of texts above the choice, names below
