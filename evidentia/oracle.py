@@ -22,7 +22,7 @@ def any_key(names: list[str]) -> str:
     return "(" + " OR ".join(held) + ")"
 
 
-SELECT = ", ".join(f"{sql.replace('STRING', 'VARCHAR')} AS {name}" for name, sql in COLUMNS.items())
+SELECT = ", ".join(f"{sql.replace('STRING', 'VARCHAR').replace('slice(', 'list_slice(')} AS {name}" for name, sql in COLUMNS.items())
 BASE = rf"""WITH corpus AS (SELECT {SELECT} FROM (SELECT d.doc_id, d.text, d.lang, d.source, e.embedding, l.quality, v.ts FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id
   LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN events v ON v.event_id = d.doc_id)),
 normal AS (SELECT *, trim(regexp_replace(lower(regexp_replace(coalesce(body, ''), '[\x{{200B}}-\x{{200D}}\x{{FEFF}}]', '', 'g')), '{SP}+', ' ', 'g')) AS norm, substring(coalesce(body, ''), 1, 500) AS s FROM corpus),
@@ -32,7 +32,7 @@ density AS (SELECT *, CASE WHEN len(tok) = 0 THEN 0.0 ELSE CAST(len(list_filter(
   t <> '' AND NOT regexp_matches(t, '^{SP}*([-*•]|[0-9]+[.)]){SP}') AND substring(t, 1, 1) <> upper(substring(t, 1, 1)) AND NOT regexp_matches(t, '[.!?:;)"''\]]$') AS mid FROM tokens),
 thin AS (SELECT *, CASE WHEN length < 120 THEN 'short' WHEN density > 0.6 THEN 'linkDensity' WHEN mid THEN 'midSentence' END AS thin_reason FROM density),
 risky AS (SELECT *, len(regexp_extract_all(s, 'sk-[a-zA-Z0-9]{{20,}}')) + len(regexp_extract_all(s, 'AKIA[0-9A-Z]{{16}}')) + len(regexp_extract_all(s, '-----BEGIN[A-Z ]*PRIVATE KEY-----')) + len(regexp_extract_all(s, 'xox[bp]-[a-zA-Z0-9-]+')) AS n_secrets,
-  len(regexp_extract_all(s, '[\w.+-]+@[\w-]+\.[\w.-]+')) AS email_count, array_to_string(list_distinct(regexp_extract_all(s, '\b(TODO|DRAFT|DEPRECATED|INTERNAL ONLY|DO NOT SHARE)\b')), ',') AS markers FROM thin),
+  len(regexp_extract_all(s, '[\w.+-]+@[\w-]+\.[\w.-]+')) AS email_count, regexp_extract_all(s, '\b(TODO|DRAFT|DEPRECATED|INTERNAL ONLY|DO NOT SHARE)\b') AS marks, array_to_string(list_filter(marks, lambda x, i: list_position(marks, x) = i), ',') AS markers FROM thin),
 risk AS (SELECT *, CASE WHEN n_secrets > 0 THEN 'secret' WHEN markers <> '' THEN 'marker' WHEN email_count > 0 THEN 'emails' END AS risk, CASE WHEN n_secrets > 0 THEN 'secret' WHEN markers <> '' THEN 'marker' WHEN email_count > 3 THEN 'emails' END AS risk_3 FROM risky),
 kinds AS (SELECT key, CASE json_type(json_extract(meta, '$."' || key || '"')) WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, count(*) AS n
   FROM (SELECT meta, unnest(json_keys(meta)) AS key FROM chunk WHERE meta IS NOT NULL) GROUP BY 1, 2),
@@ -59,6 +59,40 @@ subs AS (SELECT 100 - least(100, (stale + no_time) / total * 100 * 2) AS freshne
   100 - least(100, (n_thin / total * 100 + n_large / total * 100) * 2) AS quality, CAST(greatest(0, 100 - 25 * critical - 5 * warning) AS DOUBLE) AS risk,
   least(greatest(0.0, floor(100 - no_meta / total * 100 - 25 * least(mixed, 8) + 0.5)), CASE WHEN n_source / total * 100 < 80 THEN floor(n_source / total * 100 + 0.5) ELSE 100 END, CASE WHEN n_table > 0 AND n_lost / n_table * 100 >= 50 THEN floor(100 - n_lost / n_table * 100 + 0.5) ELSE 100 END) AS coverage FROM stats)
 """
+#: Every finding of a scan, in the order of a report: place, type, severity, how many, rows affected, what to do, title.
+FOUND = """, total AS (SELECT *, stale / total * 100 AS stale_pct, no_time / total * 100 AS no_time_pct, exact_rows / total * 100 AS exact_pct, n_thin / total * 100 AS thin_pct FROM stats),
+n_mid AS (SELECT count(*) FILTER (thin_reason = 'midSentence') AS mid FROM thin), dims AS (SELECT len(embedding) AS d, count(*) AS n FROM chunk WHERE embedding IS NOT NULL GROUP BY 1),
+some_thin AS (SELECT thin_reason, id FROM thin WHERE thin_reason IS NOT NULL ORDER BY id LIMIT 500), some_risk AS (SELECT risk_3, id FROM risk WHERE risk_3 IS NOT NULL ORDER BY id LIMIT 500),
+uneven AS (SELECT count(*) AS n FROM (SELECT key, sum(n) AS n FROM kinds GROUP BY 1) WHERE n >= 10 AND round(n * 100.0 / (SELECT count(*) FROM chunk), 1) < 80 AND round(((SELECT count(*) FROM chunk) - n) * 100.0 / (SELECT count(*) FROM chunk), 1) >= 20),
+marked AS (SELECT count(*) FILTER (deleted_at IS NOT NULL OR coalesce(archived, false)) AS n FROM corpus),
+found AS (SELECT * FROM (
+  SELECT 10 AS pos, 'exact_duplicate' AS type, 'warning' AS severity, count(*) AS n, coalesce(sum(members), 0) AS affected, 'exact_duplicate' AS what, arg_min(members, first_ord) || ' chunks are exact duplicates' AS title FROM same
+  UNION ALL SELECT 11, 'exact_duplicate', 'critical', 1, exact_rows, 'exact_duplicate', printf('%.1f', exact_pct) || '% of the corpus is exact-duplicated' FROM total WHERE exact_pct > 5
+  UNION ALL SELECT 20, 'near_duplicate', 'warning', count(*), 2 * count(*), 'near_duplicate', 'Two chunks are near-duplicates' FROM pairs WHERE similarity >= 0.97
+  UNION ALL SELECT 30, 'thin_chunk', 'warning', 1, mid, 'review_chunk_boundaries', 'Many chunks look mechanically split mid-sentence' FROM n_mid, total WHERE mid >= 8 AND mid / total * 100 >= 20
+  UNION ALL SELECT 31 + rank() OVER (ORDER BY min(id)) / 100, 'thin_chunk', CASE WHEN (SELECT thin_pct FROM total) > 15 THEN 'warning' ELSE 'info' END, count(*), count(*), 'thin_chunk:' || thin_reason, 'Thin chunk (' || thin_reason || ')' FROM some_thin GROUP BY thin_reason
+  UNION ALL SELECT 40 + rank() OVER (ORDER BY min(id)) / 100, 'risky_chunk', CASE WHEN risk_3 = 'secret' THEN 'critical' ELSE 'warning' END, count(*), count(*), 'risky_chunk:' || risk_3,
+    CASE risk_3 WHEN 'secret' THEN 'Chunk contains what looks like a secret' WHEN 'marker' THEN 'Chunk contains a risk marker' ELSE 'Chunk contains many email addresses' END FROM some_risk GROUP BY risk_3
+  UNION ALL SELECT 50, 'stale_source', 'warning', 1, 1, 'stale_source', 'Source changed since last scan'
+  UNION ALL SELECT 51, 'architecture', 'warning', 1, no_time, 'backfill_timestamps', CASE WHEN no_time = total THEN 'Mapped timestamp column is empty' ELSE 'Many chunks have no timestamp, so freshness is partial' END FROM total WHERE no_time_pct >= 20
+  UNION ALL SELECT 52, 'stale_document', 'warning', 1, stale, 'stale_document', stale || ' documents are older than a changed source' FROM total WHERE stale > 0
+  UNION ALL SELECT 60, 'embedding_mixed_dims', 'critical', 1, sum(n), 'embedding_mixed_dims', 'Embeddings have mixed dimensions — retrieval is broken' FROM dims HAVING count(*) > 1
+  UNION ALL SELECT 61, 'embedding_null', 'warning', 1, count(*), 'embedding_null', count(*) || ' chunks have no embedding' FROM chunk WHERE embedding IS NULL HAVING count(*) > 0
+  UNION ALL SELECT 70, 'architecture', 'warning', 1, n_large, 'review_chunking', 'Many chunks are very large' FROM total WHERE n_large / total * 100 >= 20
+  UNION ALL SELECT 71, 'architecture', 'warning', 1, no_meta, 'backfill_metadata', 'Metadata is missing on many chunks' FROM total WHERE no_meta / total * 100 >= 20
+  UNION ALL SELECT 72, 'architecture', 'info', 1, least(n, 8), 'standardize_metadata', 'Metadata keys are inconsistent across chunks' FROM uneven WHERE n > 0
+  UNION ALL SELECT 73, 'architecture', 'warning', 1, least(mixed, 8), 'normalize_metadata_types', 'Metadata filter fields use mixed value types' FROM total WHERE mixed > 0
+  UNION ALL SELECT 74, 'architecture', CASE WHEN n_source = 0 THEN 'warning' ELSE 'info' END, 1, total - n_source, 'add_source_locator', CASE WHEN n_source = 0 THEN 'No source or citation locator was found' ELSE 'Source/citation locator is missing on many chunks' END FROM total WHERE n_source / total * 100 < 80
+  UNION ALL SELECT 75, 'architecture', 'warning', 1, n_lost, 'add_structured_locators', 'Table-like chunks are missing source/citation locators' FROM total WHERE n_table >= 5 AND n_table / total * 100 >= 10 AND n_lost / n_table * 100 >= 50
+  UNION ALL SELECT 80, 'architecture', 'warning', 1, n, 'verify_deletion_sync', 'Rows marked deleted or archived are still in the mapped chunk table' FROM marked WHERE n > 0
+) WHERE n > 0),
+worth AS (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS sev FROM found)
+"""
+#: Scores of names as fixed by the detectors.
+CONTENT_SCORE = "CASE lower(name) WHEN 'content' THEN 10 WHEN 'text' THEN 9 WHEN 'document' THEN 9 WHEN 'body' THEN 6 WHEN 'body_text' THEN 6 WHEN 'summary' THEN 3 WHEN 'title' THEN 0 WHEN 'path' THEN 0 ELSE CASE WHEN name LIKE '%chunk%' AND name LIKE '%text%' THEN 6 WHEN ends_with(name, '_hash') THEN 0 ELSE 2 END END"
+TABLE_SCORE = "CASE name WHEN 'document_chunks' THEN 10 WHEN 'documents' THEN 7 ELSE CASE WHEN ends_with(name, '_documents') OR contains(name, 'chunk') THEN 5 ELSE 0 END END - CASE WHEN contains(name, 'cache') THEN 12 ELSE 0 END - CASE WHEN starts_with(name, 'evidentia_') THEN 10 ELSE 0 END"
+KIND = "CASE typeof({0}) WHEN 'VARCHAR' THEN 'text' WHEN 'FLOAT[]' THEN 'vector' WHEN 'BOOLEAN' THEN 'bool' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamptz' ELSE lower(typeof({0})) END"
+TYPED = " UNION ALL ".join(f"(SELECT '{name}' AS col, {KIND.format(name)} AS kind FROM corpus LIMIT 1)" for name in sorted(COLUMNS))
 SHOWN = ", ".join(f"'{k}'" for k in SHOWN_KEYS)
 SAFE = f"CASE WHEN key IN ({SHOWN}) THEN key ELSE 'sha256:' || sha256(key) END"
 
@@ -76,7 +110,7 @@ SQL = {
     "risky_per_chunk": "SELECT ref, risk, CAST(n_secrets AS BIGINT) AS n_secrets, CAST(email_count AS BIGINT) AS email_count, markers FROM risk",
     "risky_summary": "SELECT count(*) AS scanned, count(*) FILTER (risk = 'secret') AS critical, count(*) FILTER (risk IN ('marker', 'emails')) AS warning FROM risk",
     "email_counts": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\w.+-]+@[\w-]+\.[\w.-]+')) AS BIGINT) AS n_emails FROM documents",
-    "secret_matches": r"SELECT doc_id, pattern, substring(m, 1, 4) || '…' AS redacted, count(*) AS n FROM (SELECT doc_id, 'openai_key' AS pattern, unnest(regexp_extract_all(text, 'sk-[a-zA-Z0-9]{20,}')) AS m FROM documents UNION ALL SELECT doc_id, 'aws_access_key', unnest(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')) FROM documents UNION ALL SELECT doc_id, 'private_key', unnest(regexp_extract_all(text, '-----BEGIN[A-Z ]*PRIVATE KEY-----')) FROM documents UNION ALL SELECT doc_id, 'slack_token', unnest(regexp_extract_all(text, 'xox[bp]-[a-zA-Z0-9-]+')) FROM documents) GROUP BY ALL",
+    "secret_matches": r"SELECT doc_id, pattern, substring(m, 1, 4) || '…' AS redacted, count(*) AS n FROM (SELECT id AS doc_id, 'openai_key' AS pattern, unnest(regexp_extract_all(body, 'sk-[a-zA-Z0-9]{20,}')) AS m FROM corpus UNION ALL SELECT id AS doc_id, 'aws_access_key', unnest(regexp_extract_all(body, 'AKIA[0-9A-Z]{16}')) FROM corpus UNION ALL SELECT id AS doc_id, 'private_key', unnest(regexp_extract_all(body, '-----BEGIN[A-Z ]*PRIVATE KEY-----')) FROM corpus UNION ALL SELECT id AS doc_id, 'slack_token', unnest(regexp_extract_all(body, 'xox[bp]-[a-zA-Z0-9-]+')) FROM corpus) GROUP BY ALL",
     "freshness_summary": "SELECT count(*) AS scanned, count(updated_at) AS measured, count(*) - count(updated_at) AS missing_timestamps, count(*) FILTER (updated_at < TIMESTAMP '2024-01-02') AS stale, CAST(count(*) FILTER (updated_at < TIMESTAMP '2024-01-02') + count(*) - count(updated_at) AS DOUBLE) / count(*) * 100 AS stale_pct FROM chunk",
     "stale_documents": "SELECT ref, strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS updated_at FROM chunk WHERE updated_at < TIMESTAMP '2024-01-02'",
     "embedding_dims_histogram": "SELECT CAST(len(embedding) AS BIGINT) AS dims, count(*) AS n FROM chunk WHERE embedding IS NOT NULL GROUP BY 1",
@@ -86,7 +120,7 @@ SQL = {
     "metadata_key_presence": "SELECT key, CAST(sum(n) AS BIGINT) AS present_rows FROM kinds GROUP BY 1",
     "metadata_type_mix": "SELECT key, kind, n FROM kinds",
     "inconsistent_keys": f"SELECT {SAFE} AS key, CAST(n AS BIGINT) AS present_rows FROM (SELECT key, sum(n) AS n FROM kinds GROUP BY 1) WHERE n >= 10 AND round(n * 100.0 / (SELECT count(*) FROM chunk), 1) < 80 AND round(((SELECT count(*) FROM chunk) - n) * 100.0 / (SELECT count(*) FROM chunk), 1) >= 20 ORDER BY n DESC, 1 LIMIT 8",
-    "mixed_type_keys": f"SELECT {SAFE} AS key, CAST(sum(n) AS BIGINT) AS rows, string_agg(kind || '=' || n, ',' ORDER BY n DESC, kind) AS types FROM kinds WHERE kind <> 'null' GROUP BY kinds.key HAVING sum(n) >= 5 AND count(*) > 1",
+    "mixed_type_keys": f"SELECT {SAFE} AS key, CAST(sum(n) AS BIGINT) AS rows, string_agg(kind || '=' || n, ',' ORDER BY n DESC, kind) AS types FROM kinds WHERE kind <> 'null' GROUP BY kinds.key HAVING sum(n) >= 5 AND count(*) > 1 ORDER BY 2 DESC, 1 LIMIT 8",
     "safe_keys": f"SELECT DISTINCT {SAFE} AS key FROM kinds",
     "source_locator_coverage": "SELECT count(*) AS scanned, count(*) FILTER (has_source) AS source_rows FROM places",
     "source_locator_per_chunk": "SELECT ref, located AS source_locator_present, has_source, has_structured FROM places",
@@ -99,6 +133,21 @@ SQL = {
     "average_text_length": "SELECT 'documents' AS name, avg(length(text)) AS avg_length FROM documents UNION ALL SELECT 'conversations', avg(length(text)) FROM conversations UNION ALL SELECT 'benchmark', avg(length(text)) FROM benchmark",
     "json_keys": "SELECT DISTINCT unnest(json_keys(props)) AS key FROM events",
     "candidate_tables": "SELECT 'public.embeddings' AS name, count(*) AS estimated_rows, 'embedding' AS vectors FROM embeddings",
+    "small_looks": "SELECT 'corpus' AS name, count(*) AS n, CAST(coalesce(min(len(embedding)), 0) AS BIGINT) AS dims, count(embedding) > 0 AS has_embeddings FROM corpus WHERE id % 17 <> 3 UNION ALL SELECT 'bare', count(*), CAST(coalesce(min(len(embedding)), 0) AS BIGINT), count(embedding) > 0 FROM corpus WHERE embedding IS NULL",
+    "name_scores": f"SELECT 'column' AS what, name, CAST({CONTENT_SCORE} AS BIGINT) AS score FROM (SELECT DISTINCT column_name AS name FROM information_schema.columns WHERE table_name IN ('documents', 'pages', 'conversations', 'benchmark', 'part', 'orders')) UNION ALL SELECT 'table', name, CAST({TABLE_SCORE} AS BIGINT) FROM (SELECT unnest(['documents', 'document_chunks', 'part_documents', 'chunks_cache', 'evidentia_chunks', 'orders']) AS name) UNION ALL SELECT 'rows', 'orders', CASE WHEN n >= 10000 THEN 5 WHEN n >= 1000 THEN 4 WHEN n >= 100 THEN 3 WHEN n >= 1 THEN 1 ELSE 0 END FROM (SELECT count(*) AS n FROM orders)",
+    "fingerprint_columns": f"SELECT 'public.corpus' AS name, col, kind, (SELECT sha256('[{{\"table\":\"public.corpus\",\"columns\":[' || string_agg('{{\"name\":\"' || col || '\",\"type\":\"' || kind || '\"}}', ',' ORDER BY col) || '],\"jsonKeys\":{{}}}}]') FROM ({TYPED})) AS digest FROM ({TYPED})",
+    "findings_by_type": FOUND + "SELECT type, severity, CAST(sum(n) AS BIGINT) AS n, CAST(sum(affected) AS BIGINT) AS affected FROM found GROUP BY 1, 2",
+    "findings_by_severity": FOUND + "SELECT severity, row_number() OVER (PARTITION BY severity ORDER BY min(pos)) AS place, type, CAST(sum(n) AS BIGINT) AS n FROM found GROUP BY severity, type",
+    "next_actions": FOUND + "SELECT row_number() OVER (ORDER BY min(sev), sum(affected) DESC, min(pos)) AS rank, arg_min(title, sev * 1000 + pos) AS title, CAST(sum(n) AS BIGINT) AS n_refs FROM worth GROUP BY what ORDER BY rank LIMIT 5",
+    "bare_findings": FOUND + """SELECT * FROM (SELECT unnest(['full', 'empty']) AS rows, 'warning' AS severity, 'Your index has no timestamps — staleness can''t be measured' AS title, CAST(1 AS BIGINT) AS affected
+      UNION ALL SELECT unnest(['full', 'empty']), 'critical', 'Indexed chunk count is below the configured inventory minimum', unnest([1000000000 - (SELECT count(*) FROM chunk), 1000000000])
+      UNION ALL SELECT unnest(['full', 'empty']), 'info', 'Document inventory cannot be verified without a mapped document id', 1 UNION ALL SELECT unnest(['full', 'empty']), 'info', 'No metadata column is mapped', 1
+      UNION ALL SELECT 'empty', 'critical', 'Mapped chunk table is empty', 1 UNION ALL SELECT 'full', 'warning', 'No source or citation locator was found', count(*) FROM chunk UNION ALL SELECT 'full', 'warning', title, affected FROM found WHERE pos IN (70, 80)
+      UNION ALL SELECT 'full', 'warning', 'Table-like chunks are missing source/citation locators', n_table FROM total WHERE n_table >= 5 AND n_table / total * 100 >= 10)""",
+    "report_labels": """SELECT 'locator' AS what, url AS given, regexp_extract(lower(url), '^([a-z][a-z0-9+.-]*):', 1) || ' source sha256:' || substring(sha256(url), 1, 16) AS shown FROM (SELECT url FROM pages ORDER BY page_id LIMIT 10)
+      UNION ALL SELECT 'hash', url, 'sha256:' || substring(sha256(url), 1, 16) FROM (SELECT url FROM pages ORDER BY page_id LIMIT 10)
+      UNION ALL SELECT 'model', CAST(n AS VARCHAR), CASE n WHEN 1536 THEN 'openai text-embedding-3-small or ada-002 (guess)' WHEN 3072 THEN 'openai text-embedding-3-large (guess)' WHEN 1024 THEN 'Cohere/BGE-class (guess)' WHEN 768 THEN 'sentence-transformers-class (guess)' ELSE 'unknown model (guess)' END FROM (SELECT unnest([384, 768, 1024, 1536, 3072]) AS n)
+      UNION ALL SELECT 'rot', CAST(n AS VARCHAR), CASE WHEN n >= 90 THEN 'none' WHEN n >= 80 THEN 'light' WHEN n >= 60 THEN 'noticeable' ELSE 'severe' END FROM (SELECT unnest([0, 59, 60, 79, 80, 89, 90, 100]) AS n)""",
     "scan_stats": "SELECT total AS total_chunks, (SELECT count(*) FROM same) AS exact_groups, CAST(exact_rows AS BIGINT) AS exact_rows, near_pairs, n_thin AS thin, critical, warning, (SELECT count(*) - count(embedding) FROM chunk) AS null_embeddings FROM stats",
     "subscores": "SELECT coverage, duplication, freshness, quality, risk FROM subs",
     "health_score": "SELECT CAST(floor(0.3 * freshness + 0.2 * duplication + 0.2 * quality + 0.1 * risk + 0.2 * coverage + 0.5) AS BIGINT) AS score FROM subs",

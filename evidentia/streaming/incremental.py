@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,9 +23,16 @@ def additive(rows: DataFrame) -> DataFrame:
     )
 
 
-def running_counters(chunks: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """A streaming chunk view's counters so far (output mode complete or update)."""
-    return additive(features(chunks, thresholds))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, spark.checkpoint.dir; only a local run may do without, in a folder that goes at its end."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="evidentia-stream-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def write_batches(chunks: DataFrame, path: str, checkpoint: str, thresholds: Thresholds = Thresholds()) -> StreamingQuery:
