@@ -294,7 +294,7 @@ def blocks(bucket: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
     """One row per bucket that occurs, with each array's values of it as bytes: a few large rows to shuffle."""
     order = np.argsort(bucket, kind="stable")
     held, first = np.unique(bucket[order], return_index=True)
-    last = np.append(first[1:], len(order))
+    last = np.append(first[1:], len(order))[: len(held)]
     columns = [pa.array(held.astype(np.int32))]
     for x in arrays:
         data, size = np.ascontiguousarray(x[order]).tobytes(), x.dtype.itemsize

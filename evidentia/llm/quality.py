@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BASE, BASE_2, LOWER, bound_batches, byte_class, grams, large, mix, prefix_hash, slices, span_hash, utf8, word_spans
+from ._shared import BASE_2, LOWER, bound_batches, byte_class, grams, large, mix, slices, utf8, word_hash, word_spans
 
 #: Hash buckets of the n-grams.
 BUCKETS = 1 << 18
@@ -19,7 +19,7 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 
 SPACE = byte_class([(0x09, 0x0D), (0x20, 0x20)])
 #: Kinds of bytes in a word's shape: lower, upper, digit, beyond ASCII; other bytes stand for themselves.
-SHAPE = np.arange(256, dtype=np.uint64)
+SHAPE = np.arange(256, dtype=np.uint8)
 SHAPE[97:123], SHAPE[65:91], SHAPE[48:58], SHAPE[128:] = ord("x"), ord("X"), ord("9"), ord("u")
 
 
@@ -31,12 +31,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     owner = np.repeat(np.arange(len(counts)), counts)
     if not len(starts):
         return np.zeros((0, 4), np.int64), owner, counts
-    lower = LOWER[data]
-    words = mix(span_hash(prefix_hash(lower, BASE), BASE, starts, ends) + (ends - starts).astype(np.uint64))
+    words = word_hash(LOWER[data], starts, ends)
     kinds = SHAPE[data]
-    upper = np.concatenate([[0], np.cumsum(kinds == ord("X"))])
+    upper = np.zeros(len(kinds) + 1, np.int32)
+    np.cumsum(kinds == ord("X"), out=upper[1:])
     size = ends - starts
-    shape = kinds[starts] | kinds[ends - 1] << np.uint64(8) | kinds[np.maximum(ends - 2, starts)] << np.uint64(16)
+    last = [kinds[at].astype(np.uint64) for at in (starts, ends - 1, np.maximum(ends - 2, starts))]
+    shape = last[0] | last[1] << np.uint64(8) | last[2] << np.uint64(16)
     shape |= np.minimum(size, 3).astype(np.uint64) << np.uint64(24) | (2 * (upper[ends] - upper[starts]) > size).astype(np.uint64) << np.uint64(32)
     same = np.zeros(len(words), np.uint64)
     same[1:] = words[1:] == words[:-1]
@@ -157,7 +158,9 @@ def score_with_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
 
 def clean(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that a model of the labels outside the held-out fold does not reject (score of 0.5 or
-    more), all their columns unchanged."""
+    more), all their columns unchanged. Each row is judged by its own text, so repeated rows, rows of one id and rows
+    without one stay or go by their texts; null and empty texts score by the bias alone; columns may have any
+    names; without usable labels, or rows, all (0.5 each), or none, stay."""
     names = docs.columns
     model = train(docs, labels.where(~held_out()))
     renamed = docs.select(F.col(text_col).alias("_text"), *(F.col(f"`{n}`").alias(f"k{i}") for i, n in enumerate(names)))

@@ -1,0 +1,153 @@
+"""Repeated rows, missing and equal ids, texts of several megabytes, empty tables and clashing columns, in every operator and stage."""
+
+import random
+import zlib
+
+import brute
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from brute import words
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline as P
+from evidentia.llm import _shared, decontaminate, fingerprints, jaccard_join, line_dedup, packing, quality, suffix_dedup, token_counts, token_files
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+ROWS = [(1, "one two three"), (1, "one two three"), (None, "without an id"), (None, None), (2, "equal id"), (2, "other text of it"), (3, ""), (None, "without an id"), (4, None)]
+
+
+def test_each_row_is_packed_and_counted(frame):
+    held = Tokenizer.from_file(VOCABULARY)
+    want = sorted((str(i), len((t or "").encode()), len(held.encode(t or "", add_special_tokens=False).ids)) for i, t in ROWS)
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in token_counts.token_counts(frame(ROWS, True), VOCABULARY, 5).collect()) == want
+    got = packing.pack(frame(ROWS, True), VOCABULARY).collect()
+    assert sorted((str(r["doc_id"]), r["doc_tokens"] - 1) for r in got) == [(i, n) for i, _, n in want]
+    places = sorted((r["offset"], r["length"]) for r in got)
+    assert {r["sequence_id"] for r in got} == {0} and all(a + n == b for (a, n), (b, _) in zip(places[:-1], places[1:], strict=True))
+
+
+def test_each_row_has_a_fingerprint_and_a_score(frame, spark):
+    got = fingerprints.edit_digest(frame(ROWS, True)).collect()
+    assert len(got) == len(ROWS) and sorted((str(r["doc_id"]), r["n_chars"]) for r in got) == sorted((str(i), len(t or "")) for i, t in ROWS)
+    assert len({r["fingerprint"] for r in got if r["n_chars"] == 13}) == 2  # 'one two three' and 'without an id'
+    labels = spark.createDataFrame([(k, k % 2) for k in (1, 2, 3, 3)], "doc_id long, quality int")
+    scored = quality.score_with_labels(frame(ROWS, True), labels).collect()
+    by_text = {}
+    assert len(scored) == len(ROWS) and all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 3 == 1) for r in scored)
+    for r in quality.score(frame(ROWS), quality.Model(np.random.default_rng(1).normal(size=quality.BUCKETS), 0.5), keep=("text",)).collect():
+        assert by_text.setdefault(r["text"] or "", r["score"]) == r["score"]
+    kept = quality.clean(frame(ROWS, True), labels.where("false"))
+    assert kept.count() == len(ROWS) and kept.columns == frame(ROWS, True).columns
+
+
+def test_lines_and_bytes_of_rows_without_id(frame):
+    rows = [(None, "a\nb\nc"), (None, "a\nb\nc"), (1, "a\nb\nd"), (1, "c\nb"), (5, "x\nc\nb")]
+    got = sorted((str(r["doc_id"]), r["n_lines"], r["n_removed"]) for r in line_dedup.line_digest(frame(rows, True)).collect())
+    assert got == [("1", 2, 0), ("1", 3, 2), ("5", 3, 2), ("None", 3, 0), ("None", 3, 0)]
+    rows = [(7, "abcdefghij" * 12), (7, "abcdefghij" * 12), (8, "0" + "abcdefghij" * 12), (9, None)]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.repeat_digest(frame(rows, True)).collect())
+    assert got == [(7, 120, 110), (7, 120, 110), (8, 121, 120), (9, 0, 0)]
+
+
+@pytest.fixture(scope="module")
+def long_rows():
+    """A text of some megabytes, parts of it in others, and small texts beside it."""
+    rng = random.Random(5)
+    w = words(rng, 400_000, 60_000)
+    lines = [" ".join(w[k : k + 40]) for k in range(0, len(w), 40)]
+    big = "\n".join(lines)
+    return [(1, big), (2, "\n".join(lines[100:140])), (3, big[:-20] + " changed at the end"), (4, "x" * 2_000_000), (5, " ".join(words(rng, 30))), (6, None)]
+
+
+def test_long_texts_in_every_operator(frame, spark, long_rows):
+    held, df = Tokenizer.from_file(VOCABULARY), frame(long_rows)
+    ids = {i: held.encode(t or "", add_special_tokens=False).ids for i, t in long_rows}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df, VOCABULARY, 5).collect()} == {i: len(x) for i, x in ids.items()}
+    pieces = packing.pack(df, VOCABULARY).collect()
+    assert {i: sum(r["length"] for r in pieces if r["doc_id"] == i) for i in ids} == {i: len(x) + 1 for i, x in ids.items()}
+    files = {r["doc_id"]: r["ids_crc32"] for r in token_files.token_file_digest(df, VOCABULARY).collect()}
+    assert files == {i: zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for i, x in ids.items()}
+    bench = spark.createDataFrame([("a", " ".join(long_rows[0][1].split()[250_000:250_030])), ("b", "no such words here at all")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.contamination_digest(df, bench).collect()}
+    assert got == {1: (30, 1), 2: (0, 0), 3: (30, 1), 4: (0, 0), 5: (0, 0), 6: (0, 0)}
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_digest(df, 2).collect()}
+    assert got == {1: 0, 2: 40, 3: 9_999, 4: 0, 5: 0, 6: 0}
+    got = {r["doc_id"]: [tuple(a) for a in r["anchors"]] for r in fingerprints.fingerprints(df.where("doc_id <> 3")).collect()}
+    assert all(got[i] == brute.anchors(t) for i, t in long_rows if i != 3)
+    sets = {i: brute.shingles(t) for i, t in long_rows}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.linked(df).collect()} == {i: (len(s), 1 if i == 3 else i) for i, s in sets.items()}
+    removed = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.repeat_digest(df).collect()}
+    assert removed[1] < 5000 and removed[2] == len(long_rows[1][1]) and removed[3] >= len(long_rows[0][1]) - 20 and removed[4] == 2_000_000 - 1 and removed[5] == removed[6] == 0
+    score = {r["doc_id"]: r["score"] for r in quality.score(df, quality.Model(np.ones(quality.BUCKETS) / 100, 0.0)).collect()}
+    assert all(0 <= s <= 1 for s in score.values())
+
+
+def test_training_is_plain_ftrl():
+    """The vectorised pass equals one that updates weight by weight."""
+    rng = random.Random(4)
+    texts = [" ".join(words(rng, rng.randint(0, 40), 50)).upper() if k % 3 else " ".join(words(rng, 20, 50)) for k in range(60)]
+    labels = [int(k % 3 == 0) for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(labels), pa.array(texts, pa.large_string())], ["l", "t"])
+    weights, bias = quality.ftrl([batch, batch], 0.3)
+    z: dict = {}
+    n: dict = {}
+    zb = nb = 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * quality.L1) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for text, label in list(zip(texts, labels, strict=True)) * 2:
+        buckets, _, counts = quality.features(*_shared.utf8(pa.array([text], pa.large_string())))
+        x: dict = {}
+        for i in buckets.ravel().tolist():
+            x[i] = x.get(i, 0) + 1
+        x = {i: c / max(1, counts[0]) ** 0.5 for i, c in x.items()}
+        wb = -zb / ((quality.BETA + nb**0.5) / quality.ALPHA)
+        total = 0.3 + wb + sum(weight(i) * v for i, v in x.items())
+        p = 1 / (1 + np.exp(-min(35, max(-35, total))))
+        for i, v in x.items():
+            g, w = (p - label) * v, weight(i)
+            z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / quality.ALPHA * w
+            n[i] = n.get(i, 0.0) + g * g
+        g = p - label
+        zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / quality.ALPHA * wb
+        nb += g * g
+    assert bias == pytest.approx(0.3 - zb / ((quality.BETA + nb**0.5) / quality.ALPHA))
+    assert {i: w for i, w in enumerate(weights.tolist()) if w} == pytest.approx({i: weight(i) for i in z if weight(i)})
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_stages_take_odd_rows_and_empty_tables(frame, spark, tmp_path, name):
+    labels = [(k, k % 2, 0) for k in range(8)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("i", "zero words of this stand anywhere in the rows above here")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(P.STAGES)[name]
+    rows = [*ROWS, (20, "a\nb\nc"), (21, "a\nb\nd")]
+    docs = frame(rows, True)
+    out = stage(spark, docs, str(tmp_path))
+    held = out.collect()
+    if name == "packing":
+        assert len(held) == len(rows)
+    else:
+        assert out.columns == docs.columns and {(r["doc_id"], r["source"]) for r in held} <= {(i, "src") for i, _ in rows}
+        assert all(r["label"] == "x" for r in held)
+    if name in ("jaccard_join", "line_dedup", "benchmark_decontamination"):
+        gone = {"jaccard_join": 2, "line_dedup": 0, "benchmark_decontamination": 0}[name]
+        assert len(held) == len(rows) - gone
+    assert stage(spark, docs.where("false"), str(tmp_path)).collect() == []
+
+
+def test_many_benchmark_words_are_not_shipped(spark, frame):
+    """A large benchmark stays on the executors: the driver sees a sieve."""
+    n = 200_000
+    bench = spark.range(n // 100).select(F.col("id").alias("item_id"), F.expr("concat_ws(' ', transform(sequence(0, 99), i -> concat('w', cast(pmod(xxhash64(id, i), 500000) as string))))").alias("text"))
+    texts = [r["text"] for r in bench.where("item_id in (3, 77)").orderBy("item_id").collect()]
+    rows = [(1, texts[0]), (2, " ".join(texts[1].split()[20:35])), (3, "nothing shared " * 20)]
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.contamination_digest(frame(rows), bench).collect()}
+    assert got == {1: (100, 1), 2: (15, 1), 3: (0, 0)}
