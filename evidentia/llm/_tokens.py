@@ -88,11 +88,11 @@ class Encoder:
         self.ends = np.zeros(self.size, bool)
         for token, i in vocab.items():
             self.ends[i] = bool(self.suffix) and token.endswith(self.suffix)
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
         self.whole: dict[bytes, bytes] = {}
         if self.by_word:
             self.whole = dict(self._stems() if proof is None else marshal.loads(zlib.decompress(proof)))
+        # What is known of words: the proven ones and what was merged since; and the older generation of these.
+        self.known, self.old = dict(self.whole), {}
 
     def _stems(self) -> list[tuple[bytes, bytes]]:
         """Strings of the vocabulary that the library, given each alone, encodes as one token, as (key, id): the keys
@@ -108,7 +108,7 @@ class Encoder:
             letters = (kind[a:b] == LETTER).all()
             if not letters and not (kind[a:b] == ODD).any() and kind[a] == LETTER:
                 continue  # letters with marks behind are taken as two pieces
-            out.append((b"\0" + low[a:b] if letters else b"\2" + s.encode(), ids))
+            out.append((low[a:b] if letters else b"\2" + s.encode(), ids))
             if (kind[a:b] == MARK).all():
                 out.append((b"\1" + s.encode(), ids))
         return out
@@ -131,30 +131,23 @@ class Encoder:
         return out
 
     def _look_up(self, keys: list[bytes]) -> list[bytes]:
-        """Ids of words, which are given with their tag in front."""
-        new, old, whole = self.new, self.old, self.whole
-        out: list = [None] * len(keys)
+        """Ids of words by their keys: a word of letters is its own, others have their tag in front."""
+        out: list = list(map(self.known.get, keys))
         missing = []
-        for i, key in enumerate(keys):
-            ids = whole.get(key)
-            if ids is None:
-                ids = new.get(key)
-                if ids is None:
-                    ids = old.get(key)
-                    if ids is None:
-                        missing.append(i)
-                        continue
-                    new[key] = ids
-            out[i] = ids
-        words = [i for i in missing if keys[i][0] == WORD_TAG]
-        others = [i for i in missing if keys[i][0] != WORD_TAG]
-        for some, ids in ((words, self._words([keys[i][1:].decode() for i in words])), (others, self._plain([keys[i][1:].decode() for i in others]))):
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            if (ids := self.old.get(keys[i])) is None:
+                missing.append(i)
+            else:
+                out[i] = self.known[keys[i]] = ids
+        words = [i for i in missing if keys[i][0] > RAW_TAG]
+        others = [i for i in missing if keys[i][0] <= RAW_TAG]
+        for some, ids in ((words, self._words([keys[i].decode() for i in words])), (others, self._plain([keys[i][1:].decode() for i in others]))):
             for i, x in zip(some, ids, strict=True):
                 out[i] = x
                 if len(keys[i]) <= CACHE_BYTES:
-                    new[keys[i]] = x
-        if len(new) > CACHE_WORDS:
-            self.new, self.old = {}, new
+                    self.known[keys[i]] = x
+        if len(self.known) > len(self.whole) + CACHE_WORDS:
+            self.known, self.old = dict(self.whole), self.known
         return out
 
     def _pieces(self, data: np.ndarray, offsets: np.ndarray):
@@ -174,7 +167,7 @@ class Encoder:
         a, b, tag = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.uint8)
         a[at], b[at], tag[at] = starts, core, np.where(plain, WORD_TAG, RAW_TAG)
         a[at[two] + 1], b[at[two] + 1], tag[at[two] + 1] = core[two], ends[two], MARK_TAG
-        raw, tags = tag == RAW_TAG, (b"\0", b"\1", b"\2")
+        raw, tags = tag == RAW_TAG, (b"", b"\1", b"\2")
         h = word_hash(low, a, b)
         h[raw] = word_hash(data, a[raw], b[raw])
         h += tag
@@ -187,7 +180,7 @@ class Encoder:
             held: dict[bytes, int] = {}
             which = np.array([held.setdefault(tags[t] + (raw_text if t == RAW_TAG else text)[x:y], len(held)) for t, x, y in zip(tag.tolist(), a.tolist(), b.tolist(), strict=True)], np.int64)
             return which, self._look_up(list(held)), np.searchsorted(a, offsets)
-        keys = [tags[t] + (raw_text if t == RAW_TAG else text)[x:y] for t, x, y in zip(tag[one].tolist(), a[one].tolist(), b[one].tolist(), strict=True)]
+        keys = [text[x:y] if not t else tags[t] + (raw_text if t == RAW_TAG else text)[x:y] for t, x, y in zip(tag[one].tolist(), a[one].tolist(), b[one].tolist(), strict=True)]
         return which, self._look_up(keys), np.searchsorted(a, offsets)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

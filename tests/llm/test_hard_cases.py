@@ -57,9 +57,9 @@ def test_tokens_of_twins_are_the_library_s(monkeypatch, weak):
 def test_whole_tokens_are_proven():
     held = Tokenizer.from_file(VOCABULARY)
     whole = _tokens.Encoder(VOCABULARY).whole
-    assert len(whole) > 30_000 and {k[0] for k in whole} == {0, 1, 2}
+    assert len(whole) > 30_000 and {min(k[0], 3) for k in whole} == {1, 2, 3}
     for key, ids in random.Random(1).sample(sorted(whole.items()), 2000):
-        assert held.encode(key[1:].decode(), add_special_tokens=False).ids == [int.from_bytes(ids, "little")]
+        assert held.encode(key.lstrip(b"\1\2").decode(), add_special_tokens=False).ids == [int.from_bytes(ids, "little")]
 
 
 def test_twins_in_tables(frame):
