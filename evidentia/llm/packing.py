@@ -14,8 +14,9 @@ from ._shared import bound_batches, few, large, materialize, slices, utf8
 
 #: A sequence has this many units at most; the linear program has a row for each length in units.
 CLASSES = 512
-#: Pieces of one length that are ranked together; a frequent length is dealt to as many salts as it needs.
-TOGETHER = 100_000
+#: Pieces of one length that are ranked together: so many at least, or so that there are about SALTS such groups; a
+#: frequent length is dealt to as many salts as it needs.
+TOGETHER, SALTS = 1_000, 100_000
 #: The program ends when no pattern is worth more than 1 + TOLERANCE, or after so many columns, MANY a pricing at most.
 TOLERANCE, MAX_COLUMNS, MANY = 1e-3, 4000, 24
 
@@ -223,9 +224,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int | No
     held = bundles(np.minimum(lengths, capacity_in_units), counts, capacity_in_units, width)
     classes = np.flatnonzero(held["total"])
     places = plan(classes, held["total"][classes], size)
-    salts = spark.createDataFrame([(x, int(-(-n // TOGETHER))) for x, n in counted], "length long, salts int")
+    together = max(TOGETHER, sum(n for _, n in counted) // SALTS)
+    salts = spark.createDataFrame([(x, int(-(-n // together))) for x, n in counted], "length long, salts int")
     rows = rows.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("number"), F.col("salts")).cast("int")).drop("salts", "number")
-    # A row for each TOGETHER pieces or so; summed up on the executors.
+    # SALTS rows or so, and one for each length; summed up on the executors.
     offsets = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     offsets = materialize(offsets.select("length", "salt", before.alias("before")), "salts")
