@@ -34,7 +34,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_evidentia_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp(prefix="evidentia-code-")) / "evidentia_code.zip"
+    folder = tempfile.mkdtemp(prefix="evidentia-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    to = Path(folder) / "evidentia_code.zip"
     with zipfile.ZipFile(to, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, f"{top.name}/{p.relative_to(top)}")
