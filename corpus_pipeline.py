@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.llm import decontaminate, jaccard_join, line_dedup, packing, quality
-from evidentia.llm._shared import materialize, read_table
+from evidentia.llm._shared import discard, materialize, read_table
 from evidentia.llm.queries import LONG_WORDS, MIN_RUN, TOKENIZER, WINDOW
 
 
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, written = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # Only the last stage's table is read any more.
+        discard(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
