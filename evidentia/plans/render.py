@@ -53,35 +53,36 @@ def escaped(s: str) -> str:
 
 
 STYLE = """
-body { font-family: system-ui, sans-serif; line-height: 1.5; max-width: 50rem; margin: 2rem auto; padding: 0 1rem }
-h1 { font-size: 2.5rem; margin: 0 } .good { color: #15803d } .warn { color: #a16207 } .bad { color: #b91c1c }
-pre { background: #8882; padding: .5rem; overflow-x: auto } td, th { border: 1px solid #999; padding: .3rem .6rem; text-align: left }
+:root { color-scheme: light dark; font: 16px/1.5 system-ui, sans-serif } body { margin: 0; display: grid; grid-template-columns: minmax(14rem, 1fr) 3fr }
+nav, main { padding: 1.5rem } nav { border-right: 1px solid #8886 } meter { width: 100% } dt { margin-top: .6rem } dd { margin: 0 }
+table { border-collapse: collapse; width: 100% } td { border-top: 1px solid #8886; padding: .4rem; vertical-align: top } pre { white-space: pre-wrap; background: #8882; padding: .5rem }
 """
 
 
 def as_html(report: dict) -> str:
-    score, totals, subs = report["health"]["score"], report["totals"], report["health"]["subscores"]
-    tone = "good" if score >= 80 else "warn" if score >= 60 else "bad"
-
-    def item(f: dict) -> str:
-        body = f"<pre>{escaped(json.dumps(f['evidence'], indent=2, ensure_ascii=False))}</pre>" if f["evidence"] else ""
-        sql = (f["suggestedRepair"] or {}).get("sql")
-        return f"<li><code>{escaped(f['type'])}</code> {escaped(f['title'])}{body}" + (f"<pre>{escaped(sql)}</pre>" if sql else "") + "</li>"
-
-    parts = []
-    for severity in SEVERITIES:
-        groups = by_severity(report)[severity]
-        if groups:
-            held = "".join(f"<details><summary><code>{escaped(kind)}</code> ({n})</summary><ul>{''.join(map(item, some))}{f'<li>+{n - len(some)} more</li>' if n > len(some) else ''}</ul></details>" for kind, some, n in groups)
-            parts.append(f"<section><h2>{severity.upper()} ({severity_count(report, severity)})</h2>{held}</section>")
-    if report["sources"]:
-        rows = "".join(f"<tr><td>{escaped(shown_locator(s['locator']))}</td><td>{escaped(s['kind'])}</td><td>{escaped(s['status'])}</td></tr>" for s in report["sources"])
-        parts.append(f"<section><h2>Sources</h2><table><tr><th>Locator</th><th>Kind</th><th>Status</th></tr>{rows}</table></section>")
-    if report["nextActions"]:
-        parts.append(f"<section><h2>Fix first</h2><ol>{''.join(f'<li>{escaped(a["title"])}</li>' for a in report['nextActions'])}</ol></section>")
-    values = " · ".join(f"{k} {'—' if subs[k] is None else H.whole(subs[k])}" for k in ORDER)
-    facts = f"{totals['chunks']} chunks · {totals['sources']} sources · {escaped(report['stack']['frameworkGuess'] or 'custom')}"
-    return (
-        f'<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><title>{NAME} report</title><style>{STYLE}</style></head><body>'
-        f'<h1 class="{tone}">{score}/100</h1><p>RAG rot: {H.rot(score)}</p><p>{values}<br>{facts}</p>{"".join(parts)}<footer><p>{PRIVATE}</p></footer></body></html>'
-    )
+    """One page without outside requests: health and what to do first on the left, a row for each kind of finding on the right."""
+    health, totals = report["health"], report["totals"]
+    tag = lambda name, inner, **attrs: f"<{name}{''.join(f' {k}={chr(34)}{v}{chr(34)}' for k, v in attrs.items())}>{inner}</{name}>"
+
+    def gauge(name: str, value: float | None) -> str:
+        shown = "not measured" if value is None else str(H.whole(value))
+        bar = "" if value is None else tag("meter", "", min=0, max=100, low=60, high=80, optimum=100, value=H.whole(value))
+        return tag("dt", f"{name}: {shown}") + tag("dd", bar)
+
+    def finding(f: dict) -> str:
+        shown = [json.dumps(f["evidence"], indent=2, ensure_ascii=False)] * bool(f["evidence"]) + [sql for sql in [(f["suggestedRepair"] or {}).get("sql")] if sql]
+        return tag("p", escaped(f["title"])) + "".join(tag("pre", escaped(x)) for x in shown)
+
+    def kind_row(severity: str, kind: str, some: list[dict], n: int) -> str:
+        more = tag("p", f"and {n - len(some)} more") if n > len(some) else ""
+        return tag("tr", tag("td", severity) + tag("td", tag("details", tag("summary", f"{escaped(kind)}, {n}") + "".join(map(finding, some)) + more)))
+
+    rows = "".join(kind_row(severity, *group) for severity, groups in by_severity(report).items() for group in groups)
+    counts = ", ".join(f"{severity_count(report, s)} {s}" for s in SEVERITIES)
+    places = "".join(tag("tr", "".join(tag("td", escaped(x)) for x in (shown_locator(s["locator"]), s["kind"], s["status"]))) for s in report["sources"])
+    first = "".join(tag("li", escaped(a["title"])) for a in report["nextActions"])
+    side = tag("h1", f"{health['score']}/100") + tag("p", f"{H.rot(health['score'])} rot in {totals['chunks']} chunks, {escaped(report['stack']['frameworkGuess'] or 'custom')} layout")
+    side += tag("dl", "".join(gauge(k, health["subscores"][k]) for k in ORDER)) + (tag("h2", "Begin with") + tag("ol", first) if first else "") + tag("small", PRIVATE)
+    body = tag("h2", f"Findings: {counts}") + tag("table", rows) + (tag("h2", f"{totals['sources']} sources") + tag("table", places) if places else "")
+    head = '<meta charset="utf-8">' + tag("title", f"{NAME} report") + tag("style", STYLE)
+    return "<!doctype html>\n" + tag("html", tag("head", head) + tag("body", tag("nav", side) + tag("main", body)), lang="en")
