@@ -100,7 +100,8 @@ def boxes(docs: DataFrame) -> Column:
     inside = F.coalesce(F.size(F.get(part, whole)) - beyond(F.get(part, whole)), F.lit(0))
     below = whole * FAN + inside
     no_id = F.lit(MAX_BOXES) + F.floor((F.shiftrightunsigned("text_hash", 32)) * NO_ID_BOXES / (1 << 32)).cast("int")
-    return F.when(F.col("id").isNull(), no_id).otherwise(F.lit(len(limits)) - below).cast("int")
+    # Never null, and told so, or the joins by range would filter what they read and not share it.
+    return F.coalesce(F.when(F.col("id").isNull(), no_id).otherwise(F.lit(len(limits)) - below).cast("int"), F.lit(0))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -117,15 +118,14 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # MAX_BOXES + NO_ID_BOXES + 1 rows at most.
     filled = sorted(r["box"] for r in docs.select("box").distinct().collect())
     follows = spark.createDataFrame(list(zip(filled, filled[1:] + filled[:1], strict=True)), "tail_box int, head_box int")
-    # All three uses below read the same columns of the same exchange, which Spark then runs once.
-    rows = docs.select("id", "box", "text_hash", F.struct("text", "id").alias("row")).repartition("box")
-    order = Window.partitionBy("box").orderBy(F.desc("id"), "text_hash", "row")
-    rows = rows.withColumns({"rank": F.row_number().over(order), "next": F.lead("row").over(order)})
-    inner = rows.where("next is not null").select("row", "next")
-    heads = rows.where("rank = 1").select(F.col("box").alias("head_box"), F.col("row").alias("next"))
-    tails = rows.where("next is null").select("row", F.col("box").alias("tail_box"))
-    found = inner.unionByName(tails.join(F.broadcast(follows), "tail_box").join(heads, "head_box").select("row", "next"))
-    return found.select("row.id", "row.text", F.col("next.text").alias("next_text"))
+    # All three uses below read the same plain columns of the same exchange, which Spark then runs once.
+    rows = docs.select("id", "text", "text_hash", "box").repartition("box")
+    order = Window.partitionBy("box").orderBy(F.desc("id"), "text_hash", "text")
+    rows = rows.withColumns({"rank": F.row_number().over(order), "next_text": F.lead("text").over(order)})
+    inner = rows.where("next_text is not null").select("id", "text", "next_text")
+    heads = rows.where("rank = 1").select(F.col("box").alias("head_box"), F.col("text").alias("next_text"))
+    tails = rows.where("next_text is null").select("id", "text", F.col("box").alias("tail_box"))
+    return inner.unionByName(tails.join(F.broadcast(follows), "tail_box").join(heads, "head_box").select("id", "text", "next_text"))
 
 
 def edit_digest(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 PROBE_BYTES = 64 << 20
 #: Bytes of vectors, and of likenesses, that one matrix product works on.
 STEP_BYTES = 32 << 20
+#: Probes whose names, and their neighbours', are sent to all tasks at most; those of more are joined by a shuffle.
+SENT = 100_000
 #: Likenesses that differ by less are equal.
 DIGITS, TIE = 12, 1e-12
 
@@ -89,7 +91,8 @@ def nearest_neighbors(chunks: DataFrame, probes: int) -> DataFrame:
     found = named.join(best, "probe").select("ref", "ord", "b.neighbor_ref", "b.similarity").persist()
     # Texts are normalised and hashed for probes and their neighbours alone: two rows a probe at most.
     asked = found.select(F.explode(F.array("ref", "neighbor_ref")).alias("ref")).distinct()
-    hashes = chunks.select("ref", "content_hash").join(F.broadcast(asked), "ref").dropDuplicates(["ref"]).persist()
+    asked = F.broadcast(asked) if len(rows) <= SENT else asked
+    hashes = chunks.select("ref", "content_hash").join(asked, "ref").dropDuplicates(["ref"]).persist()
     own, other = hashes, hashes.select(F.col("ref").alias("neighbor_ref"), F.col("content_hash").alias("neighbor_hash"))
     return found.join(own, "ref").join(other, "neighbor_ref").select("ref", "ord", "content_hash", "neighbor_ref", "neighbor_hash", "similarity")
 
