@@ -85,11 +85,12 @@ def price(widths: np.ndarray, values: np.ndarray, size: int, many: int = MANY) -
     return float(best[size]), [pattern(None), *(pattern(int(j)) for j in order)]
 
 
-def first_patterns(widths: np.ndarray, demand: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A basis to begin with: the largest widths that fit, again and again, each pattern as often as the first of its
-    widths lasts, which then leaves. A pattern has no width that left before, so the patterns are independent."""
+def first_patterns(widths: np.ndarray, demand: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A basis to begin with, how often each pattern of it is used, and the order in which the widths left: the largest widths
+    that fit, again and again, each pattern as often as the first of its widths lasts, which then leaves. A pattern has no
+    width that left before, so the patterns are independent, and triangular in that order."""
     m = len(widths)
-    patterns, level, left = np.zeros((m, m), int), np.zeros(m), demand.astype(float)
+    patterns, level, left, gone = np.zeros((m, m), int), np.zeros(m), demand.astype(float), []
     alive = np.arange(m)
     for _ in range(m):
         pattern, room, top = np.zeros(m, int), size, len(alive)
@@ -105,26 +106,44 @@ def first_patterns(widths: np.ndarray, demand: np.ndarray, size: int) -> tuple[n
         left = np.maximum(left - level[out] * pattern, 0)
         left[out] = 0
         alive = alive[alive != out]
-    return patterns, level
+        gone.append(out)
+    return patterns, level, np.array(gone, np.int64)
+
+
+def triangular_inverse(patterns: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """The inverse of the basis (a column for each pattern), by substitution from the last that left to the first."""
+    m = len(gone)
+    upper = patterns[np.ix_(gone, gone)].astype(float)
+    inverse = np.zeros((m, m))
+    for k in range(m - 1, -1, -1):
+        used = k + 1 + np.flatnonzero(upper[k, k + 1 :])
+        inverse[k] = -(upper[k, used, None] * inverse[used]).sum(0)
+        inverse[k, k] += 1
+        inverse[k] /= upper[k, k]
+    out = np.empty((m, m))
+    out[np.ix_(gone, gone)] = inverse.T
+    return out
 
 
 def column_generation(widths: np.ndarray, demand: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (a row each) and how often the linear program uses them, to cover `demand` pieces of `widths`. It ends
-    at the optimum or, as early, within TOLERANCE of what the tokens need without any gap."""
+    at the optimum or, as early, within TOLERANCE of what the tokens need without any gap. Sums and products stay within
+    NumPy's own loops: the threads of a linear algebra library can block in a driver beside Spark."""
     m = len(widths)
-    patterns, level = first_patterns(widths, demand, size)
-    inverse = np.linalg.inv(patterns.T.astype(float))
-    enough = (1 + TOLERANCE) * float(widths @ demand) / size
+    patterns, level, gone = first_patterns(widths, demand, size)
+    inverse = triangular_inverse(patterns, gone)
+    enough = (1 + TOLERANCE) * float((widths * demand).sum()) / size
     columns, duals = 0, np.maximum(inverse.sum(0), 0)
     while columns < MAX_COLUMNS and level.sum() > enough:
         value, found = price(widths, duals, size)
         if value <= 1 + TOLERANCE:
             break
         for pattern in found:
+            used = np.flatnonzero(pattern)
             # Those that are still worth more than a sequence after the pivots before them.
-            if duals @ pattern <= 1 + TOLERANCE:
+            if (duals[used] * pattern[used]).sum() <= 1 + TOLERANCE:
                 continue
-            step = inverse @ pattern
+            step = (inverse[:, used] * pattern[used]).sum(1)
             ratio = np.where(step > 1e-9, level / np.where(step > 1e-9, step, 1), np.inf)
             out = int(ratio.argmin())
             inverse[out] /= step[out]

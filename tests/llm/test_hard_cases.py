@@ -215,3 +215,25 @@ def test_equal_and_missing_ids_in_decontamination(frame, spark):
     got = sorted(((r["doc_id"], r["n_words"], [tuple(s) for s in r["spans"]], r["items"]) for r in decontaminate.contamination(frame(rows), bench).collect()), key=str)
     assert got == sorted([(1, 12, [(1, 11)], ["x"]), (1, 2, [], []), (None, 11, [(0, 11)], ["x"]), (None, 1, [], []), (None, 0, [], []), (2, 10, [(0, 10)], ["x"]), (2, 10, [(0, 10)], ["x"])], key=str)
     assert sorted(((r["doc_id"], r["text"]) for r in decontaminate.clean(frame(rows, True), bench).collect()), key=str) == sorted([(1, "clean text"), (None, "clean"), (None, None)], key=str)
+
+
+def test_first_basis_is_inverted_without_a_linear_algebra_library(monkeypatch):
+    """As many widths as sf0.1 has: the program solves within seconds, and calls neither LAPACK nor BLAS on purpose."""
+    import time
+
+    from evidentia.llm import packing
+
+    rng = np.random.default_rng(1)
+    widths, demand = np.sort(rng.choice(np.arange(1, 512), 490, replace=False)), rng.integers(1, 3000, 490)
+    patterns, _, gone = packing.first_patterns(widths, demand, 512)
+    inverse = packing.triangular_inverse(patterns, gone)
+    assert np.abs(inverse @ patterns.T - np.eye(490)).max() < 1e-9
+
+    def refuse(*_):
+        raise AssertionError("linear algebra library")
+
+    monkeypatch.setattr(np.linalg, "inv", refuse)
+    began = time.perf_counter()
+    found, level = packing.column_generation(widths, demand, 512)
+    assert time.perf_counter() - began < 20
+    assert np.allclose((found * level[:, None]).sum(0), demand) and (found * widths).sum(1).max() <= 512
