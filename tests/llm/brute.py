@@ -155,3 +155,54 @@ def anchors(text, k=5):
 def likeness(a, b):
     u, v = {h for h, _ in anchors(a)}, {h for h, _ in anchors(b)}
     return len(u & v) / len(u | v) if u | v else 1.0
+
+
+def kneser_ney(rows, held, order):
+    """{row number: (n_tokens, n_known, N, base, score)} by an interpolated modified Kneser-Ney model over dictionaries."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), "</s>"] for _, t in rows]
+    train = [x for (i, _), x in zip(rows, texts, strict=True) if not held(i)]
+    raw = Counter(w for x in train for w in x)
+    n, v = sum(raw.values()), len(raw)
+
+    def gram(x, i, k):
+        return None if i - k + 1 < -1 else tuple(["<s>", *x][i - k + 2 : i + 2])
+
+    counts = {order: Counter(g for x in train for i in range(len(x)) if (g := gram(x, i, order)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+        if k > 1:
+            counts[k].update(gram(x, k - 2, k) for x in train if len(x) > k - 2)
+    discounts, context = {}, {}
+    for k, c in counts.items():
+        of = Counter(min(x, 5) for x in c.values())
+        d = (0.5, 1.0, 1.5)
+        if all(of[i] for i in (1, 2, 3, 4)):
+            y = of[1] / (of[1] + 2 * of[2])
+            found = tuple(i - (i + 1) * y * of[i + 1] / of[i] for i in (1, 2, 3))
+            if min(found) > 0:
+                d = tuple(min(x, i) for i, x in enumerate(found, 1))
+        discounts[k] = (0.0, *d)
+        context[k] = defaultdict(lambda: [0, 0.0])
+        for g, x in c.items():
+            context[k][g[:-1]][0] += x
+            context[k][g[:-1]][1] += discounts[k][min(x, 3)]
+
+    def p(g):
+        k = len(g)
+        below = p(g[1:]) if k > 1 else 1 / (v + 1)
+        if g[:-1] not in context[k]:
+            return below
+        total, left = context[k][g[:-1]]
+        c = counts[k].get(g, 0)
+        return (max(c - discounts[k][min(c, 3)], 0) + left * below) / total
+
+    out = {}
+    for i, x in enumerate(texts):
+        score = sum(math.log10(p(gram(x, j, min(order, j + 2)))) for j in range(len(x)))
+        out[i] = (len(x), sum(w in raw for w in x), n, sum(math.log10((raw[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x), score)
+    return out
