@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, jaccard_join, line_dedup, lm_scoring, packing, quality, suffix_dedup, token_counts, token_files, url_filter
+from . import conversation_repair, decontaminate, fingerprints, jaccard_join, line_dedup, lm_scoring, packing, quality, suffix_dedup, token_counts, token_files, url_filter
 from ._shared import read_table
 
 #: The vocabulary of the token queries.
@@ -61,6 +61,10 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.train_and_score(read_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

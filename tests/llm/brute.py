@@ -206,3 +206,63 @@ def kneser_ney(rows, held, order):
         score = sum(math.log10(p(gram(x, j, min(order, j + 2)))) for j in range(len(x)))
         out[i] = (len(x), sum(w in raw for w in x), n, sum(math.log10((raw[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x), score)
     return out
+
+
+def conversations(rows):
+    """{conv_id: (gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256)} by a search over all edits, turn by turn."""
+    import hashlib
+    import re
+    import sys
+    import zlib
+    from functools import cache
+
+    sys.setrecursionlimit(100_000)
+    held = {}
+    for conv, turn, role, text in rows:
+        mine = held.setdefault(conv, [])
+        by = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if by == 1 else re.sub(r"[.!?]", "", text) if by == 2 else text
+        role = "user" if by == 4 else role
+        mine += [(turn, role, text)] * (0 if by == 0 else 2 if by == 3 else 1)
+    out = {}
+    for conv, mine in held.items():
+        mine.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(r[2].encode()).hexdigest()))
+        seen, faults = set(), []
+        for _, role, text in mine:
+            solid = re.sub(r"[\x20\x09-\x0D]", "", text)
+            faults.append("blank" if not solid else "duplicate" if (role, text) in seen else "truncated" if solid[-1] not in ".!?" else "")
+            seen.add((role, text))
+        turns = [t for t, _, _ in mine if t is not None]
+        goes = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+
+        @cache
+        def best(i, state, inserted, mine=mine, faults=faults, goes=goes):
+            found = []
+            if i == len(mine) and state in ("", "a"):
+                found.append((0, "", ()))
+            for full in ("user", "assistant"):
+                if inserted < 3 and full[0] in goes[state]:
+                    c, e, t = best(i, full[0], inserted + 1)
+                    found.append((c + 3, "I" + e, (f"{full}:", *t)))
+            if i < len(mine):
+                _, role, text = mine[i]
+                c, e, t = best(i + 1, state, 0)
+                found.append((c + 4, "D" + e, t))
+                if faults[i] not in ("blank", "duplicate"):
+                    more = 3 * (faults[i] == "truncated")
+                    if role[:1] in goes[state]:
+                        c, e, t = best(i + 1, role[:1], 0)
+                        found.append((c + more, "K" + e, (f"{role}:{text}", *t)))
+                    for full in ("user", "assistant"):
+                        if full[0] in goes[state]:
+                            c, e, t = best(i + 1, full[0], 0)
+                            found.append((c + 3 + more, "R" + e, (f"{full}:{text}", *t)))
+            return min(found, default=(1 << 40, "", ()))
+
+        cost, audit, lines = best(0, "", 0)
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        heads = [r[:1] for _, r, _ in mine]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(heads, heads[1:], strict=False))
+        out[conv] = (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
