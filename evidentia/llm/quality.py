@@ -95,8 +95,9 @@ def ftrl(batches, prior: float = 0.0) -> tuple[np.ndarray, float]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit on at most MAX_LABELLED labelled documents, in one task that streams them; the driver gets the weights.
 
-    labels: id_col, label_col (0 or 1; rows of other or null labels are not used). No usable label:
-    a model that scores 0.5.
+    labels: id_col, label_col (0 or 1; rows of other or null labels or ids are not used). A repeated label row is used as often as it
+    stands there, within the bound. Of documents of one id one is used, the one whose text has the least hash, so rows of one id don't
+    widen the bound; null texts are empty. Other columns of both tables are not read. No usable label: a model that scores 0.5.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -104,9 +105,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     keys = keys.withColumn("h", F.xxhash64("id")).orderBy("h", "id", "label").limit(MAX_LABELLED)
     n, ones = keys.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = float(np.log((ones + 1) / (n - ones + 1)))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(keys), "id")
-    rows = rows.withColumn("epoch", F.explode(F.array(*map(F.lit, range(EPOCHS)))))
-    rows = rows.repartition(1).sortWithinPartitions("epoch", "h", "id", "label", "text").select("label", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(keys.select("id").distinct()), "id", "left_semi")
+    rows = texts.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).join(F.broadcast(keys), "id")
+    # Epochs are made behind the shuffle, so each text crosses it once.
+    rows = rows.repartition(1).withColumn("epoch", F.explode(F.array(*map(F.lit, range(EPOCHS)))))
+    rows = rows.sortWithinPartitions("epoch", "h", "id", "label").select("label", "text")
 
     def fit(batches):
         weights, bias = ftrl(batches, prior)
@@ -126,9 +129,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per document: id, score (0 to 1), and the columns named in `keep`.
 
     Null and empty texts score by the bias alone. Repeated rows score alike, one row each; an empty
-    table gives none. Whole texts are read. Only the text is an input of the score.
+    table gives none. Whole texts are read. Only the text is an input of the score. Kept columns may have any names but
+    `score`, which is refused (ValueError).
     """
     bound_batches(docs.sparkSession)
+    if "score" in (id_col, *keep):
+        raise ValueError("a kept column has the name of the result, score")
 
     def run(batches):
         for batch in batches:
@@ -139,9 +145,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out)], [*batch.schema.names[1:], "score"])
 
     columns = [id_col, *(c for c in keep if c != id_col)]
-    named = docs.select(F.col(text_col).alias("_text"), *columns)
+    named = docs.select(F.col(f"`{text_col}`"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields[1:])
-    return named.mapInArrow(run, f"{schema}, score double")
+    scored = named.mapInArrow(run, f"{schema}, score double")
+    return scored.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(columns)), "score")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -150,7 +157,10 @@ def held_out(id_col: str = "doc_id"):
 
 
 def score_with_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Train on the labels outside the held-out fold and score every document: id, held_out, score, predicted."""
+    """Train on the labels outside the held-out fold and score every document: id, held_out, score, predicted.
+
+    Null texts and ids are scored, too (a missing id counts as the empty text for the fold); rows of one id each score by their own text; other
+    columns, and their names, do not matter; an empty table gives no rows; without usable labels every score is 0.5."""
     model = train(docs, labels.where(~held_out(id_col)), id_col, text_col)
     scored = score(docs, model, id_col, text_col)
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -107,7 +107,6 @@ def test_one_row_of_equal_ones_stays(frame):
 
 def test_copies_of_two_near_texts_are_one_pair(frame, monkeypatch):
     """Thousands of copies, and of rows that are equal as a whole, verify one pair of sets."""
-    seen = []
     plain = jaccard_join.verify
     monkeypatch.setattr(jaccard_join, "verify", lambda whole, pairs, share: (seen.append((whole.count(), pairs.count())), plain(whole, pairs, share))[1])
     base = words(random.Random(2), 80)
@@ -237,3 +236,31 @@ def test_first_basis_is_inverted_without_a_linear_algebra_library(monkeypatch):
     found, level = packing.column_generation(widths, demand, 512)
     assert time.perf_counter() - began < 20
     assert np.allclose((found * level[:, None]).sum(0), demand) and (found * widths).sum(1).max() <= 512
+
+
+def test_suffix_dedup_tells_texts_of_one_id_apart(frame):
+    """Only bytes that repeat go, and one of equal strings stays, whatever ids the rows have."""
+    rng = random.Random(11)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    a, other = make(400), make(600)
+    got = [(r["n_bytes"], bytes(r["kept"]).decode()) for r in suffix_dedup.remove_repeats(frame([(1, a), (5, a[:300] + make(200)), (5, other)])).collect()]
+    assert (600, other) in got and (400, a) in got and sum(len(k) == 200 for _, k in got) == 1
+    two = [bytes(r["kept"]).decode() for r in suffix_dedup.remove_repeats(frame([(7, a), (7, make(50) + a)])).collect()]
+    assert sum(a in k for k in two) == 1 and sorted(map(len, two)) in ([0, 450], [50, 400])
+    equal = [bytes(r["kept"]).decode() for r in suffix_dedup.remove_repeats(frame([(7, a), (7, a), (8, a)])).collect()]
+    assert sorted(map(len, equal)) == [0, 400, 400]
+
+
+def test_quality_takes_one_row_of_an_id(spark, frame, monkeypatch):
+    from evidentia.llm import quality
+
+    plain = quality.ftrl
+
+    def counted(batches, prior):
+        held = list(batches)
+        return plain(iter(held), prior)[0], float(sum(b.num_rows for b in held))
+
+    monkeypatch.setattr(quality, "ftrl", counted)
+    docs = frame([(1, "good words"), (2, "bad words"), *((3, f"hot {k % 7}") for k in range(2000))])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    assert quality.train(docs, labels).bias == 4 * quality.EPOCHS
