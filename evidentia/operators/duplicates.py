@@ -30,3 +30,9 @@ def exact_summary(chunks: DataFrame) -> DataFrame:
     """exact_groups, exact_rows over all hashes."""
     counted = chunks.groupBy("content_hash").agg(F.count("*").alias("n")).where("n > 1")
     return counted.agg(F.count("*").alias("exact_groups"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("exact_rows"))
+
+
+def keepers(chunks: DataFrame) -> DataFrame:
+    """Of each group the chunk that stays, the first: content_hash, members, first_ord, first_ref. Counted with map-side combination."""
+    counted = chunks.groupBy("content_hash").agg(F.count("*").alias("members"), F.min(F.struct("ord", "ref")).alias("_first")).where("members > 1")
+    return counted.select("content_hash", "members", F.col("_first.ord").alias("first_ord"), F.col("_first.ref").alias("first_ref"))

@@ -59,6 +59,10 @@ subs AS (SELECT 100 - least(100, (stale + no_time) / total * 100 * 2) AS freshne
   100 - least(100, (n_thin / total * 100 + n_large / total * 100) * 2) AS quality, CAST(greatest(0, 100 - 25 * critical - 5 * warning) AS DOUBLE) AS risk,
   least(greatest(0.0, floor(100 - no_meta / total * 100 - 25 * least(mixed, 8) + 0.5)), CASE WHEN n_source / total * 100 < 80 THEN floor(n_source / total * 100 + 0.5) ELSE 100 END, CASE WHEN n_table > 0 AND n_lost / n_table * 100 >= 50 THEN floor(100 - n_lost / n_table * 100 + 0.5) ELSE 100 END) AS coverage FROM stats)
 """
+#: The documents as a chunk table of their own, with their vectors.
+PLAIN = BASE.replace(BASE[: BASE.index("normal AS (")], """WITH corpus AS (SELECT doc_id AS id, text AS body, coalesce(nullif(trim(lang), ''), 'unknown') AS language, coalesce(nullif(trim(source), ''), 'unknown') AS source, source AS url, embedding,
+  CAST(NULL AS VARCHAR) AS meta, CAST(doc_id % 200 AS VARCHAR) AS doc, CAST(NULL AS TIMESTAMP) AS updated_at, CAST(NULL AS TIMESTAMP) AS deleted_at, false AS archived FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+""", 1)
 #: Every finding of a scan, in the order of a report: place, type, severity, how many, rows affected, what to do, title.
 FOUND = """, total AS (SELECT *, stale / total * 100 AS stale_pct, no_time / total * 100 AS no_time_pct, exact_rows / total * 100 AS exact_pct, n_thin / total * 100 AS thin_pct FROM stats),
 n_mid AS (SELECT count(*) FILTER (thin_reason = 'midSentence') AS mid FROM thin), dims AS (SELECT len(embedding) AS d, count(*) AS n FROM chunk WHERE embedding IS NOT NULL GROUP BY 1),
@@ -159,5 +163,20 @@ SQL = {
 }
 
 
+#: Twins over the documents alone.
+PLAIN_SQL = {
+    "job1_corpus_audit": """SELECT ref, source, CASE WHEN risk_3 = 'secret' THEN 'purge_secret' WHEN id <> f THEN 'drop_duplicate' WHEN thin_reason IN ('short', 'linkDensity') THEN 'drop_thin' WHEN risk_3 IS NOT NULL THEN 'review'
+    WHEN thin_reason IS NOT NULL OR length >= 4000 THEN 'recut' WHEN embedding IS NULL OR len(embedding) <> usual THEN 'embed' ELSE 'keep' END AS action,
+  CASE WHEN risk_3 = 'secret' THEN 'secret' WHEN id <> f THEN 'exact' WHEN thin_reason IN ('short', 'linkDensity') THEN thin_reason WHEN risk_3 IS NOT NULL THEN risk_3 WHEN thin_reason IS NOT NULL THEN thin_reason WHEN length >= 4000 THEN 'large'
+    WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> usual THEN 'dimensions' END AS reason,
+  CASE WHEN id <> f THEN CAST(f AS VARCHAR) END AS keep_ref, content_hash, length, language
+FROM risk LEFT JOIN (SELECT content_hash AS h, min(id) AS f FROM chunk GROUP BY 1 HAVING count(*) > 1) ON h = content_hash,
+  (SELECT len(embedding) AS usual FROM chunk WHERE embedding IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)""",
+    "job2_chunk_growth": "SELECT content_hash, members, first_ord, refs, substring(content_hash, 1, 1) AS shard FROM same",
+    "growing_profile": """SELECT url AS origin, count(*) AS chunks, count(thin_reason) AS thin, count(risk_3) AS risky, count(*) AS null_embeddings, count(*) FILTER (length >= 4000) AS large, max(length) AS max_chars,
+  count(DISTINCT doc) AS documents, quantile_disc(length, 0.5) AS p50_chars, quantile_disc(length, 0.95) AS p95_chars FROM risk GROUP BY 1""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: BASE + sql for name, sql in SQL.items()}
+    return {name: BASE + sql for name, sql in SQL.items()} | {name: PLAIN + sql for name, sql in PLAIN_SQL.items()}

@@ -23,7 +23,7 @@ from .sources.catalog import Catalog, soft_delete_counts
 from .sources.chunks import chunk_view, deterministic_sample
 from .sources.introspect import content_score, fingerprint, model_guess, rows_score, table_score
 from .sources.mapping import Mapping
-from .streaming import incremental
+from .streaming import growing, incremental
 
 #: SQL that Spark and DuckDB read alike (list_slice is Spark's slice). Secrets, markers, a table with a ruled line, a second
 #: length of vectors and more metadata keys than a report shows are planted by fixed rules, so that no detector compares nothing.
@@ -342,12 +342,52 @@ def streaming_counters(spark, d):
     return incremental.total(spark, f"{base}/out")
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder under the one that all executors share."""
+    import uuid
+
+    return f"{incremental.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def job1_corpus_audit(spark, d):
+    """The work list of all chunks, after the job has run twice."""
+    from jobs import corpus_audit
+
+    out = _folder(spark, "audit")
+    for _ in range(2):
+        corpus_audit.run(spark, d, out)
+    return corpus_audit.read(spark, out)
+
+
+def job2_chunk_growth(spark, d):
+    """Duplicate groups of the documents, after the job has run twice with one checkpoint."""
+    from jobs import chunk_growth
+
+    out = _folder(spark, "growth")
+    for _ in range(2):
+        chunk_growth.run(spark, f"{d}/documents.parquet*", f"{out}/out", f"{out}/checkpoint")
+    return chunk_growth.read(spark, f"{out}/out").withColumn("refs", F.array_join("refs", ","))
+
+
+def growing_profile(spark, d):
+    """Counts, exact length percentiles and an estimate of documents for each source, added up over micro-batches of one file each."""
+    out = _folder(spark, "profile")
+    kind = spark.read.parquet(f"{d}/documents.parquet").schema
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{d}/documents.parquet*")
+
+    table = stream.select("doc_id", "text", F.col("source").alias("origin"), (F.col("doc_id") % 200).cast("string").alias("doc"), F.lit(None).cast("array<float>").alias("embedding"))
+    held = features.features(chunk_view(table, Mapping.of("public.documents", "text", "embedding", documentId="doc"), "doc_id", keep=("origin",)))
+    held = held.select("origin", "length", "thin_reason", "risk", "embedding_dims", "document_id")
+    growing.summed_up(held, lambda batch: growing.partial_profile(batch, "origin"), f"{out}/parts", f"{out}/checkpoint").awaitTermination()
+    return growing.merged_profile(spark.read.parquet(f"{out}/parts"), "origin")
+
+
 QUERIES = [
     normalize_hash, exact_duplicate_groups, exact_duplicate_summary, near_neighbor_top1, near_duplicate_pairs, near_duplicate_summary, thin_reason_per_chunk, thin_summary, link_density, mid_sentence,
     risky_per_chunk, risky_summary, email_counts, secret_matches, freshness_summary, stale_documents, embedding_dims_histogram, null_embeddings, length_percentiles, missing_metadata, metadata_key_presence,
     metadata_type_mix, inconsistent_keys, mixed_type_keys, safe_keys, source_locator_coverage, source_locator_per_chunk, table_like_per_chunk, inventory_gap, soft_delete, sampled, distinct_documents,
     json_path_extract, average_text_length, json_keys, small_looks, name_scores, candidate_tables, fingerprint_columns, scan_stats, subscores, health_score, findings_by_type, findings_by_severity, next_actions, bare_findings, report_labels,
-    streaming_counters,
+    streaming_counters, growing_profile, job1_corpus_audit, job2_chunk_growth,
 ]
 
 

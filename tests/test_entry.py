@@ -21,7 +21,7 @@ def test_entry(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(oracle.SQL))
+@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_query_equals_sql(spark, name):
     import duckdb
 

@@ -1,0 +1,165 @@
+"""The jobs on copies: growing input, reruns, stopped runs, odd rows, command lines."""
+
+import json
+import logging
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from evidentia.operators import duplicates, features
+from evidentia.sources.chunks import chunk_view
+from evidentia.sources.mapping import Mapping
+from evidentia.streaming import growing
+from jobs import _run, chunk_growth, corpus_audit
+
+KIND = "doc_id long, text string, lang string, source string"
+LONG = "A sentence that says enough to be kept by every reader of this table. " * 3
+ROWS = [
+    (1, LONG, "en", "a"), (2, LONG.upper(), "de", "b"), (3, LONG + " ", "en", "a"), (4, "short", "en", None), (5, None, None, " "), (6, "", "de", "a"), (7, "use sk-abcdefghij0123456789XYZ now. " + LONG, "en", "a"),
+    (8, "TODO: " + LONG, "en", "a"), (9, "X " * 3000 + ".", "en", "a"), (10, "and so it goes on " * 10, "fr", "a"), (11, "Another text. " + LONG, "en", "a"), (12, "A third text. " + LONG, "en", "a"), (None, "No name. " + LONG, "en", "a"),
+    (13, "http://a.b http://c.d " * 10, "en", "a"), (14, "a@b.org c@d.org e.f@g.org h+i@j.org " + LONG, "en", "a"), (15, "Same key, other text. " + LONG, "en", "a"), (15, "Same key. " + LONG, "en", "a"), (16, "Twice. " + LONG, "en", "a"), (16, "Twice. " + LONG, "en", "a"),
+]
+
+
+def tables(spark, folder, rows=ROWS):
+    docs = spark.createDataFrame(rows, KIND)
+    docs.withColumn("ref", F.lit("clash")).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    vectors = [(i, [0.5] * (3 if i == 12 else 4)) for i in range(1, 17) if i != 11] + [(1, [0.1] * 2), (None, [1.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.mode("overwrite").parquet(f"{folder}/embeddings.parquet")
+
+
+def work(spark, out):
+    return sorted((r["ref"] or "", r["action"], r["reason"] or "", r["keep_ref"] or "", r["language"], r["source"]) for r in corpus_audit.read(spark, out).collect())
+
+
+def test_audit(spark, tmp_path, caplog):
+    tables(spark, tmp_path / "in")
+    with caplog.at_level(logging.INFO, "evidentia.jobs"):
+        counts = corpus_audit.run(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    got = work(spark, str(tmp_path / "out"))
+    assert sum(counts.values()) == len(got) == len(ROWS) and "read" in caplog.text and "wrote" in caplog.text
+    found = {r[0]: r[1:4] for r in got}
+    assert found["1"] == ("keep", "", "") and found["2"] == ("drop_duplicate", "exact", "1") and found["3"] == ("drop_duplicate", "exact", "1")
+    assert found["4"] == ("drop_thin", "short", "") and found["5"][:2] == ("drop_thin", "short") and found["6"] == ("drop_duplicate", "exact", "5")
+    assert found["7"][:2] == ("purge_secret", "secret") and found["8"][:2] == ("review", "marker") and found["14"][:2] == ("review", "emails")
+    assert found["9"][:2] == ("recut", "large") and found["10"][:2] == ("recut", "midSentence") and found["13"][:2] == ("drop_thin", "linkDensity")
+    assert found["11"][:2] == ("embed", "missing") and found["12"][:2] == ("embed", "dimensions") and found[""][:2] == ("embed", "missing")
+    assert [r[1] for r in got if r[0] in ("15", "16")] == ["keep"] * 4
+    assert {r[4] for r in got} == {"en", "de", "fr", "unknown"} and {r[5] for r in got} == {"a", "b", "unknown"}
+    # No text is written, and the languages are folders.
+    assert "text" not in corpus_audit.OUTPUT and {p.name for p in (tmp_path / "out").glob("language=*")} == {"language=en", "language=de", "language=fr", "language=unknown"}
+    # Nothing stays in memory, and a rerun gives the same; of a table that lost a language, that folder goes.
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+    corpus_audit.run(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert work(spark, str(tmp_path / "out")) == got
+    tables(spark, tmp_path / "in", [r for r in ROWS if r[2] != "fr"])
+    corpus_audit.run(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert work(spark, str(tmp_path / "out")) == [r for r in got if r[4] != "fr"]
+
+
+def test_audit_of_an_empty_table(spark, tmp_path):
+    tables(spark, tmp_path / "in", [])
+    assert corpus_audit.run(spark, str(tmp_path / "in"), str(tmp_path / "out")) == {}
+    assert corpus_audit.read(spark, str(tmp_path / "out")).count() == 0
+
+
+def groups(df):
+    return sorted((r["content_hash"], r["members"], r["first_ord"], tuple(r["refs"])) for r in df.collect())
+
+
+def whole(spark, folder):
+    docs = spark.read.parquet(folder).withColumn("embedding", F.lit(None).cast("array<float>"))
+    return groups(duplicates.exact_groups(chunk_view(docs, Mapping.of("c", "text", "embedding"), "doc_id"), hold=False))
+
+
+def test_growth(spark, tmp_path, caplog):
+    """Two files, then two more and an equal one: each run takes what is new, and the groups equal those of the whole table."""
+    folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    texts = ["same", "Same ", "other", None, "", "one of a kind"]
+    rows = lambda start, n: spark.createDataFrame([(i, texts[i % 5] if i % 7 else f"only {i}", "en", "a") for i in range(start, start + n)], KIND).coalesce(1)
+    rows(100, 40).write.mode("append").parquet(folder)
+    rows(300, 20).write.mode("append").parquet(folder)
+    config = _run.defaults(chunk_growth.__file__) | {"files_per_batch": 1}
+    assert chunk_growth.run(spark, folder, out, mark, config)["taken"] == 60
+    assert groups(chunk_growth.read(spark, out)) == whole(spark, folder)
+    rows(0, 30).write.mode("append").parquet(folder)
+    rows(100, 40).write.mode("append").parquet(folder)
+    with caplog.at_level(logging.INFO, "evidentia.jobs"):
+        assert chunk_growth.run(spark, folder, out, mark, config)["taken"] == 70
+    assert "70 new chunks in 2 batches" in caplog.text
+    held = groups(chunk_growth.read(spark, out))
+    assert held == whole(spark, folder) and max(r[1] for r in held) > 5 and min(r[2] for r in held) == 1
+    assert chunk_growth.run(spark, folder, out, mark, config)["taken"] == 0
+    assert groups(chunk_growth.read(spark, out)) == held
+    # A run that died before its last batch was committed is taken up again; that batch's summary replaces itself.
+    last = max((p for p in Path(mark, "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    for p in (last, last.with_name(f".{last.name}.crc")):
+        p.unlink(missing_ok=True)
+    chunk_growth.run(spark, folder, out, mark, config)
+    assert groups(chunk_growth.read(spark, out)) == held
+
+
+def test_growth_without_rows(spark, tmp_path):
+    spark.createDataFrame([], KIND).write.parquet(str(tmp_path / "in"))
+    assert chunk_growth.run(spark, *(str(tmp_path / n) for n in ("in", "out", "mark"))) == {"taken": 0, "groups": 0}
+
+
+def test_settings_stay(spark, tmp_path):
+    before = spark.sparkContext.getConf().getAll(), spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.createDataFrame(ROWS, KIND).write.parquet(str(tmp_path / "in"))
+    chunk_growth.run(spark, *(str(tmp_path / n) for n in ("in", "out", "mark")))
+    assert before == (spark.sparkContext.getConf().getAll(), spark.conf.get("spark.sql.sources.partitionOverwriteMode")) and not spark.streams.active
+
+
+def test_profile_adds_up(spark):
+    rows = [(i, ("w" * (i * 37 % 911) + " word. ") * 2, f"s{i % 3}", str(i % 300), None if i % 4 else [0.1]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, origin string, doc string, embedding array<float>")
+    view = lambda d: features.features(chunk_view(d, Mapping.of("c", "text", "embedding", documentId="doc"), "doc_id", keep=("origin",)))
+    parts = [growing.partial_profile(view(df.where(f"doc_id % 7 = {k}")), "origin") for k in range(7)]
+    added = parts[0]
+    for p in parts[1:]:
+        added = added.union(p)
+    got = {r["origin"]: r for r in growing.merged_profile(added, "origin", (50, 95, 100)).collect()}
+    for origin in ("s0", "s1", "s2"):
+        own = features.counters(view(df.where(F.col("origin") == origin))).first()
+        g = got[origin]
+        assert (g["chunks"], g["p50_chars"], g["p95_chars"], g["max_chars"], g["large"], g["null_embeddings"]) == (own["scanned"], own["p50_chars"], own["p95_chars"], own["max_chars"], own["large"], own["null_embeddings"])
+        assert g["thin"] == own["short"] + own["link_density"] + own["mid_sentence"] and g["documents"] == 100 and g["p100_chars"] == own["max_chars"]
+
+
+def test_sketch_error(spark):
+    """Of 200,000 documents in ten batches the estimate is within three standard errors."""
+    df = spark.range(200_000).select(F.lit("a").alias("origin"), (F.col("id") % 50).alias("length"), F.col("id").cast("string").alias("document_id"), F.lit(None).cast("string").alias("thin_reason"), F.lit(None).cast("string").alias("risk"), F.lit(1).alias("embedding_dims"), "id")
+    parts = growing.partial_profile(df.where("id < 120000"), "origin").union(growing.partial_profile(df.where("id >= 80000"), "origin"))
+    n = growing.merged_profile(parts, "origin").first()["documents"]
+    assert abs(n - 200_000) < 200_000 * 0.024
+
+
+def test_configuration(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"refs": 2}))
+    assert _run.configured(spark, chunk_growth.__file__, str(tmp_path / "c.json")) == _run.defaults(chunk_growth.__file__) | {"refs": 2}
+    (tmp_path / "c.json").write_text(json.dumps({"reffs": 2}))
+    with pytest.raises(ValueError, match="reffs"):
+        _run.configured(spark, chunk_growth.__file__, str(tmp_path / "c.json"))
+
+
+@pytest.mark.parametrize("job", ["corpus_audit", "chunk_growth"])
+def test_command_line(spark, tmp_path, job):
+    tables(spark, tmp_path / "in")
+    top = Path(__file__).resolve().parents[1]
+    paths = {"corpus_audit": {"input": "in", "output": "out"}, "chunk_growth": {"input": "in/documents.parquet", "output": "out", "checkpoint": "mark"}}[job]
+    command = [sys.executable, "-m", f"jobs.{job}", *(x for k, v in paths.items() for x in (f"--{k}", str(tmp_path / v)))]
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "_PYSPARK"))} | {"PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.ui.enabled=false --conf spark.sql.shuffle.partitions=2 pyspark-shell"}
+    done = subprocess.run(command, cwd=top, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert "wrote" in done.stderr and (corpus_audit if job == "corpus_audit" else chunk_growth).read(spark, str(tmp_path / "out")).count() > 0
+
+
+def test_jobs_need_nothing_of_the_training_data_operators():
+    top = Path(__file__).resolve().parents[1]
+    for p in [*(top / "jobs").glob("*.py"), Path(__file__)]:
+        assert "evidentia" + ".llm" not in p.read_text() and "corpus_" + "pipeline" not in p.read_text()
