@@ -25,7 +25,7 @@ from ._shared import BASE_2, LOWER, bound_batches, buckets, byte_class, large, m
 #: Words of the longest n-gram.
 ORDER = 2
 #: Tokens and documents after which a block is full; a longer document is a block of its own.
-BLOCK_TOKENS, BLOCK_DOCUMENTS = 1 << 21, 1 << 17
+BLOCK_TOKENS, BLOCK_DOCUMENTS = 1 << 20, 1 << 16
 #: Discounts of counts of 1, 2 and more, where the counts of counts are too few to tell them.
 DISCOUNTS = (0.5, 1.0, 1.5)
 
@@ -117,6 +117,7 @@ class Block:
     and its context and suffix among those of the order below."""
 
     def __init__(self, row: dict, order: int):
+        release()
         self.block, self.ids = row["block"], row.get("ids")
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.sizes = unplanes(row["sizes"], "<i8")
@@ -126,8 +127,8 @@ class Block:
         self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.train = ~self.held[self.owner]
         self.hashes, self.at, self.context, self.suffix = [words], [tokens], [None], [None]
-        before = np.full(len(tokens), START, np.int64)
-        before[1:] = np.where(self.place[1:] > 0, tokens[:-1], START)
+        before = np.concatenate([[START], tokens[:-1]]) if len(tokens) else tokens
+        before[self.place == 0] = START
         for k in range(2, order + 1):
             there = np.flatnonzero(self.place >= k - 2)
             context = before[there] if k == 2 else self.at[-1][there - 1]
@@ -137,6 +138,7 @@ class Block:
             at[there] = which
             suffix = np.empty(len(key), np.int64)
             suffix[which] = self.at[-1][there]
+            del which, there
             self.context.append(key // len(words))
             self.suffix.append(suffix)
             self.hashes.append(mix(self.hashes[-1][self.context[-1]] * BASE_2 + words[word]))
