@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from ..sources.shared import kept
 
 REFS = 5
 
@@ -14,12 +15,12 @@ def exact_groups(chunks: DataFrame, hold: bool = True) -> DataFrame:
 
     Counting is combined before the shuffle. First refs come from a ranking that Spark limits to five
     rows of a hash in each task before it shuffles, so a hash of a third of all rows is no burden. Both read
-    the same hashes: hold keeps these (three small columns), so that texts are normalised once; not
+    the same hashes: hold writes these (three small columns) to the shared folder, so that texts are normalised once; not
     needed where the chunks are kept already.
     """
     rows = chunks.select("content_hash", "ord", "ref")
     if hold:
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = kept(rows, "hashes")
     counted = rows.groupBy("content_hash").agg(F.count("*").alias("members"), F.min("ord").alias("first_ord")).where("members > 1")
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("content_hash").orderBy("ord", "ref"))).where(F.col("_rank") <= REFS)
     refs = ranked.groupBy("content_hash").agg(F.array_sort(F.collect_list(F.struct("_rank", "ref"))).alias("_refs"))

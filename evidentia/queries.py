@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import metadata as M
 from .functions import text as X
-from .operators import duplicates, features, knn
+from .operators import duplicates, features, ivf, knn
 from .operators.features import Thresholds
 from .plans import findings as N
 from .plans import report
@@ -23,6 +23,7 @@ from .sources.catalog import Catalog, soft_delete_counts
 from .sources.chunks import chunk_view, deterministic_sample
 from .sources.introspect import content_score, fingerprint, model_guess, rows_score, table_score
 from .sources.mapping import Mapping
+from .sources.shared import kept
 from .streaming import growing, incremental
 
 #: SQL that Spark and DuckDB read alike (list_slice is Spark's slice). Secrets, markers, a table with a ruled line, a second
@@ -85,6 +86,22 @@ def near_neighbor_top1(spark, d):
     return knn.nearest_neighbors(view(spark, d), 2000).select("ref", "neighbor_ref", F.round("similarity", 4).alias("similarity"))
 
 
+def ivf_recall(spark, d):
+    """Of the inverted file over all vectors: probes, whether nine of ten find a neighbour as near as the exact one, and whether every
+    likeness told is the cosine of the pair told."""
+    held = view(spark, d)
+    index = ivf.fit(held)
+    vectors = kept(index.assign(held.select("ref", F.col("ord").cast("long").alias("ord"), "embedding")), "vectors")
+    first = held.where("embedding is not null").select("ref", "ord", "embedding").orderBy("ord", "ref").limit(2000)
+    found = kept(ivf.nearest_neighbors(index, vectors, first), "neighbours")
+    exact = kept(knn.nearest_neighbors(held, 2000), "exact")
+    reached = ivf.recall(found, exact) >= 0.9
+    sums = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    pairs = found.join(vectors.select("ref", F.col("embedding").alias("a")), "ref").join(vectors.select(F.col("ref").alias("neighbor_ref"), F.col("embedding").alias("b")), "neighbor_ref")
+    cosine = sums(F.col("a"), F.col("b")) / F.sqrt(sums(F.col("a"), F.col("a"))) / F.sqrt(sums(F.col("b"), F.col("b")))
+    return pairs.agg(F.count("*").alias("probes"), F.lit(reached).alias("recall_reached"), F.bool_and(F.abs(cosine - F.col("similarity")) < 1e-9).alias("exact_likeness"))
+
+
 def near_duplicate_pairs(spark, d):
     return knn.near_pairs(knn.nearest_neighbors(view(spark, d), 2000), LOW_COSINE).select("ref", "neighbor_ref", F.round("similarity", 4).alias("similarity"))
 
@@ -383,7 +400,7 @@ def growing_profile(spark, d):
 
 
 QUERIES = [
-    normalize_hash, exact_duplicate_groups, exact_duplicate_summary, near_neighbor_top1, near_duplicate_pairs, near_duplicate_summary, thin_reason_per_chunk, thin_summary, link_density, mid_sentence,
+    normalize_hash, exact_duplicate_groups, exact_duplicate_summary, near_neighbor_top1, ivf_recall, near_duplicate_pairs, near_duplicate_summary, thin_reason_per_chunk, thin_summary, link_density, mid_sentence,
     risky_per_chunk, risky_summary, email_counts, secret_matches, freshness_summary, stale_documents, embedding_dims_histogram, null_embeddings, length_percentiles, missing_metadata, metadata_key_presence,
     metadata_type_mix, inconsistent_keys, mixed_type_keys, safe_keys, source_locator_coverage, source_locator_per_chunk, table_like_per_chunk, inventory_gap, soft_delete, sampled, distinct_documents,
     json_path_extract, average_text_length, json_keys, small_looks, name_scores, candidate_tables, fingerprint_columns, scan_stats, subscores, health_score, findings_by_type, findings_by_severity, next_actions, bare_findings, report_labels,

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.features import Thresholds, features
+from ..sources.shared import shared_folder
+
+__all__ = ["ADDITIVE", "additive", "shared_folder", "total", "write_batches"]
 
 #: Counters that can be added up batch by batch.
 ADDITIVE = ("scanned", "thin", "critical", "warning", "null_embeddings", "missing_metadata", "missing_timestamps")
@@ -23,18 +22,6 @@ def additive(rows: DataFrame) -> DataFrame:
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, spark.checkpoint.dir; only a local run may do without, in a folder that goes at its end."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="evidentia-stream-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
 def write_batches(chunks: DataFrame, path: str, checkpoint: str, thresholds: Thresholds = Thresholds()) -> StreamingQuery:
     """Counters of every micro-batch under its number; a batch that is run again replaces itself, so sums count each chunk once."""
 
