@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metadata as M
@@ -39,12 +39,14 @@ def features(chunks: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFr
     })
 
 
-def counters(rows: DataFrame, newest_change=None) -> DataFrame:
+def counters(rows: DataFrame, newest_change=None, more: dict[str, Column] | None = None) -> DataFrame:
     """Every count that findings and scores need, in one row and one pass over the features.
 
-    newest_change: the newest time at which a source is known to have changed, a scalar or null.
+    newest_change: the newest time at which a source is known to have changed, a scalar or null; or a column of rows, each chunk's own. more: other aggregates
+    by name, for the same pass.
     """
-    stale = F.lit(False) if newest_change is None else F.coalesce(F.col("updated_at") < F.lit(newest_change).cast("timestamp"), F.lit(False))
+    change = newest_change if isinstance(newest_change, Column) else F.lit(newest_change)
+    stale = F.lit(False) if newest_change is None else F.coalesce(F.col("updated_at") < change.cast("timestamp"), F.lit(False))
     count = lambda condition: F.count_if(condition)
     length = F.col("length").cast("long")
     return rows.agg(
@@ -57,6 +59,7 @@ def counters(rows: DataFrame, newest_change=None) -> DataFrame:
         F.expr("cast(percentile_disc(0.95) within group (order by length) as bigint)").alias("p95_chars"),
         count(F.coalesce(F.size("metadata_keys"), F.lit(0)) <= 0).alias("missing_metadata"),
         count(F.col("has_source")).alias("source_rows"), count(F.col("table_like")).alias("table_like"), count(F.col("table_like") & ~F.col("has_structured")).alias("table_like_unlocated"),
+        *(column.alias(name) for name, column in (more or {}).items()),
     )
 
 

@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from . import knn
 
 #: Vectors of one length that centroids are fitted on at most: those with the smallest hashes of their names.
@@ -139,6 +140,17 @@ def nearest_neighbors(index: Index, vectors: DataFrame, probes: DataFrame, look:
     return knn.best_of(probes.sparkSession, rows, asked, vectors.where(F.col("cell").isin(cells)).select("ref", "ord", "embedding", "cell"))
 
 
+def tune(index: Index, vectors: DataFrame, probes: DataFrame, goal: float = 0.95) -> int:
+    """Lists that a probe must look into, so that `goal` of these probes find a neighbour as near as the exact one: measured, by doubling. How many
+    that is depends on how far the vectors form groups; without groups it is a good part of all lists."""
+    most = max((len(m) for m in index.centroids.values()), default=1)
+    exact = kept(nearest_neighbors(index, vectors, probes, most), "exact")
+    look = LEAST
+    while look < most and recall(nearest_neighbors(index, vectors, probes, look), exact) < goal:
+        look *= 2
+    return min(look, most)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> float:
     """Share of probes whose neighbour is as near as the exact one."""
     both = exact.select("ref", F.col("similarity").alias("best")).join(found.select("ref", "similarity"), "ref", "left")

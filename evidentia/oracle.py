@@ -149,8 +149,8 @@ SQL = {
       UNION ALL SELECT unnest(['full', 'empty']), 'info', 'Document inventory cannot be verified without a mapped document id', 1 UNION ALL SELECT unnest(['full', 'empty']), 'info', 'No metadata column is mapped', 1
       UNION ALL SELECT 'empty', 'critical', 'Mapped chunk table is empty', 1 UNION ALL SELECT 'full', 'warning', 'No source or citation locator was found', count(*) FROM chunk UNION ALL SELECT 'full', 'warning', title, affected FROM found WHERE pos IN (70, 80)
       UNION ALL SELECT 'full', 'warning', 'Table-like chunks are missing source/citation locators', n_table FROM total WHERE n_table >= 5 AND n_table / total * 100 >= 10)""",
-    "report_labels": """SELECT 'locator' AS what, url AS given, regexp_extract(lower(url), '^([a-z][a-z0-9+.-]*):', 1) || ' source sha256:' || substring(sha256(url), 1, 16) AS shown FROM (SELECT url FROM pages ORDER BY page_id LIMIT 10)
-      UNION ALL SELECT 'hash', url, 'sha256:' || substring(sha256(url), 1, 16) FROM (SELECT url FROM pages ORDER BY page_id LIMIT 10)
+    "report_labels": """SELECT 'locator' AS what, url AS given, regexp_extract(lower(url), '^([a-z][a-z0-9+.-]*):', 1) || ' source sha256:' || substring(sha256(url), 1, 16) AS shown FROM pages
+      UNION ALL SELECT 'hash', url, 'sha256:' || substring(sha256(url), 1, 16) FROM pages
       UNION ALL SELECT 'model', CAST(n AS VARCHAR), CASE n WHEN 1536 THEN 'openai text-embedding-3-small or ada-002 (guess)' WHEN 3072 THEN 'openai text-embedding-3-large (guess)' WHEN 1024 THEN 'Cohere/BGE-class (guess)' WHEN 768 THEN 'sentence-transformers-class (guess)' ELSE 'unknown model (guess)' END FROM (SELECT unnest([384, 768, 1024, 1536, 3072]) AS n)
       UNION ALL SELECT 'rot', CAST(n AS VARCHAR), CASE WHEN n >= 90 THEN 'none' WHEN n >= 80 THEN 'light' WHEN n >= 60 THEN 'noticeable' ELSE 'severe' END FROM (SELECT unnest([0, 59, 60, 79, 80, 89, 90, 100]) AS n)""",
     "scan_stats": "SELECT total AS total_chunks, (SELECT count(*) FROM same) AS exact_groups, CAST(exact_rows AS BIGINT) AS exact_rows, near_pairs, n_thin AS thin, critical, warning, (SELECT count(*) - count(embedding) FROM chunk) AS null_embeddings FROM stats",
@@ -179,5 +179,23 @@ FROM risk LEFT JOIN (SELECT content_hash AS h, min(id) AS f FROM chunk GROUP BY
 }
 
 
+#: The corpus without every fifth chunk.
+FEWER = BASE.replace("WITH corpus AS (", "WITH whole_corpus AS (", 1).replace("normal AS (SELECT *,", "corpus AS (SELECT * FROM whole_corpus WHERE id % 5 <> 0),\nnormal AS (SELECT *,", 1)
+CHANGES = ", changes AS (SELECT source AS loc, max(ts) AS at FROM documents JOIN events ON event_id = doc_id WHERE doc_id % 9 = 0 GROUP BY 1)\n"
+MORE_SQL = {
+    "stale_by_source": BASE + CHANGES + """SELECT ref, CASE WHEN trim(url) <> '' THEN 'sha256:' || substring(sha256(trim(url)), 1, 16) END AS locator_hash, strftime(at, '%Y-%m-%dT%H:%M:%S.%gZ') AS changed_at, coalesce(updated_at < at, false) AS stale
+  FROM chunk LEFT JOIN changes ON loc = trim(url)""",
+    "findings_delta": f"""SELECT coalesce(b.type, a.type) AS type, coalesce(b.severity, a.severity) AS severity, coalesce(a.n, 0) AS old_findings, coalesce(b.n, 0) AS new_findings, coalesce(a.affected, 0) AS old_affected, coalesce(b.affected, 0) AS new_affected,
+  coalesce(b.severity, a.severity) AS worst, CASE WHEN a.n IS NULL THEN 'new' WHEN b.n IS NULL THEN 'gone' WHEN a.n = b.n AND a.affected = b.affected THEN 'same' ELSE 'changed' END AS status
+  FROM ({BASE}{SQL["findings_by_type"]}) a FULL JOIN ({FEWER}{SQL["findings_by_type"]}) b ON a.type = b.type AND a.severity = b.severity""",
+    "plugged_detector": BASE + """SELECT 'Chunks hold long numbers' AS title, n AS affected, greatest(0.0, least(100.0, quality - n / total * 10)) AS quality FROM (SELECT count(*) AS n FROM chunk WHERE regexp_matches(s, '[0-9]{4,}')), stats, subs WHERE n > 0""",
+    "index_columns": """WITH a AS (SELECT CAST(l_orderkey AS VARCHAR) AS t, l_linenumber AS num, max('c' || l_suppkey) AS c FROM lineitem GROUP BY 1, 2),
+k AS (SELECT CAST(o_orderkey AS VARCHAR) AS t, o_orderkey % 3 AS m, unnest([3, 0, 1, 2]) AS num, unnest([0, 1, 2, 3]) AS place FROM orders)
+SELECT k.t AS table_name, 'i' || k.t AS name, CASE m WHEN 0 THEN 'hnsw' WHEN 1 THEN 'ivfflat' ELSE 'btree' END AS method, coalesce(string_agg(c, ',' ORDER BY place) FILTER (place < 2 + m AND c IS NOT NULL), '') AS columns,
+  coalesce(string_agg(c, ',' ORDER BY place) FILTER (place >= 2 + m AND c IS NOT NULL), '') AS included, string_agg(r_name, ',' ORDER BY place) FILTER (place < 2 + m) AS opclasses, 'lower(' || k.t || ')' AS expressions
+FROM k LEFT JOIN a ON a.t = k.t AND a.num = k.num LEFT JOIN region ON r_regionkey = place + 1 GROUP BY k.t, m""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: BASE + sql for name, sql in SQL.items()} | {name: PLAIN + sql for name, sql in PLAIN_SQL.items()}
+    return {name: BASE + sql for name, sql in SQL.items()} | {name: PLAIN + sql for name, sql in PLAIN_SQL.items()} | MORE_SQL

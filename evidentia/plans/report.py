@@ -8,6 +8,10 @@ import uuid
 from datetime import datetime
 from urllib.parse import urlsplit
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..operators.freshness import locator_hash
 from ..sources.mapping import Mapping, MappingError
 from . import findings as N
 from .scan import ScanResult
@@ -35,6 +39,12 @@ def locator_label(locator: str) -> str:
     return f"{prefix} sha256:{hashlib.sha256(locator.encode()).hexdigest()[:16]}"
 
 
+def label_column(locator: Column) -> Column:
+    """locator_label as an expression, for tables of any size; a null has none."""
+    scheme = F.lower(F.regexp_extract(locator, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(" source "))).otherwise(F.lit("source ")), locator_hash(locator))
+
+
 def action_key(finding: dict) -> str:
     if finding["suggestedRepair"]:
         return finding["suggestedRepair"]["kind"]
@@ -54,7 +64,7 @@ def ranked(findings: list[dict], unlisted: list[dict]) -> list[dict]:
             g["worst"] = f
     for u in unlisted:
         # Only kinds of which some are listed have unlisted ones, and no repair of their own.
-        if g := groups.get(u["type"]):
+        if g := groups.get(u["type"]) or next((g for g in groups.values() if g["worst"]["type"] == u["type"]), None):
             g["n"] += u["findings"]
             g["affected"] += u["affectedCount"]
     best = sorted(groups.values(), key=lambda g: (RANK[g["worst"]["severity"]], -g["affected"]))[:ACTIONS]

@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 from .functions import metadata as M
 from .functions import text as X
-from .operators import duplicates, features, ivf, knn
+from .operators import duplicates, features, freshness, ivf, knn
 from .operators.features import Thresholds
+from .plans import delta, report
 from .plans import findings as N
-from .plans import report
+from .plans.detectors import Detector
 from .plans.health import rot
 from .plans.scan import Limits, ScanResult, scan
 from .sources.catalog import Catalog, soft_delete_counts
 from .sources.chunks import chunk_view, deterministic_sample
+from .sources.indexes import described
 from .sources.introspect import content_score, fingerprint, model_guess, rows_score, table_score
 from .sources.mapping import Mapping
 from .sources.shared import kept
@@ -93,7 +95,9 @@ def ivf_recall(spark, d):
     index = ivf.fit(held)
     vectors = kept(index.assign(held.select("ref", F.col("ord").cast("long").alias("ord"), "embedding")), "vectors")
     first = held.where("embedding is not null").select("ref", "ord", "embedding").orderBy("ord", "ref").limit(2000)
-    found = kept(ivf.nearest_neighbors(index, vectors, first), "neighbours")
+    # The number of lists is measured on other chunks than the probes.
+    others = held.where("embedding is not null").select("ref", "ord", "embedding").orderBy(F.xxhash64("ref")).limit(200)
+    found = kept(ivf.nearest_neighbors(index, vectors, first, ivf.tune(index, vectors, others)), "neighbours")
     exact = kept(knn.nearest_neighbors(held, 2000), "exact")
     reached = ivf.recall(found, exact) >= 0.9
     sums = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
@@ -331,13 +335,51 @@ def bare_findings(spark, d):
 
 
 def report_labels(spark, d):
-    """Labels and hashes that stand in a report for addresses and models, of the first ten urls and some lengths of vectors."""
-    urls = [r["url"] for r in spark.read.parquet(f"{d}/pages.parquet").select("url").orderBy("page_id").limit(10).collect()]
-    out = [("locator", u, report.locator_label(u)) for u in urls]
-    out += [("hash", u, N.changed_sources([N.Snapshot(u, "etag", "1", CHANGED, True)])[0].evidence["locatorHash"]) for u in urls]
-    out += [("model", str(n), model_guess(n)) for n in (384, 768, 1024, 1536, 3072)]
-    out += [("rot", str(n), rot(n)) for n in (0, 59, 60, 79, 80, 89, 90, 100)]
-    return spark.createDataFrame(out, "what string, given string, shown string")
+    """Labels and hashes that stand in a report for addresses, of all pages' urls, and for models and scores."""
+    urls = spark.read.parquet(f"{d}/pages.parquet").select("url")
+    out = urls.select(F.lit("locator").alias("what"), F.col("url").alias("given"), report.label_column(F.col("url")).alias("shown"))
+    out = out.unionByName(urls.select(F.lit("hash").alias("what"), F.col("url").alias("given"), freshness.locator_hash(F.col("url")).alias("shown")))
+    fixed = [("model", str(n), model_guess(n)) for n in (384, 768, 1024, 1536, 3072)] + [("rot", str(n), rot(n)) for n in (0, 59, 60, 79, 80, 89, 90, 100)]
+    return out.unionByName(spark.createDataFrame(fixed, "what string, given string, shown string"))
+
+
+def stale_by_source(spark, d):
+    """Chunks as of the latest change of their own source; changes are seen when every ninth document's event says so."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id % 9 = 0").select("doc_id", F.col("source").alias("locator"))
+    seen = docs.join(spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("observed_at")), "doc_id")
+    seen = seen.select("locator", F.lit("etag").alias("signal_kind"), "observed_at", F.lit(True).alias("changed"))
+    held = freshness.stale_by_source(corpus(spark, d), MAPPING, "id", seen)
+    return held.select("ref", "locator_hash", F.date_format("changed_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("changed_at"), "stale")
+
+
+def findings_delta(spark, d):
+    """What a scan of four fifths of the corpus tells beside one of the whole, by type and severity."""
+    changed = [N.Snapshot("https://example.org/a", "etag", "1", CHANGED, True)]
+    fewer = scan(corpus(spark, d).where("id % 5 <> 0"), MAPPING, "id", limits=Limits(None, 2000), snapshots=changed)
+    return delta.between(delta.rows(spark, as_report(whole_scan(spark, d))), delta.rows(spark, as_report(fewer)), ("type", "severity"))
+
+
+def plugged_detector(spark, d):
+    """A detector from outside, in the scan's own pass: chunks that hold a long number, which cost quality."""
+    numbers = Detector(
+        "numbers", {"n": F.count_if(F.col("has_number"))}, lambda v, s: [N.Finding("architecture", "info", "Chunks hold long numbers", {"table": s.table, "chunks": v["n"]}, N.repair("review_numbers", "Look at them."), v["n"])] if v["n"] else [],
+        {"has_number": F.col("content_sample").rlike("[0-9]{4,}")}, lambda v, s: {"quality": v["n"] / s.scanned * 10 if s.scanned else 0},
+    )
+    result = scan(corpus(spark, d), MAPPING, "id", limits=Limits(None, 1), detectors=[numbers])
+    return spark.createDataFrame([(f.title, f.affected, float(result.subscores["quality"])) for f in result.findings if f.title.endswith("long numbers")], "title string, affected long, quality double")
+
+
+def index_columns(spark, d):
+    """Indexes with their columns in order: a catalog that is derived from orders (indexes), their lines (attributes) and regions (operator classes)."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")
+    indexes = orders.selectExpr(
+        "CAST(o_orderkey AS STRING) AS table_name", "'i' || o_orderkey AS name", "CASE o_orderkey % 3 WHEN 0 THEN 'hnsw' WHEN 1 THEN 'ivfflat' ELSE 'btree' END AS method", "array(3, 0, 1, 2) AS keys",
+        "CAST(2 + o_orderkey % 3 AS INT) AS key_count", "array(1L, 2L, 3L, 4L) AS opclass_ids", "array('lower(' || o_orderkey || ')') AS expressions",
+    )
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").cast("string").alias("table_name"), F.col("l_linenumber").cast("int").alias("attnum")).agg(F.max(F.concat(F.lit("c"), F.col("l_suppkey"))).alias("attname"))
+    classes = spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("long").alias("opclass_id"), F.col("r_name").alias("opclass"))
+    held = described(indexes, lines, classes)
+    return held.select("table_name", "name", "method", *(F.array_join(c, ",").alias(c) for c in ("columns", "included", "opclasses", "expressions")))
 
 
 def next_actions(spark, d):
@@ -404,7 +446,7 @@ QUERIES = [
     risky_per_chunk, risky_summary, email_counts, secret_matches, freshness_summary, stale_documents, embedding_dims_histogram, null_embeddings, length_percentiles, missing_metadata, metadata_key_presence,
     metadata_type_mix, inconsistent_keys, mixed_type_keys, safe_keys, source_locator_coverage, source_locator_per_chunk, table_like_per_chunk, inventory_gap, soft_delete, sampled, distinct_documents,
     json_path_extract, average_text_length, json_keys, small_looks, name_scores, candidate_tables, fingerprint_columns, scan_stats, subscores, health_score, findings_by_type, findings_by_severity, next_actions, bare_findings, report_labels,
-    streaming_counters, growing_profile, job1_corpus_audit, job2_chunk_growth,
+    streaming_counters, stale_by_source, findings_delta, plugged_detector, index_columns, growing_profile, job1_corpus_audit, job2_chunk_growth,
 ]
 
 

@@ -45,6 +45,16 @@ def test_recall_and_exact_likeness(spark, chunks, tmp_path):
     assert ivf.recall(ivf.nearest_neighbors(again, vectors, probes, look=10_000), best) == 1.0
 
 
+def test_lists_are_tuned_where_vectors_form_no_groups(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(f"r{i}", i, "h", rng.normal(size=24).astype("float32").tolist()) for i in range(1500)], CHUNKS)
+    index = ivf.fit(df)
+    vectors = index.assign(df)
+    look = ivf.tune(index, vectors, df.where("ord >= 1300"))
+    assert look > ivf.LEAST
+    assert ivf.recall(ivf.nearest_neighbors(index, vectors, df.where("ord < 300"), look), exact(df, 300)) >= 0.9
+
+
 def test_few_probes_read_few_lists(spark, chunks, tmp_path):
     ivf.write(ivf.fit(chunks, lists=40), chunks, str(tmp_path))
     index, vectors = ivf.read(spark, str(tmp_path))
