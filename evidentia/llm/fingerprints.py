@@ -14,6 +14,8 @@ UNSPACED = 32
 #: Ranges of ids for each shuffle partition and at most, ids of a sample that set the limits of one, ranges looked up
 #: at a time, and ranges (by a hash of the text) for rows without an id.
 BOXES, MAX_BOXES, EACH, FAN, NO_ID_BOXES = 4, 4096, 32, 64, 64
+#: Boxes of an id that more rows have than two boxes should hold, by a hash of the text.
+HOT_BOXES = 64
 
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -82,10 +84,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def boxes(docs: DataFrame) -> Column:
     """The range of a row (id, text_hash), from the greatest ids on: limits are quantiles of a sample of ids that a hash
-    chooses, EACH for each range, so they follow the ids however these lie; rows without an id come last, ranged by hash."""
+    chooses, EACH for each range, so they follow the ids however these lie; an id of very many rows has ranges of its own, by text_hash; rows
+    without an id come last, ranged by hash."""
     spark = docs.sparkSession
     n = min(MAX_BOXES, BOXES * partitions(spark))
-    share = max(1, docs.count() // (n * EACH))
+    total = docs.count()
+    share = max(1, total // (n * EACH))
+    # At most n / 2 ids.
+    hot = sorted((r["id"] for r in docs.where("id is not null").groupBy("id").count().where(F.col("count") > max(EACH, 2 * total // n)).collect()), reverse=True)
     sample = docs.select("id").where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(share)) == 0)).distinct()
     held = [r["id"] for r in sample.orderBy("id").collect()]
     limits = list(dict.fromkeys(held[k] for k in range(EACH, len(held), EACH)))
@@ -100,8 +106,15 @@ def boxes(docs: DataFrame) -> Column:
     inside = F.coalesce(F.size(F.get(part, whole)) - beyond(F.get(part, whole)), F.lit(0))
     below = whole * FAN + inside
     no_id = F.lit(MAX_BOXES) + F.floor((F.shiftrightunsigned("text_hash", 32)) * NO_ID_BOXES / (1 << 32)).cast("int")
+    box = F.when(F.col("id").isNull(), no_id).otherwise(F.lit(len(limits)) - below)
+    if hot:
+        # Within its range, an id is behind, among or before the hot ones; a hot one is parted further, in the order of its rows.
+        among, before = F.array_contains(lit(hot), F.col("id")), beyond(lit(hot))
+        part = F.least(F.floor((F.col("text_hash") / 2.0**64 + 0.5) * HOT_BOXES), F.lit(HOT_BOXES - 1))
+        within = F.when(among, (2 * before - 1) * HOT_BOXES + part).otherwise(2 * before * HOT_BOXES)
+        box = box * ((2 * len(hot) + 1) * HOT_BOXES) + F.coalesce(within, F.lit(0))
     # Never null, and told so, or the joins by range would filter what they read and not share it.
-    return F.coalesce(F.when(F.col("id").isNull(), no_id).otherwise(F.lit(len(limits)) - below).cast("int"), F.lit(0))
+    return F.coalesce(box.cast("int"), F.lit(0))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -115,7 +128,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     docs = docs.withColumn("box", boxes(docs))
-    # MAX_BOXES + NO_ID_BOXES + 1 rows at most.
+    # MAX_BOXES + NO_ID_BOXES + 1 rows at most, and HOT_BOXES for each hot id.
     filled = sorted(r["box"] for r in docs.select("box").distinct().collect())
     follows = spark.createDataFrame(list(zip(filled, filled[1:] + filled[:1], strict=True)), "tail_box int, head_box int")
     # All three uses below read the same plain columns of the same exchange, which Spark then runs once.
