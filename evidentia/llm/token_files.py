@@ -20,6 +20,8 @@ from ._shared import bound_batches, large, partitions, shared_dir, slices, utf8,
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 64 << 10
 #: A block is closed beyond so many bytes of frames.
 BLOCK_BYTES = 4 << 20
+#: Bytes of text of a shard, about, and bytes for which a document weighs once more where shards are cut.
+SHARD_BYTES, WEIGHT = 256 << 20, 64 << 10
 LEVEL = 3
 #: Stands for a null id, before all others.
 NO_ID = -(2**63)
@@ -59,7 +61,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
 
     Null texts count as empty; a document then has only end_id. Rows with equal ids stay, in order of
     their bytes; rows without an id come first (the least 64-bit integer stands for it). Ids are whole numbers;
-    others are refused (TypeError). An empty table writes no blocks. Long texts are encoded whole. Returns `path`.
+    others are refused (TypeError). An empty table writes no blocks. Shards are ranges of ids of about as many bytes each, so all
+    rows of one id are in one shard. Long texts are encoded whole. Returns `path`.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -69,8 +72,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
     dictionary = train_dictionary(docs, tokenizer)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "dictionary string, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    n = partitions(spark)
-    cuts = docs.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    # Shards follow the input's bytes: a document counts once, and once more for each WEIGHT bytes of it.
+    n = max(partitions(spark), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+    weighed = docs.select("id", F.explode(F.sequence(F.lit(0), F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / WEIGHT).cast("int"))).alias("part"))
+    cuts = weighed.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], min(100 * n, 10_000_000))).first()[0] or []
     bounds = np.array(sorted(set(cuts)), np.int64)
 
     def encode(batches):
