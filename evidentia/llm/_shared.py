@@ -86,13 +86,26 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of keys that are sent to all tasks at most (some ten bytes each).
-SENT = 500_000
+#: Rows of keys that are sent to all tasks at most, and their bytes.
+SENT, SENT_BYTES = 500_000, 32 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: 16 for a column, and those of strings, binaries and arrays of strings."""
+    size = F.lit(16 * len(df.columns)).cast("long")
+    for f in df.schema:
+        column = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
+            size = size + F.coalesce(F.aggregate(column, F.lit(0).cast("long"), lambda n, x: n + 16 + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0))
+    return size
 
 
 def few(rows: DataFrame, keys: DataFrame, on: str | list[str] | Column, how: str) -> DataFrame:
-    """A join with a table of keys: sent to all tasks if it has SENT rows at most, else by a shuffle."""
-    return rows.join(F.broadcast(keys) if keys.count() <= SENT else keys, on, how)
+    """A join with a table of keys: sent to all tasks if it has SENT rows and SENT_BYTES at most, else by a shuffle."""
+    held = keys.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes(keys)), F.lit(0)).alias("size")).first()
+    return rows.join(F.broadcast(keys) if held["n"] <= SENT and held["size"] <= SENT_BYTES else keys, on, how)
 
 
 def whole_ids(docs: DataFrame, id_col: str) -> None:

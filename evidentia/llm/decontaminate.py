@@ -55,7 +55,7 @@ def full_hash(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 def benchmark_windows(items: DataFrame, width: int) -> DataFrame:
     """A table of the different windows of the items (item, text): n (words), print (the least hash), full (the hash of the
-    whole window), phrase (its words), items (sorted). An item of fewer words than `width` is one window."""
+    whole window), phrase (its words), items (sorted), and of_items, a digest that names these. An item of fewer words than `width` is one window."""
 
     def cut(batches):
         for batch in batches:
@@ -80,7 +80,10 @@ def benchmark_windows(items: DataFrame, width: int) -> DataFrame:
                 )
 
     rows = items.mapInArrow(cut, "n int, print long, full long, phrase binary, item string")
-    return materialize(rows.groupBy("n", "print", "full", "phrase").agg(F.array_sort(F.collect_set("item")).alias("items")), "benchmark-windows")
+    held = rows.groupBy("n", "print", "full", "phrase").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    # Lengths in front keep apart what the joined names alone would not.
+    named = F.concat(F.array_join(F.transform("items", lambda x: F.octet_length(x).cast("string")), ","), F.lit(";"), F.array_join("items", ","))
+    return materialize(held.withColumn("of_items", F.unhex(F.sha2(named, 256))), "benchmark-windows")
 
 
 def sieve(windows: DataFrame, column: str, size: int) -> np.ndarray:
@@ -145,9 +148,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(text.alias("text"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("print"))
 
 
-def looked_up(docs: DataFrame, benchmark: DataFrame, width: int, all_rows: bool) -> tuple[DataFrame | None, DataFrame]:
-    """The documents (id, print, n_words), if asked for, and their occurrences of benchmark windows (id, print, place, n, items): fingerprints
-    and windows of both sides are joined, and a window's words compared as they are."""
+def looked_up(docs: DataFrame, benchmark: DataFrame, width: int, all_rows: bool) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """The documents (id, print, n_words), if asked for, their occurrences of benchmark windows (id, print, place, n, of_items), and what of_items
+    stands for (of_items, items): fingerprints and windows of both sides are joined, and a window's words compared as they are."""
     spark: SparkSession = docs.sparkSession
     bound_batches(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
@@ -160,8 +163,8 @@ def looked_up(docs: DataFrame, benchmark: DataFrame, width: int, all_rows: bool)
         if all_rows and not k:
             rows = held.select("id", "print", "n_words")
         asked = held.select("id", "print", F.explode("found").alias("f")).select("id", "print", "f.*")
-        hits.append(few(asked, mine.select("n", "full", "phrase", "items"), ["n", "full", "phrase"], "inner").select("id", "print", "place", "n", "items"))
-    return rows, reduce(DataFrame.union, hits)
+        hits.append(few(asked, mine.select("n", "full", "phrase", "of_items"), ["n", "full", "phrase"], "inner").select("id", "print", "place", "n", "of_items"))
+    return rows, reduce(DataFrame.union, hits), windows.select("of_items", "items").dropDuplicates(["of_items"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,8 +181,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     Repeated rows give a row each; equal item ids count once; a null item id is the empty text; ids are of
     any type. An empty table gives none. Whole texts are read; other columns are neither read nor changed.
     """
-    rows, hits = looked_up(keyed(docs, id_col, text_col), benchmark, width, True)
-    each = hits.groupBy("id", "print").agg(F.collect_set(F.struct("place", "n")).alias("hit"), F.collect_set("items").alias("items"))
+    rows, hits, items = looked_up(keyed(docs, id_col, text_col), benchmark, width, True)
+    hits = materialize(hits, "hits")
+    places = hits.groupBy("id", "print").agg(F.collect_set(F.struct("place", "n")).alias("hit"))
+    # A window may stand in very many items: their names meet a document once for each different set of items, not for each occurrence.
+    told = few(hits.select("id", "print", "of_items").distinct(), items, "of_items", "inner").groupBy("id", "print").agg(F.collect_set("items").alias("items"))
+    told = told.select(F.col("id").alias("_ti"), F.col("print").alias("_tp"), "items")
+    each = places.join(told, F.col("id").eqNullSafe(F.col("_ti")) & F.col("print").eqNullSafe(F.col("_tp")), "left")
     words = F.array_sort(F.array_distinct(F.flatten(F.transform("hit", lambda h: F.sequence(h["place"], h["place"] + h["n"] - 1)))))
     spans = F.when(F.col("hit").isNotNull(), let(words, islands)).otherwise(F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"))
     names = F.coalesce(F.array_sort(F.array_distinct(F.flatten("items"))), F.expr("cast(array() as array<string>)"))
@@ -209,7 +217,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str =
     """The documents without any word in a benchmark window, all their columns unchanged, repeated rows each; rows of one id are
     judged each by its own text, null texts and ids stay like any others, an empty table stays empty."""
     names = docs.columns
-    _, hits = looked_up(keyed(docs, id_col, text_col), benchmark, width, False)
+    _, hits, _ = looked_up(keyed(docs, id_col, text_col), benchmark, width, False)
     gone = materialize(hits.select(F.col("id").alias("_i"), F.col("print").alias("_p")).distinct(), "contaminated")
     rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"), F.xxhash64(F.col(f"`{text_col}`")).alias("_print"))
     same = F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_i")) & (F.col("_print") == F.col("_p"))

@@ -264,3 +264,52 @@ def test_quality_takes_one_row_of_an_id(spark, frame, monkeypatch):
     docs = frame([(1, "good words"), (2, "bad words"), *((3, f"hot {k % 7}") for k in range(2000))])
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 1), (None, 1), (4, None)], "doc_id long, quality int")
     assert quality.train(docs, labels).bias == 4 * quality.EPOCHS
+
+
+def test_fingerprints_of_an_id_of_very_many_rows(spark, frame):
+    """Its rows go to many boxes, and every document's next one is what a plain sort gives."""
+    from pyspark.sql import functions as F
+
+    from evidentia.llm import fingerprints
+
+    rows = [(i, f"text {i} of its own") for i in range(60)] + [(30, f"hot {i}") for i in range(3000)] + [(None, f"none {i}") for i in range(5)]
+    docs = frame(rows)
+    held = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+    sizes = [r["count"] for r in held.withColumn("box", fingerprints.boxes(held)).groupBy("box").count().collect()]
+    assert max(sizes) < 300
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    named = sorted((r for r in rows if r[0] is not None), key=lambda r: (-r[0], hashes[r[1]]))
+    got = {r["text"]: r["next_text"] for r in fingerprints.with_next(docs, "doc_id", "text").collect()}
+    assert len(got) == len(rows) and all(got[a[1]] == b[1] for a, b in zip(named, named[1:], strict=False))
+    # The last one with an id is followed by one without, and the last of these by the first of all.
+    assert got[named[-1][1]].startswith("none") and sum(v == named[0][1] for v in got.values()) == 1
+
+
+def test_token_file_shards_follow_bytes(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 40_000)
+    monkeypatch.setattr(token_files, "WEIGHT", 1_000)
+    rng = random.Random(3)
+    rows = [(i, " ".join(words(rng, 4000 if i < 20 else 10))) for i in range(400)]
+    path = token_files.write_token_files(frame(rows), VOCABULARY, str(tmp_path / "files"))
+    shards = {r["shard"]: (r["n"], r["docs"]) for r in spark.read.parquet(f"{path}/blocks").selectExpr("shard", "n_tokens", "n_docs").groupBy("shard").agg({"n_tokens": "sum", "n_docs": "sum"}).toDF("shard", "n", "docs").collect()}
+    tokens = [max(x) for x in shards.values()]
+    # By numbers of documents, the twenty long ones would be one shard or two.
+    assert len(shards) >= 8 and max(tokens) < 0.3 * sum(tokens)
+    got = token_files.read_token_files(spark, path).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in got] == list(range(400)) and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_a_window_of_very_many_items_is_not_broadcast(spark, frame, monkeypatch):
+    """Three thousand items share a passage: results are those of brute force, and their names travel once a document."""
+    rng = random.Random(9)
+    passage, docs = " ".join(words(rng, 30)), []
+    for i in range(40):
+        docs.append((i, " ".join([*words(rng, 20), *([passage] if i % 4 == 0 else []), *words(rng, 20)])))
+    items = spark.createDataFrame([(f"item-{k:05d}", passage) for k in range(3000)] + [("other", docs[1][1])], "item_id string, text string")
+    told = {r["doc_id"]: r for r in decontaminate.contamination(frame(docs), items).collect()}
+    assert all(len(told[i]["items"]) == (3000 if i % 4 == 0 else 1 if i == 1 else 0) for i in range(40))
+    monkeypatch.setattr(_shared, "SENT_BYTES", 1000)
+    again = {r["doc_id"]: r for r in decontaminate.contamination(frame(docs), items).collect()}
+    assert again == told
+    size = spark.createDataFrame([("abc", ["x", "yz"], 1)], "a string, b array<string>, c int")
+    assert size.select(_shared.row_bytes(size)).first()[0] == 48 + 3 + 16 * 2 + 3
