@@ -181,9 +181,9 @@ FROM risk LEFT JOIN (SELECT content_hash AS h, min(id) AS f FROM chunk GROUP BY
 
 #: The corpus without every fifth chunk.
 FEWER = BASE.replace("WITH corpus AS (", "WITH whole_corpus AS (", 1).replace("normal AS (SELECT *,", "corpus AS (SELECT * FROM whole_corpus WHERE id % 5 <> 0),\nnormal AS (SELECT *,", 1)
-CHANGES = ", changes AS (SELECT source AS loc, max(ts) AS at FROM documents JOIN events ON event_id = doc_id WHERE doc_id % 9 = 0 GROUP BY 1)\n"
+CHANGES = ", changes AS (SELECT source AS loc, max(ts) AS seen FROM documents JOIN events ON event_id = doc_id WHERE doc_id % 9 = 0 GROUP BY 1)\n"
 MORE_SQL = {
-    "stale_by_source": BASE + CHANGES + """SELECT ref, CASE WHEN trim(url) <> '' THEN 'sha256:' || substring(sha256(trim(url)), 1, 16) END AS locator_hash, strftime(at, '%Y-%m-%dT%H:%M:%S.%gZ') AS changed_at, coalesce(updated_at < at, false) AS stale
+    "stale_by_source": BASE + CHANGES + """SELECT ref, CASE WHEN trim(url) <> '' THEN 'sha256:' || substring(sha256(trim(url)), 1, 16) END AS locator_hash, strftime(seen, '%Y-%m-%dT%H:%M:%S.%gZ') AS changed_at, coalesce(updated_at < seen, false) AS stale
   FROM chunk LEFT JOIN changes ON loc = trim(url)""",
     "findings_delta": f"""SELECT coalesce(b.type, a.type) AS type, coalesce(b.severity, a.severity) AS severity, coalesce(a.n, 0) AS old_findings, coalesce(b.n, 0) AS new_findings, coalesce(a.affected, 0) AS old_affected, coalesce(b.affected, 0) AS new_affected,
   coalesce(b.severity, a.severity) AS worst, CASE WHEN a.n IS NULL THEN 'new' WHEN b.n IS NULL THEN 'gone' WHEN a.n = b.n AND a.affected = b.affected THEN 'same' ELSE 'changed' END AS status
