@@ -100,7 +100,36 @@ def url_sql(rules: list[tuple[str, str]]) -> str:
     return ", ".join(out) + f" SELECT v.page_id, v.host, v.path, v.rule, coalesce(v.ruled, CASE WHEN q.purity >= {U.REJECT} THEN 'block' ELSE 'allow' END) AS verdict FROM v LEFT JOIN q{U.DEPTH + 1} q ON {same}"
 
 
+#: Damage by a bitwise CRC; then costs from each row to the end for what stands before it (nothing, system, user, assistant), from the last row back, and
+#: from the first row on the first edit by its initial that reaches the cost.
+OP12 = r"""WITH RECURSIVE named AS (SELECT *, coalesce(role, ' ') AS r0, coalesce(text, ' ') AS t0, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_concat([4294967295], range(8 * length(name))), lambda h, k: xor((CASE WHEN k % 8 = 0 THEN xor(h, CAST(ascii(substring(name, k // 8 + 1, 1)) AS BIGINT)) ELSE h END) >> 1,
+  3988292384 * ((CASE WHEN k % 8 = 0 THEN xor(h, CAST(ascii(substring(name, k // 8 + 1, 1)) AS BIGINT)) ELSE h END) & 1))), 4294967295) % 20 AS dmg FROM named),
+damaged AS (SELECT conv_id, turn, CASE WHEN dmg = 4 THEN 'user' ELSE r0 END AS role, CASE dmg WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t0, '[.!?]', '', 'g') ELSE t0 END AS text, unnest(range(CASE WHEN dmg = 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE dmg <> 0),
+lined AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n, substring(role, 1, 1) AS x, right(regexp_replace(text, '[ 	
+]+$', ''), 1) AS z FROM damaged),
+faulty AS (SELECT *, CASE WHEN z = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN z NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lead(x) OVER (PARTITION BY conv_id ORDER BY i) AS nx FROM lined),
+rows_ AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 WHEN fault = 'truncated' THEN 3 ELSE 0 END AS m FROM faulty),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (nx IS NOT NULL AND x || nx NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY 1),
+back AS (SELECT DISTINCT conv_id, n + 1 AS i, 0 AS c0, 6 AS cs, 3 AS cu, 0 AS ca FROM rows_
+  UNION ALL SELECT conv_id, i, least(b0, 3 + bu, 6 + ba), least(bs, 3 + bu, 6 + ba), least(bu, 3 + ba), least(ba, 3 + bu) FROM (SELECT r.conv_id, r.i,
+    least(4 + c0, m + 3 + cu, CASE x WHEN 's' THEN m + cs WHEN 'u' THEN m + cu ELSE 2000000000 END) AS b0, least(4 + cs, m + cu + CASE WHEN x = 'u' THEN 0 ELSE 3 END) AS bs,
+    least(4 + cu, m + ca + CASE WHEN x = 'a' THEN 0 ELSE 3 END) AS bu, least(4 + ca, m + cu + CASE WHEN x = 'u' THEN 0 ELSE 3 END) AS ba FROM back b JOIN rows_ r ON r.conv_id = b.conv_id AND r.i = b.i - 1)),
+costs AS (SELECT conv_id, i, unnest(['', 's', 'u', 'a']) AS st, unnest([c0, cs, cu, ca]) AS c FROM back),
+steps AS (SELECT a.conv_id, a.i, a.st, a.c, d.c AS after, e.c AS inserted, r.m, r.x, r.role, r.text, CASE WHEN a.st = 'u' THEN 'a' ELSE 'u' END AS want, CASE WHEN r.x = 's' AND a.st = '' THEN 's' ELSE CASE WHEN a.st = 'u' THEN 'a' ELSE 'u' END END AS keeps
+  FROM costs a LEFT JOIN rows_ r ON r.conv_id = a.conv_id AND r.i = a.i LEFT JOIN costs d ON d.conv_id = a.conv_id AND d.i = a.i + 1 AND d.st = a.st LEFT JOIN costs e ON e.conv_id = a.conv_id AND e.i = a.i AND e.st = CASE WHEN a.st = 'u' THEN 'a' ELSE 'u' END),
+edits AS (SELECT *, CASE WHEN m IS NULL AND c = 0 THEN '' WHEN m IS NOT NULL AND 4 + after = c THEN 'D' WHEN 3 + inserted = c THEN 'I' WHEN x = keeps AND m + (SELECT k.c FROM costs k WHERE k.conv_id = s.conv_id AND k.i = s.i + 1 AND k.st = s.keeps) = c THEN 'K' ELSE 'R' END AS edit FROM steps s),
+walk AS (SELECT conv_id, CAST(1 AS BIGINT) AS i, '' AS st, '' AS audit, CAST(NULL AS VARCHAR) AS lines, false AS done FROM (SELECT DISTINCT conv_id FROM rows_)
+  UNION ALL SELECT w.conv_id, CASE WHEN edit IN ('', 'I') THEN w.i ELSE w.i + 1 END, CASE edit WHEN 'K' THEN keeps WHEN 'D' THEN w.st WHEN '' THEN w.st ELSE want END, w.audit || edit,
+    CASE WHEN edit IN ('', 'D') THEN w.lines ELSE coalesce(w.lines || chr(10), '') || CASE edit WHEN 'K' THEN e.role || ':' || e.text ELSE CASE want WHEN 'u' THEN 'user:' ELSE 'assistant:' END || CASE edit WHEN 'R' THEN e.text ELSE '' END END END, edit = ''
+  FROM walk w JOIN edits e ON e.conv_id = w.conv_id AND e.i = w.i AND e.st = w.st WHERE NOT w.done)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(c0, 0) AS BIGINT) AS cost,
+  coalesce(w.audit, '') AS audit, sha256(coalesce(w.lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN told t ON t.conv_id = o.conv_id LEFT JOIN back b ON b.conv_id = o.conv_id AND b.i = 1 LEFT JOIN walk w ON w.conv_id = o.conv_id AND w.done"""
+
+
 def oracle_sql() -> dict[str, str]:
     from .queries import URL_RULES
 
-    return {"op2_decontamination": OP2, "op3_line_dedup": OP3, "op4_url_filter": url_sql(URL_RULES), "op8_suffix_dedup": OP8, "op10_jaccard_join": OP10}
+    return {"op2_decontamination": OP2, "op3_line_dedup": OP3, "op4_url_filter": url_sql(URL_RULES), "op8_suffix_dedup": OP8, "op10_jaccard_join": OP10, "op12_conversation_repair": OP12}

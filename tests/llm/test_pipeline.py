@@ -64,7 +64,7 @@ def test_query_equals_sql(spark, name):
     from evidentia.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     ours, theirs = queries.queries()[name](spark, SMALL).toPandas(), con.sql(oracle_sql()[name]).df()
     names = sorted(ours.columns)
