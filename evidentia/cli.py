@@ -99,7 +99,8 @@ def run_scan(
     started = datetime.now(UTC).isoformat()
     indexes = catalog.indexes(mapping.table)
     indexes = None if indexes is None else [findings.IndexInfo(*i) for i in indexes]
-    result = scan(catalog.keyed(mapping.table, key), mapping, key, system=(held or {}).get("system", {}).get("name", system), thresholds=thresholds, limits=limits, inventory=expected, indexes=indexes)
+    with catalog.snapshot():
+        result = scan(catalog.keyed(mapping.table, key), mapping, key, system=(held or {}).get("system", {}).get("name", system), thresholds=thresholds, limits=limits, inventory=expected, indexes=indexes)
     out = report.build(result, mapping, stack, started, datetime.now(UTC).isoformat(), (held or {}).get("sources"), VERSION)
     return out, int(ci and out["health"]["score"] < min_score), recipe
 

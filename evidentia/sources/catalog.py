@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -95,12 +97,18 @@ class Catalog:
         """A table that is read as a whole, by a store that deals it by ranges of its key if it can."""
         return self.frame(table)
 
+    @contextmanager
+    def snapshot(self) -> Iterator[str | None]:
+        """Within, all reads see one state of the store, if it can promise that; files and session tables are read as they are."""
+        yield None
+
     def indexes(self, table: str) -> list[tuple[str, str, list[str]]] | None:
         """(name, method, columns) of a table's indexes; null where the store has none to speak of."""
         return None
 
     def estimate(self, qualified: str) -> int:
-        """Rows by the catalog's estimate, or by a table's own statistics, else counted."""
+        """Rows by the catalog's estimate, or by a table's own statistics, else counted: of Parquet that reads no column, but the row
+        counts that its files' footers hold, in tasks."""
         if qualified in self.estimates:
             return self.estimates[qualified]
         known = self.tables[qualified]._jdf.queryExecution().optimizedPlan().stats().rowCount()

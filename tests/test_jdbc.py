@@ -109,3 +109,57 @@ def test_large_tables_are_read_by_pages(spark, monkeypatch):
 )
 def test_index_definitions(definition, want):
     assert J.parse_index("i", definition) == want
+
+
+def test_all_parts_read_one_snapshot(spark, url, monkeypatch):
+    """The connection that gives the snapshot is open while parts are read, each of which begins by taking it, and closed behind."""
+    import dataclasses
+
+    run = lambda sql: spark._jvm.java.sql.DriverManager.getConnection(url).createStatement().execute(sql)
+    run('CREATE TABLE "public"."taken" ("name" VARCHAR(40))')
+    dialect = dataclasses.replace(DERBY, export="VALUES 'snap-1'", share="INSERT INTO \"public\".\"taken\" VALUES '{snapshot}'")
+    held = J.Database(spark, url, dialect)
+    before = dict(held.options)
+    with held.snapshot() as name:
+        rows = held.keyed("document_chunks", "id")
+        assert name == "snap-1" and rows.rdd.getNumPartitions() == 3 and rows.count() == 120
+    taken = spark.read.format("jdbc").options(url=url, query='SELECT "name" FROM "public"."taken"').load().collect()
+    # Each part's session took it, and those that looked up the key's range.
+    assert len(taken) >= 3 and {r[0] for r in taken} == {"snap-1"}
+    assert held.options == before and held.keyed("document_chunks", "id").count() == 120
+    with pytest.raises(ZeroDivisionError), held.snapshot():
+        raise ZeroDivisionError
+    assert held.options == before
+    with pytest.raises(ValueError, match="name"), J.Database(spark, url, dataclasses.replace(dialect, export="VALUES 'a; DROP'")).snapshot():
+        pass
+    with J.Database(spark, url, DERBY).snapshot() as none:
+        assert none is None
+    assert J.POSTGRESQL.share.format(snapshot="x-1").endswith("SET TRANSACTION SNAPSHOT 'x-1'")
+
+
+def test_indexes_by_relations(spark, url):
+    """Expression and included columns, operator classes, columns by their numbers: the catalog's relations, not a definition's text."""
+    import dataclasses
+
+    rows = lambda names, *values: f"SELECT * FROM (VALUES {', '.join(values)}) AS t({names})"
+    text = lambda x: f"CAST({x} AS VARCHAR(40))"
+    index = lambda name, method, keys, classes, n, expression: f"({text(repr(name))}, {text(repr(method))}, {text(repr(keys))}, {text(repr(classes))}, {n}, {text(expression)})"
+    relations = {
+        "indexes": rows("name, method, keys, opclass_ids, key_count, expressions", index("by_vector", "hnsw", "3", "7", 1, "NULL"), index("wide", "btree", "2 0 1", "8 8", 2, "'lower(content)'")),
+        "attributes": rows("attnum, attname", *(f"({k}, {text(repr(n))})" for k, n in ((1, "id"), (2, "content"), (3, "embedding")))),
+        "classes": rows("opclass_id, opclass", f"(7, {text(repr('vector_cosine_ops'))})", f"(8, {text(repr('text_ops'))})"),
+    }
+    held = J.Database(spark, url, dataclasses.replace(DERBY, relations=relations))
+    assert held.indexes("document_chunks") == [("by_vector", "hnsw", ["embedding"]), ("wide", "btree", ["content"])]
+    wide = held.index_columns("public", "document_chunks").where("name = 'wide'").first()
+    assert (wide["included"], wide["opclasses"], wide["expressions"]) == (["id"], ["text_ops", "text_ops"], ["lower(content)"])
+
+
+def test_rows_of_files_are_counted_by_their_footers(spark, tmp_path):
+    from evidentia.sources.catalog import Catalog
+
+    spark.range(1000).selectExpr("id", "array(cast(id as float)) AS embedding", "cast(id as string) AS content").write.parquet(str(tmp_path / "t"))
+    held = Catalog.of_parquet(spark, {"t": str(tmp_path / "t")})
+    assert held.estimate("public.t") == 1000
+    plan = held.tables["public.t"].groupBy().count()._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan
