@@ -13,10 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept
+from ..stores.shared import kept
 from . import knn
 
 #: Vectors of one length that centroids are fitted on at most: those with the smallest hashes of their names.
@@ -27,8 +27,6 @@ ROUNDS, SEED = 15, 42
 MAX_LISTS = 16_384
 #: Lists that a probe looks into, as a share of all, and at least.
 SHARE, LEAST = 0.05, 4
-#: Tasks that a list's rows are dealt to when an index is written.
-FILES = 4
 
 
 def usable(embedding) -> F.Column:
@@ -108,30 +106,10 @@ def fit(chunks: DataFrame, lists: int | None = None, sample: int = SAMPLE) -> In
     return Index(centroids)
 
 
-def write(index: Index, chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Keep an index: centroids, and every chunk's name, order and vector in the partition of its cell. mode `append` adds chunks to one that is there."""
-    spark = chunks.sparkSession
-    if mode == "overwrite":
-        rows = [(index.first[d] + k, d, v.tolist()) for d, m in index.centroids.items() for k, v in enumerate(m)]
-        spark.createDataFrame(rows, "cell int, d int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
-    held = index.assign(chunks.select("ref", F.col("ord").cast("long").alias("ord"), "embedding"))
-    held = held.repartition(F.col("cell"), F.pmod(F.xxhash64("ref"), F.lit(FILES)))
-    held.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("cell").parquet(f"{path}/vectors")
-
-
-def read(spark: SparkSession, path: str) -> tuple[Index, DataFrame]:
-    """A kept index and its vectors: ref, ord, embedding, cell."""
-    by: dict[int, list] = {}
-    for r in spark.read.parquet(f"{path}/centroids").orderBy("cell").collect():
-        by.setdefault(r["d"], []).append(r["centroid"])
-    vectors = spark.read.schema("ref string, ord long, embedding array<float>, cell int").parquet(f"{path}/vectors")
-    return Index({d: np.array(m) for d, m in by.items()}), vectors
-
-
 def nearest_neighbors(index: Index, vectors: DataFrame, probes: DataFrame, look: int | None = None) -> DataFrame:
     """The nearest other chunk of each probe among the lists it looks into: ref, ord, neighbor_ref, neighbor_ord, similarity.
 
-    vectors: ref, ord, embedding, cell, as `read` or `assign` give them; probes: ref, ord, embedding, a stated number of rows. Only the cells that some
+    vectors: ref, ord, embedding, cell, as `assign` or stores.vectors.read give them; probes: ref, ord, embedding, a stated number of rows. Only the cells that some
     probe asks for are read. Ties, odd vectors and rounding are those of knn; a probe without a usable vector has no row.
     """
     rows = [(r["ref"], r["ord"], np.array(r["embedding"], np.float64)) for r in probes.where("embedding is not null").select("ref", "ord", "embedding").orderBy("ord", "ref").toLocalIterator()]

@@ -25,7 +25,7 @@ from .sources.chunks import chunk_view, deterministic_sample
 from .sources.indexes import described
 from .sources.introspect import content_score, fingerprint, model_guess, rows_score, table_score
 from .sources.mapping import Mapping
-from .sources.shared import kept
+from .stores.shared import kept
 from .streaming import growing, incremental
 
 #: SQL that Spark and DuckDB read alike (list_slice is Spark's slice). Secrets, markers, a table with a ruled line, a second

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
 from .catalog import TIMES, Candidate, Catalog
 from .mapping import Mapping
 
 # Results depend on them.
 LONG_TEXT, LEAST_SCORE, LEAST_MARGIN = 80, 16, 6
+COLLATION = "UNICODE"
 INTERNAL = ("evidentia_",)
 MODELS = {1536: "openai text-embedding-3-small or ada-002 (guess)", 3072: "openai text-embedding-3-large (guess)", 1024: "Cohere/BGE-class (guess)", 768: "sentence-transformers-class (guess)"}
 
@@ -82,10 +86,17 @@ def embedding_column(t: Candidate) -> str:
     return next((n for n in ("embedding", "vec") if n in t.vectors), t.vectors[0])
 
 
+def places(spark: SparkSession, names: Iterable[str]) -> dict[str, int]:
+    """Each name's place in the order of COLLATION, equal ones by code point: a few names, sorted by Spark as it sorts those of tables."""
+    held = spark.createDataFrame([(n,) for n in sorted(set(names))], "n string")
+    return {r["n"]: i for i, r in enumerate(held.orderBy(F.collate("n", COLLATION), "n").collect())}
+
+
 def content_column(catalog: Catalog, t: Candidate) -> tuple[str, int] | None:
     """The column of long text with the best name; none if that is not clear."""
     lengths = {n: catalog.average_length(t.qualified, n) for n, kind in t.columns if kind == "text"}
-    ranked = sorted(((content_score(n), length, n) for n, length in lengths.items() if length > LONG_TEXT), key=lambda x: (-x[0], -x[1], x[2]))
+    place = places(t.frame.sparkSession, lengths)
+    ranked = sorted(((content_score(n), length, n) for n, length in lengths.items() if length > LONG_TEXT), key=lambda x: (-x[0], -x[1], place[x[2]]))
     if not ranked or ranked[0][0] <= 0:
         return None
     best = ranked[0][0]
@@ -115,18 +126,21 @@ def score_table(catalog: Catalog, t: Candidate, internal: tuple[str, ...] = INTE
 def match_generic(catalog: Catalog, tables: list[Candidate], internal: tuple[str, ...] = INTERNAL) -> Mapping | None:
     """The one table that clearly is the chunk table, if there is one."""
     scored = [(s[0], t.estimated_rows, s[1]) for t in tables if (s := score_table(catalog, t, internal))]
-    scored.sort(key=lambda x: (-x[0], -(-1 if x[1] is None else x[1]), x[2].table))
+    place = places(tables[0].frame.sparkSession, (s[2].table for s in scored)) if tables else {}
+    scored.sort(key=lambda x: (-x[0], -(-1 if x[1] is None else x[1]), place[x[2].table]))
     if not scored or scored[0][0] < LEAST_SCORE or (len(scored) > 1 and scored[0][0] - scored[1][0] < LEAST_MARGIN):
         return None
     return scored[0][2]
 
 
 def fingerprint(catalog: Catalog, tables: list[Candidate]) -> tuple[list[dict], str]:
-    """Sorted tables, columns and sampled JSON keys, and the SHA-256 of that as compact JSON."""
+    """Sorted tables, columns and sampled JSON keys, and the SHA-256 of that as compact JSON. Tables and columns are in the order of the one
+    collation that Spark's own sorts of names use; JSON keys by code point."""
+    place = places(tables[0].frame.sparkSession, [n for t in tables for n in (t.qualified, *(c for c, _ in t.columns))]) if tables else {}
     out = []
-    for t in sorted(tables, key=lambda t: t.qualified):
+    for t in sorted(tables, key=lambda t: place[t.qualified]):
         keys = {n: catalog.json_keys(t.qualified, n) for n, kind in t.columns if kind == "jsonb"}
-        out.append({"table": t.qualified, "columns": [{"name": n, "type": k} for n, k in sorted(t.columns)], "jsonKeys": keys})
+        out.append({"table": t.qualified, "columns": [{"name": n, "type": k} for n, k in sorted(t.columns, key=lambda c: (place[c[0]], c[1]))], "jsonKeys": keys})
     return out, hashlib.sha256(json.dumps(out, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 

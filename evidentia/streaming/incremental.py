@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.features import Thresholds, features
-from ..sources.shared import shared_folder
+from ..stores.shared import shared_folder
 
 __all__ = ["ADDITIVE", "additive", "shared_folder", "total", "write_batches"]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidentia.operators import ivf, knn
 from evidentia.plans.scan import Limits, scan
 from evidentia.sources.mapping import Mapping
+from evidentia.stores import vectors as vectors_store
 
 CHUNKS = "ref string, ord long, content_hash string, embedding array<float>"
 
@@ -29,8 +30,8 @@ def exact(chunks, probes):
 def test_recall_and_exact_likeness(spark, chunks, tmp_path):
     index = ivf.fit(chunks)
     assert {d: len(m) for d, m in index.centroids.items()} == {8: 17, 16: 63}
-    ivf.write(index, chunks, str(tmp_path))
-    again, vectors = ivf.read(spark, str(tmp_path))
+    vectors_store.write(index, chunks, str(tmp_path))
+    again, vectors = vectors_store.read(spark, str(tmp_path))
     assert all(np.array_equal(again.centroids[d], m) for d, m in index.centroids.items())
     assert vectors.count() == 4300 and vectors.select("cell").distinct().count() <= 80
     probes = chunks.orderBy("ord").limit(400)
@@ -56,8 +57,8 @@ def test_lists_are_tuned_where_vectors_form_no_groups(spark):
 
 
 def test_few_probes_read_few_lists(spark, chunks, tmp_path):
-    ivf.write(ivf.fit(chunks, lists=40), chunks, str(tmp_path))
-    index, vectors = ivf.read(spark, str(tmp_path))
+    vectors_store.write(ivf.fit(chunks, lists=40), chunks, str(tmp_path))
+    index, vectors = vectors_store.read(spark, str(tmp_path))
     probe = chunks.where("ord = 7")
     cells = index.nearest(np.array(probe.first()["embedding"], float))
     assert len(cells) == ivf.LEAST
@@ -67,11 +68,11 @@ def test_few_probes_read_few_lists(spark, chunks, tmp_path):
 
 
 def test_chunks_are_appended(spark, chunks, tmp_path):
-    ivf.write(ivf.fit(chunks), chunks, str(tmp_path))
-    index, _ = ivf.read(spark, str(tmp_path))
+    vectors_store.write(ivf.fit(chunks), chunks, str(tmp_path))
+    index, _ = vectors_store.read(spark, str(tmp_path))
     more = spark.createDataFrame(clustered(500, 16, 60, 9, 50_000), CHUNKS)
-    ivf.write(index, more, str(tmp_path), mode="append")
-    _, vectors = ivf.read(spark, str(tmp_path))
+    vectors_store.write(index, more, str(tmp_path), mode="append")
+    _, vectors = vectors_store.read(spark, str(tmp_path))
     assert vectors.count() == 4800
     best = exact(chunks.unionByName(more.withColumn("ord", F.col("ord") - 100_000)), 500)
     assert ivf.recall(ivf.nearest_neighbors(index, vectors, more), best) >= 0.9
@@ -102,7 +103,7 @@ def test_scan_by_an_index(spark, chunks, tmp_path):
     both = chunks.unionByName(twins)
     table = both.select(F.col("ord").alias("id"), F.concat(F.lit("Text of chunk number "), "ref", F.lit(" that is long enough to be no thin chunk at all, by any measure of a length of one hundred and twenty.")).alias("content"), "embedding")
     index = ivf.fit(both.withColumn("ref", F.col("ord").cast("string")))
-    ivf.write(index, both.withColumn("ref", F.col("ord").cast("string")), str(tmp_path))
+    vectors_store.write(index, both.withColumn("ref", F.col("ord").cast("string")), str(tmp_path))
     mapping = Mapping.of("public.chunks", "content", "embedding")
-    one, two = (scan(table, mapping, "id", limits=Limits(None, 100), index=kept) for kept in (None, ivf.read(spark, str(tmp_path))))
+    one, two = (scan(table, mapping, "id", limits=Limits(None, 100), index=kept) for kept in (None, vectors_store.read(spark, str(tmp_path))))
     assert one.stats["nearDuplicatePairs"] >= 20 and one.stats == two.stats and one.score == two.score

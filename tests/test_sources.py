@@ -191,3 +191,17 @@ def test_a_sample_reads_names_first(spark):
     assert len(whole) == 50 and {r["id"] for r in known.collect()} == whole
     text = chunk_view(known, Mapping.of("t", "c", "e"), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert text.index("sha2") < text.index("Join LeftSemi") < text.index("md5")  # hashes of texts above the choice, names below
+
+
+def test_names_sort_alike_on_driver_and_executors(spark):
+    from evidentia.sources.introspect import fingerprint, places
+
+    names = ["b", "B", "a", "_b", "a_b", "ab", "Á", "z", "ä", "Zeta"]
+    got = sorted(names, key=places(spark, names).get)
+    sorted_by_spark = [r["n"] for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(F.collate("n", "UNICODE")).collect()]
+    assert got == sorted_by_spark and got != sorted(names) and got.index("B") == got.index("b") + 1
+    frame = spark.createDataFrame([], "b string, B2 int, _c string, a_b string, ab string, embedding array<float>")
+    held = Catalog({"T": frame, "_s": frame}, {"T": 0, "_s": 0})
+    found, _ = fingerprint(held, held.candidates())
+    assert [c["name"] for c in found[0]["columns"]] == ["_c", "a_b", "ab", "b", "B2", "embedding"] and [t["table"] for t in found] == ["public._s", "public.T"]
+    assert fingerprint(held, [])[0] == [] and places(spark, []) == {}
