@@ -107,6 +107,7 @@ def test_one_row_of_equal_ones_stays(frame):
 
 def test_copies_of_two_near_texts_are_one_pair(frame, monkeypatch):
     """Thousands of copies, and of rows that are equal as a whole, verify one pair of sets."""
+    seen = []
     plain = jaccard_join.verify
     monkeypatch.setattr(jaccard_join, "verify", lambda whole, pairs, share: (seen.append((whole.count(), pairs.count())), plain(whole, pairs, share))[1])
     base = words(random.Random(2), 80)
