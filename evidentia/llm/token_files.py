@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,27 @@ NO_ID = -(2**63)
 BLOCK = "shard int, block int, low long, high long, first long, n_docs long, n_tokens long, id_bytes int, dictionary string, ids binary, tokens binary, offsets binary, frames binary"
 
 
+class Shards:
+    """Shards by ranges of ids, from cuts of about equal weight. An id that several cuts fall on has as many shards of its
+    own, which its rows are dealt to by a hash of their bytes."""
+
+    def __init__(self, cuts: list[int]):
+        self.bounds, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.own = np.where(times > 1, times, 0)
+        # The range up to a bound comes first, then the bound's own shards.
+        self.base = np.arange(len(times) + 1) + np.concatenate([[0], np.cumsum(self.own)])
+        self.count = int(self.base[-1]) + 1
+
+    def of(self, ids: np.ndarray, rows: list[bytes]) -> np.ndarray:
+        at = np.searchsorted(self.bounds, ids, "left")
+        out = self.base[at]
+        inside = np.minimum(at, len(self.bounds) - 1)
+        hot = np.flatnonzero((at < len(self.bounds)) & (self.bounds[inside] == ids) & (self.own[inside] > 0)) if len(self.bounds) else []
+        for k in hot:
+            out[k] += 1 + (xxhash.xxh3_64_intdigest(rows[k]) * int(self.own[at[k]]) >> 64)
+        return out.astype(np.int32)
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """A zstandard dictionary of the id arrays of a bounded sample: the SAMPLE_DOCS documents with the
     smallest hashes of their ids, SAMPLE_BYTES of each. Too little to train on: empty, no dictionary."""
@@ -59,10 +81,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
     A frame is one document's ids, little-endian, id_bytes each. Each block is a page of its own and
     tells its least and greatest id, so reading one document takes one block (of BLOCK_BYTES or one document).
 
-    Null texts count as empty; a document then has only end_id. Rows with equal ids stay, in order of
-    their bytes; rows without an id come first (the least 64-bit integer stands for it). Ids are whole numbers;
-    others are refused (TypeError). An empty table writes no blocks. Shards are ranges of ids of about as many bytes each, so all
-    rows of one id are in one shard. Long texts are encoded whole. Returns `path`.
+    Null texts count as empty; a document then has only end_id. Rows with equal ids stay, in an order that
+    their bytes decide; rows without an id come first (the least 64-bit integer stands for it). Ids are whole numbers;
+    others are refused (TypeError). An empty table writes no blocks. Shards are ranges of ids of about as many bytes each;
+    an id that outweighs one has several, parted by a hash (Shards), so only its equal rows share one. Long texts are encoded whole. Returns `path`.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -76,7 +98,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
     n = max(partitions(spark), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
     weighed = docs.select("id", F.explode(F.sequence(F.lit(0), F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / WEIGHT).cast("int"))).alias("part"))
     cuts = weighed.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], min(100 * n, 10_000_000))).first()[0] or []
-    bounds = np.array(sorted(set(cuts)), np.int64)
+    shards = Shards(cuts)
 
     def encode(batches):
         held = _tokens.encoder(tokenizer, proof.value)
@@ -84,12 +106,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
         for batch in batches:
             data, offsets = utf8(large(batch.column(1)))
             ids = np.asarray(batch.column(0), np.int64)
-            shard = np.searchsorted(bounds, ids, "left").astype(np.int32)
             for a, b in slices(offsets, _tokens.STEP_BYTES):
                 found, first = held.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 whole, cut = found.tobytes(), (first * held.dtype.itemsize).tolist()
                 each = [whole[x:y] + end for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[a:b]), pa.array(ids[a:b]), pa.array(each, pa.binary())], ["shard", "id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shards.of(ids[a:b], each)), pa.array(ids[a:b]), pa.array(each, pa.binary())], ["shard", "id", "ids"])
 
     size = _tokens.encoder(tokenizer).dtype.itemsize
 
@@ -122,8 +143,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
         if docs_:
             yield close()
 
-    # A task for each shard, so that ranges of about as many documents each stay apart.
-    rows = docs.mapInArrow(encode, "shard int, id long, ids binary").repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "id", "ids")
+    # A task for each shard, so that ranges of about as many bytes each stay apart.
+    rows = docs.mapInArrow(encode, "shard int, id long, ids binary").repartitionById(shards.count, F.col("shard")).sortWithinPartitions("shard", "id", "ids")
     rows.mapInArrow(pack, BLOCK).write.option("parquet.page.row.count.limit", "1").parquet(f"{path}/blocks")
     return path
 

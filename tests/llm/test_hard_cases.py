@@ -1,6 +1,7 @@
 """Hash collisions, equal ids, rows without an id, hot groups: each with a defined result."""
 
 import random
+import zlib
 
 import brute
 import numpy as np
@@ -202,6 +203,26 @@ def test_the_dictionary_does_not_hang_on_the_order_of_rows(spark):
     assert made[0] == made[1] != b""
 
 
+def test_a_hot_id_has_shards_of_its_own(frame, spark, tmp_path, monkeypatch):
+    """A third of all rows under one id: several shards hold them, and every row is read back in its place."""
+    monkeypatch.setattr(token_files, "WEIGHT", 64)
+    rng = random.Random(5)
+    rows = [(k % 50 * 3, " ".join(words(rng, 30))) for k in range(400)] + [(60, " ".join(words(rng, 30))) for _ in range(300)] + [(None, "none"), (60, None)]
+    path = token_files.write_token_files(frame(rows), VOCABULARY, str(tmp_path / "files"))
+    held = spark.read.parquet(f"{path}/blocks")
+    docs = [(r["shard"], r["n_docs"]) for r in held.where("low <= 60 and high >= 60").collect()]
+    assert len({s for s, _ in docs}) > 1 and max(n for _, n in docs) < 250
+    got = token_files.read_token_files(spark, path).orderBy("start").collect()
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert ids == sorted(ids) and [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+    library = Tokenizer.from_file(VOCABULARY)
+    true = [np.array([*e.ids, 2], "<u4") for e in library.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
+    want = sorted((-1 if i is None else i, len(x), zlib.crc32(x.tobytes())) for (i, _), x in zip(rows, true, strict=True))
+    assert sorted(zip(ids, (r["n_tokens"] for r in got), (r["ids_crc32"] for r in got), strict=True)) == want
+    # One document of that id is found in whichever of its shards has it.
+    assert len(token_files.read_document(spark, path, 60)) == sum(i == 60 for i, _ in rows)
+
+
 @pytest.mark.parametrize("call", ["files", "suffix"])
 def test_ids_that_are_no_whole_numbers_are_refused(spark, call):
     df = spark.createDataFrame([("x", "some text")], "doc_id string, text string")
