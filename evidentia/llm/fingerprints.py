@@ -11,11 +11,10 @@ from ._shared import let, partitions
 K = 5
 #: A run of more characters without white space is taken by characters.
 UNSPACED = 32
-#: Ranges of ids for each shuffle partition and at most, ids of a sample that set the limits of one, ranges looked up
-#: at a time, and ranges (by a hash of the text) for rows without an id.
-BOXES, MAX_BOXES, EACH, FAN, NO_ID_BOXES = 4, 4096, 32, 64, 64
-#: Boxes of an id that more rows have than two boxes should hold, by a hash of the text.
-HOT_BOXES = 64
+#: Ranges of ids: so many for each shuffle partition at least, one for so many bytes of text, and at most.
+BOXES, BOX_BYTES, MAX_BOXES = 4, 256 << 20, 16_384
+#: Ids of a sample that set the limits of a range, and ranges looked up at a time.
+EACH, FAN = 32, 128
 
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -82,19 +81,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.withColumn("fingerprint", printed(F.col("anchors")))
 
 
-def boxes(docs: DataFrame) -> Column:
-    """The range of a row (id, text_hash), from the greatest ids on: limits are quantiles of a sample of ids that a hash
-    chooses, EACH for each range, so they follow the ids however these lie; an id of very many rows has ranges of its own, by text_hash; rows
-    without an id come last, ranged by hash."""
+def boxes(docs: DataFrame, size: int = 0) -> Column:
+    """The range of a row (id, text_hash) of a table with `size` bytes of text, from the greatest ids on: limits are quantiles of a sample
+    of ids that a hash chooses, EACH for each range, so they follow the ids however these lie. An id of more rows than two ranges
+    should hold has ranges of its own, by text_hash, as many as its rows ask for; so have the rows without an id, which come last."""
     spark = docs.sparkSession
-    n = min(MAX_BOXES, BOXES * partitions(spark))
-    total = docs.count()
-    share = max(1, total // (n * EACH))
+    n = min(MAX_BOXES, max(BOXES * partitions(spark), -(-size // BOX_BYTES)))
+    held = docs.agg(F.count("*").alias("rows"), F.count_if(F.col("id").isNull()).alias("no_id")).first()
+    total, share = held["rows"], max(1, held["rows"] // (n * EACH))
+    parts = lambda rows: max(1, -(-rows * n // max(total, 1)))
+    within_hash = lambda k: F.least(F.floor((F.col("text_hash") / 2.0**64 + 0.5) * k), k - 1)
     # At most n / 2 ids.
-    hot = sorted((r["id"] for r in docs.where("id is not null").groupBy("id").count().where(F.col("count") > max(EACH, 2 * total // n)).collect()), reverse=True)
+    hot = docs.where("id is not null").groupBy("id").count().where(F.col("count") > max(EACH, 2 * total // n))
+    hot = sorted(((r["id"], parts(r["count"])) for r in hot.collect()), key=lambda x: x[0], reverse=True)
     sample = docs.select("id").where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(share)) == 0)).distinct()
-    held = [r["id"] for r in sample.orderBy("id").collect()]
-    limits = list(dict.fromkeys(held[k] for k in range(EACH, len(held), EACH)))
+    # Every EACH-th id of the sample, chosen by the executors.
+    every = F.transform(F.sequence(F.lit(EACH), F.size("ids") - 1, F.lit(EACH)), lambda k: F.get("ids", k))
+    limits = sample.agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.when(F.size("ids") > EACH, every).alias("limits")).first()["limits"] or []
     kind = docs.schema["id"].dataType
     lit = lambda xs: F.array(*(F.lit(x).cast(kind) for x in xs)).cast(f"array<{kind.simpleString()}>")
     beyond = lambda xs: F.size(F.filter(xs, lambda x: x >= F.col("id")))
@@ -104,17 +107,22 @@ def boxes(docs: DataFrame) -> Column:
     part = F.array(*(lit(g) for g in groups)) if groups else F.array(lit([]))
     whole = F.greatest(F.lit(len(groups)) - higher - 1, F.lit(0))
     inside = F.coalesce(F.size(F.get(part, whole)) - beyond(F.get(part, whole)), F.lit(0))
-    below = whole * FAN + inside
-    no_id = F.lit(MAX_BOXES) + F.floor((F.shiftrightunsigned("text_hash", 32)) * NO_ID_BOXES / (1 << 32)).cast("int")
-    box = F.when(F.col("id").isNull(), no_id).otherwise(F.lit(len(limits)) - below)
+    box = (F.lit(len(limits)) - (whole * FAN + inside)).cast("long")
+    places = 1
     if hot:
-        # Within its range, an id is behind, among or before the hot ones; a hot one is parted further, in the order of its rows.
-        among, before = F.array_contains(lit(hot), F.col("id")), beyond(lit(hot))
-        part = F.least(F.floor((F.col("text_hash") / 2.0**64 + 0.5) * HOT_BOXES), F.lit(HOT_BOXES - 1))
-        within = F.when(among, (2 * before - 1) * HOT_BOXES + part).otherwise(2 * before * HOT_BOXES)
-        box = box * ((2 * len(hot) + 1) * HOT_BOXES) + F.coalesce(within, F.lit(0))
+        # Within its range, an id is before, among or behind the hot ones; one of these has its parts, in the order of its rows.
+        first = [1]
+        for _, k in hot:
+            first.append(first[-1] + k + 1)
+        places = first[-1]
+        numbers = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+        names = lit([i for i, _ in hot])
+        among, before = F.array_contains(names, F.col("id")), beyond(names)
+        part = F.get(numbers(first), before - 1) + within_hash(F.get(numbers([k for _, k in hot]), before - 1))
+        box = box * places + F.when(among, part).otherwise(F.get(numbers(first), before) - 1)
+    box = F.when(F.col("id").isNull(), F.lit((len(limits) + 1) * places) + within_hash(F.lit(parts(held["no_id"])))).otherwise(box)
     # Never null, and told so, or the joins by range would filter what they read and not share it.
-    return F.coalesce(box.cast("int"), F.lit(0))
+    return F.coalesce(box.cast("long"), F.lit(0).cast("long"))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -127,10 +135,11 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    docs = docs.withColumn("box", boxes(docs))
-    # MAX_BOXES + NO_ID_BOXES + 1 rows at most, and HOT_BOXES for each hot id.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.withColumn("box", boxes(docs, size))
+    # As many rows as there are boxes: the ranges, and parts of hot ids and of rows without one, are some 3 * MAX_BOXES at most.
     filled = sorted(r["box"] for r in docs.select("box").distinct().collect())
-    follows = spark.createDataFrame(list(zip(filled, filled[1:] + filled[:1], strict=True)), "tail_box int, head_box int")
+    follows = spark.createDataFrame(list(zip(filled, filled[1:] + filled[:1], strict=True)), "tail_box long, head_box long")
     # All three uses below read the same plain columns of the same exchange, which Spark then runs once.
     rows = docs.select("id", "text", "text_hash", "box").repartition("box")
     order = Window.partitionBy("box").orderBy(F.desc("id"), "text_hash", "text")

@@ -307,6 +307,29 @@ def test_fingerprints_of_an_id_of_very_many_rows(spark, frame):
     assert got[named[-1][1]].startswith("none") and sum(v == named[0][1] for v in got.values()) == 1
 
 
+@pytest.mark.parametrize("hot", [30, None])
+def test_boxes_of_fingerprints_follow_bytes(spark, frame, monkeypatch, hot):
+    """Where the input asks for more ranges, an id or the rows without one have more, too, in the order of the rows."""
+    from pyspark.sql import functions as F
+
+    from evidentia.llm import fingerprints
+
+    rows = [(i, f"text {i}") for i in range(2000)] + [(hot, f"hot {i}") for i in range(2000)] + [(31, f"warm {i}") for i in range(300)]
+    held = frame(rows).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+    few = held.withColumn("box", fingerprints.boxes(held))
+    many = held.withColumn("box", fingerprints.boxes(held, 200 * fingerprints.BOX_BYTES))
+    widest = [max(r["count"] for r in x.groupBy("box").count().collect()) for x in (few, many)]
+    assert widest[1] < 100 < widest[0]
+    # Boxes are in the order of the rows: ids from the greatest on, none last, rows of one id by their hash.
+    boxes = [r["box"] for r in many.orderBy(F.desc_nulls_last("id"), "text_hash").collect()]
+    assert boxes == sorted(boxes)
+    monkeypatch.setattr(fingerprints, "BOX_BYTES", 100)
+    docs = frame(rows)
+    order = docs.select("text", "doc_id", F.xxhash64("text").alias("h")).orderBy(F.desc_nulls_last("doc_id"), "h").collect()
+    after = {r["text"]: r["next_text"] for r in fingerprints.with_next(docs, "doc_id", "text").collect()}
+    assert len(after) == len(rows) and all(after[a["text"]] == b["text"] for a, b in zip(order, order[1:] + order[:1], strict=True))
+
+
 def test_token_file_shards_follow_bytes(spark, frame, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "SHARD_BYTES", 40_000)
     monkeypatch.setattr(token_files, "WEIGHT", 1_000)
