@@ -107,3 +107,33 @@ def test_scan_by_an_index(spark, chunks, tmp_path):
     mapping = Mapping.of("public.chunks", "content", "embedding")
     one, two = (scan(table, mapping, "id", limits=Limits(None, 100), index=kept) for kept in (None, vectors_store.read(spark, str(tmp_path))))
     assert one.stats["nearDuplicatePairs"] >= 20 and one.stats == two.stats and one.score == two.score
+
+
+def test_probes_of_many_lists_are_sent_once(spark):
+    """What goes to each task, and what a task gives back, does not grow with the lists that a probe looks into."""
+    from pyspark import cloudpickle
+
+    rng = np.random.default_rng(7)
+    lists, d = 200, 32
+    vectors = rng.normal(size=(600, d)).astype("float32")
+    df = spark.createDataFrame([(f"r{i}", i, v.tolist(), i % lists) for i, v in enumerate(vectors)], "ref string, ord long, embedding array<float>, cell int").repartition(3)
+    rows = [(f"r{i}", i, vectors[i].astype(float)) for i in range(100)]
+
+    class Told:
+        def mapInArrow(self, run, schema):
+            self.sent = len(cloudpickle.dumps(run))
+            self.given = df.mapInArrow(run, schema).count()
+            return df.mapInArrow(run, schema)
+
+    told = Told()
+    got = {r["ref"]: (r["neighbor_ref"], r["similarity"]) for r in knn.best_of(spark, rows, [list(range(lists))] * 100, told).collect()}
+    assert told.sent < 100 * (8 * d + 8 * lists) + 100_000 and told.given <= 3 * 100
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    likeness = unit[:100] @ unit.T
+    likeness[np.arange(100), np.arange(100)] = -2
+    assert all(got[f"r{i}"] == (f"r{likeness[i].argmax()}", pytest.approx(likeness[i].max(), abs=1e-11)) for i in range(100))
+    # Equal likenesses over cells and batches: the first by order; lists that a probe does not ask for are not looked at.
+    same = spark.createDataFrame([("a", 9, [1.0, 0.0], 1), ("b", 5, [2.0, 0.0], 2), ("c", 7, [3.0, 0.0], 0), ("d", 1, [1.0, 0.0], 3)], "ref string, ord long, embedding array<float>, cell int")
+    for n in (1, 4):
+        (r,) = knn.best_of(spark, [("p", 0, np.array([1.0, 0.0]))], [[0, 1, 2]], same.repartition(n)).collect()
+        assert (r["neighbor_ref"], r["neighbor_ord"]) == ("b", 5)
