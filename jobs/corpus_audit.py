@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from evidentia.functions.vectors import dims
 from evidentia.operators.duplicates import keepers
 from evidentia.operators.features import Thresholds, features
 from evidentia.sources.chunks import chunk_view
@@ -26,21 +27,25 @@ UNKNOWN = "unknown"
 
 
 def chunks(spark: SparkSession, folder: str, config: dict) -> DataFrame:
-    """The chunk table with its vectors: key, content, source, language, embedding. Of several vectors of one key the longest is taken."""
+    """The chunk table: key, content, source, language."""
     held = spark.read.parquet(f"{folder}/{config['chunks']}")
     text = lambda name: F.coalesce(F.nullif(F.trim(F.col(quoted(config[name])).cast("string")), F.lit("")), F.lit(UNKNOWN))
-    held = held.select(F.col(quoted(config["key"])).alias("key"), F.col(quoted(config["content"])).alias("content"), text("source").alias("source"), text("language").alias("language"))
+    return held.select(F.col(quoted(config["key"])).alias("key"), F.col(quoted(config["content"])).alias("content"), text("source").alias("source"), text("language").alias("language"))
+
+
+def lengths(spark: SparkSession, folder: str, config: dict) -> DataFrame:
+    """The length of each key's vector, of several the longest: key, dims."""
     v = config["vectors"]
-    vectors = spark.read.parquet(f"{folder}/{v['table']}").select(F.col(quoted(v["key"])).alias("key"), F.col(quoted(v["column"])).alias("embedding"))
-    vectors = vectors.groupBy("key").agg(F.max_by("embedding", F.struct(F.size("embedding"), F.xxhash64("embedding"))).alias("embedding"))
-    return held.join(vectors, "key", "left")
+    vectors = spark.read.parquet(f"{folder}/{v['table']}").select(F.col(quoted(v["key"])).alias("key"), dims(F.col(quoted(v["column"]))).alias("dims"))
+    return vectors.groupBy("key").agg(F.max("dims").cast("int").alias("dims"))
 
 
-def judged(table: DataFrame, config: dict) -> DataFrame:
-    """Each chunk's facts, without its text."""
-    view = chunk_view(table, Mapping.of("chunks", "content", "embedding"), "key", keep=("source", "language"))
+def judged(table: DataFrame, vectors: DataFrame, config: dict) -> DataFrame:
+    """Each chunk's facts, without its text. Texts are judged where they are read; facts and lengths alone are moved to meet."""
+    view = chunk_view(table.withColumn("embedding", F.lit(None).cast("array<float>")), Mapping.of("chunks", "content", "embedding"), "key", keep=("key", "source", "language"))
     rows = features(view, Thresholds(**config["thresholds"]))
-    return rows.select("ref", "ord", "source", "language", "content_hash", F.col("length").cast("long").alias("length"), "thin_reason", "risk", F.col("embedding_dims").cast("int").alias("dims"))
+    rows = rows.select("key", "ref", "ord", "source", "language", "content_hash", F.col("length").cast("long").alias("length"), "thin_reason", "risk")
+    return rows.join(vectors, "key", "left").drop("key")
 
 
 def actions(rows: DataFrame, usual_dims: int | None, large_chars: int) -> DataFrame:
@@ -68,7 +73,7 @@ def actions(rows: DataFrame, usual_dims: int | None, large_chars: int) -> DataFr
 def run(spark: SparkSession, input: str, output: str, config: dict | None = None) -> dict[str, int]:
     """Audit the chunk table under --input and write the work list under --output, by language. A rerun replaces it as a whole."""
     config = config or _run.defaults(__file__)
-    facts = judged(chunks(spark, input, config), config).persist(StorageLevel.DISK_ONLY)
+    facts = judged(chunks(spark, input, config), lengths(spark, input, config), config).persist(StorageLevel.DISK_ONLY)
     try:
         usual = facts.where("dims is not null").groupBy("dims").count().orderBy(F.desc("count"), "dims").first()
         log.info("read %s: %d chunks, vectors of %s", f"{input}/{config['chunks']}", facts.count(), usual["dims"] if usual else "no length")

@@ -163,3 +163,15 @@ def test_jobs_need_nothing_of_the_training_data_operators():
     top = Path(__file__).resolve().parents[1]
     for p in [*(top / "jobs").glob("*.py"), Path(__file__)]:
         assert "evidentia" + ".llm" not in p.read_text() and "corpus_" + "pipeline" not in p.read_text()
+
+
+def test_audit_moves_no_text(spark, tmp_path):
+    """Texts are judged before facts meet the lengths of vectors: what is shuffled holds none."""
+    tables(spark, tmp_path / "in")
+    config = _run.defaults(corpus_audit.__file__)
+    facts = corpus_audit.judged(corpus_audit.chunks(spark, str(tmp_path / "in"), config), corpus_audit.lengths(spark, str(tmp_path / "in"), config), config)
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join LeftOuter")
+    assert "regexp_replace" not in plan[:join] and "regexp_replace" in plan[join:]
+    held = {r["ref"]: r["dims"] for r in facts.collect()}
+    assert held["1"] == 4 and held["11"] is None and held["12"] == 3 and held[None] is None and facts.count() == len(ROWS)
