@@ -68,3 +68,13 @@ def test_locator_values(spark, json, want):
 def test_safe_keys(spark):
     assert one(spark, "tenant_id", M.safe_key) == "tenant_id"
     assert one(spark, "region", M.safe_key).startswith("sha256:")
+
+
+def test_texts_without_signs_are_not_split(spark):
+    """What is cheap to see comes first, and says no only where the whole expression does."""
+    texts = ["one, two\nthree, four\nfive", "a,b,c\n1,2,3\n4,5,6", "a|b|c\r\n---|---|---\r\n1|2|3", "1\t2\t3\n" * 3, "plain", "x — y", "a-b www.c", f"A {NBSP} B", f"a{ZERO} b  c", f"{NBSP}x", " a b ", "É  Ü", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", X.may_hold_rows(F.col("t")).alias("may"), X.table_like(F.col("t")).alias("is"), X.normalized(F.col("t")).alias("n"), F.col("t").rlike(X.LINK_SIGN).alias("sign"), X.link_density(F.col("t")).alias("share")).collect()
+    assert [r["may"] for r in got][:5] == [False, True, True, True, False] and all(r["may"] or not r["is"] for r in got) and [r["is"] for r in got][1:4] == [True] * 3
+    assert all(r["sign"] or r["share"] == 0 for r in got) and [r["share"] for r in got][4:7] == [0.0, pytest.approx(1 / 3), 0.5]
+    assert [r["n"] for r in got][5:] == ["x — y", "a-b www.c", "a b", "a b c", "x", "a b", "é ü", ""]
