@@ -175,3 +175,27 @@ def test_counts_are_of_all_exact_groups(spark, monkeypatch):
     assert telemetry.build(part)["findingCounts"] == telemetry.build(full)["findingCounts"]
     assert [a["title"] for a in part["nextActions"]] == [a["title"] for a in full["nextActions"]]
     assert report.severity_count(part, "warning") == report.severity_count(full, "warning") == 31 and "exact_duplicate  … +7 more" in render.as_text(part)
+
+
+def test_only_neighbours_texts_are_hashed(spark):
+    """A search hashes the texts of probes and neighbours, and a scan none that it has hashed already."""
+    from pyspark.sql import functions as F
+
+    from evidentia.operators import knn
+    from evidentia.sources.chunks import chunk_view
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(text):
+        seen.add(1)
+        return text
+
+    plain = spark.createDataFrame([(i, f"Text {i} of some length.", [float(i % 7), 1.0 + i]) for i in range(300)], "id long, content string, embedding array<float>")
+    table = plain.withColumn("content", F.udf(told, "string")("content"))
+    mapping = Mapping.of("public.chunks", "content", "embedding")
+    want = sorted(tuple(r) for r in knn.nearest_neighbors(chunk_view(plain, mapping, "id"), 3).collect())
+    assert sorted(tuple(r) for r in knn.nearest_neighbors(chunk_view(table, mapping, "id"), 3).collect()) == want and len(want) == 3
+    assert seen.value <= 6
+    seen.value = 0
+    scan(table, mapping, "id", limits=Limits(None, 3))
+    assert seen.value <= 300
