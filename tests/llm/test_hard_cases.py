@@ -273,6 +273,18 @@ def test_suffix_dedup_tells_texts_of_one_id_apart(frame):
     assert sorted(map(len, equal)) == [0, 400, 400]
 
 
+def test_suffix_dedup_looks_for_no_windows_of_copies(frame):
+    """A text that a smaller id has goes whole, by one span, however many windows it has; the first one and what differs are judged as ever."""
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    a = make(3000)
+    rows = [(3, a), *((i, a) for i in range(10, 30)), (40, a + make(200)), (41, a[:99]), (42, a[:99])]
+    spans = {r["id"]: len(r["spans"]) for r in suffix_dedup.repeated_spans(frame(rows), 100, "doc_id", "text").collect()}
+    assert all(spans[i] == 1 for i in range(10, 30)) and 3 not in spans and 41 not in spans and 42 not in spans
+    kept = {r["doc_id"]: (len(r["kept"]), [tuple(x) for x in r["spans"]]) for r in suffix_dedup.remove_repeats(frame(rows)).collect()}
+    assert kept[3] == (3000, []) and all(kept[i] == (0, [(0, 3000)]) for i in range(10, 30)) and kept[40] == (200, [(0, 3000)]) and kept[42] == (99, [])
+
+
 def test_quality_takes_one_row_of_an_id(spark, frame, monkeypatch):
     from evidentia.llm import quality
 
