@@ -1,7 +1,7 @@
 """Work list of a chunk table: one row per chunk with what its owner should do about it, and why.
 
 Owners of a retrieval index act on chunks, not on scores. This job reads a table of chunks and one of vectors, judges every chunk by
-the scan's own detectors and writes the most urgent action of each, by language. Texts are never written.
+the scan's own detectors, by its whole text, and writes the most urgent action of each, by language. Texts are never written.
 
     python -m jobs.corpus_audit --input hdfs:///tables --output hdfs:///audit [--config FILE]
 """
@@ -42,7 +42,7 @@ def lengths(spark: SparkSession, folder: str, config: dict) -> DataFrame:
 
 def judged(table: DataFrame, vectors: DataFrame, config: dict) -> DataFrame:
     """Each chunk's facts, without its text. Texts are judged where they are read; facts and lengths alone are moved to meet."""
-    view = chunk_view(table.withColumn("embedding", F.lit(None).cast("array<float>")), Mapping.of("chunks", "content", "embedding"), "key", keep=("key", "source", "language"))
+    view = chunk_view(table.withColumn("embedding", F.lit(None).cast("array<float>")), Mapping.of("chunks", "content", "embedding"), "key", keep=("key", "source", "language"), chars=None)
     rows = features(view, Thresholds(**config["thresholds"]))
     rows = rows.select("key", "ref", "ord", "source", "language", "content_hash", F.col("length").cast("long").alias("length"), "thin_reason", "risk")
     return rows.join(vectors, "key", "left").drop("key")

@@ -36,6 +36,17 @@ def work(spark, out):
     return sorted((r["ref"] or "", r["action"], r["reason"] or "", r["keep_ref"] or "", r["language"], r["source"]) for r in corpus_audit.read(spark, out).collect())
 
 
+def test_audit_judges_whole_texts(spark, tmp_path):
+    """What stands behind the first 500 characters counts: a secret, a marker, addresses, links, and the sentence's own end."""
+    start = LONG * 4
+    more = {21: start + "use sk-abcdefghij0123456789XYZ now.", 22: start + "TODO: more.", 23: start + "a@b.org c@d.org e.f@g.org h+i@j.org.", 24: "long words " * 50 + "http://a.b " * 300, 25: "and so it goes on " * 60 + "to its end."}
+    tables(spark, tmp_path / "in", [(i, t, "en", "a") for i, t in more.items()])
+    corpus_audit.run(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    found = {r[0]: r[1:3] for r in work(spark, str(tmp_path / "out"))}
+    assert found["21"] == ("purge_secret", "secret") and found["22"] == ("review", "marker") and found["23"] == ("review", "emails") and found["24"] == ("drop_thin", "linkDensity")
+    assert found["25"] == ("embed", "missing")
+
+
 def test_audit(spark, tmp_path, caplog):
     tables(spark, tmp_path / "in")
     with caplog.at_level(logging.INFO, "evidentia.jobs"):

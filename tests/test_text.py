@@ -78,3 +78,14 @@ def test_texts_without_signs_are_not_split(spark):
     assert [r["may"] for r in got][:5] == [False, True, True, True, False] and all(r["may"] or not r["is"] for r in got) and [r["is"] for r in got][1:4] == [True] * 3
     assert all(r["sign"] or r["share"] == 0 for r in got) and [r["share"] for r in got][4:7] == [0.0, pytest.approx(1 / 3), 0.5]
     assert [r["n"] for r in got][5:] == ["x — y", "a-b www.c", "a b", "a b c", "x", "a b", "é ü", ""]
+
+
+def test_long_runs_take_one_look(spark):
+    """Long runs of white space or of an address's characters are passed once, and addresses are the ones a plain search finds."""
+    import time
+
+    texts = ["x" + " " * 200_000 + "y", "b" * 200_000 + " a@b.org", "a@b.c+d@e.f a@b@c.d x@y z.w@v.u.t@s.r"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    began = time.perf_counter()
+    got = [tuple(r) for r in df.select(F.length(X.stripped(F.col("t"))), X.email_count(F.col("t"))).collect()]
+    assert got == [(200_002, 0), (200_008, 1), (37, 4)] and time.perf_counter() - began < 30
