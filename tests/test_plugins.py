@@ -134,3 +134,11 @@ def test_index_relations(spark):
         "plain": (["embedding"], [], ["vector_cosine_ops"], []), "cast": ([], [], ["vector_l2_ops"], ["((embedding)::vector(1536))"]), "wide": (["tenant"], ["id", "embedding"], ["int8_ops", "text_ops"], ["lower(body)"]),
         "gone": ([], [], ["int8_ops"], []), "none": ([], [], [], []), "null": ([], [], [], []),
     }
+
+
+def test_a_detector_sees_whole_texts(spark):
+    """With whole texts asked for, what stands behind the first 500 characters is seen by detectors too."""
+    df = spark.createDataFrame([(1, "Words. " * 100 + "2024", [1.0]), (2, "Words. " * 100, [2.0])], "id long, content string, embedding array<float>")
+    mapping = Mapping.of("public.chunks", "content", "embedding")
+    told = [[f.affected for f in scan(df, mapping, "id", limits=limits, detectors=[numbers()]).findings if f.title == "Chunks hold years"] for limits in (Limits(None, 1), Limits(None, 1, whole_texts=True))]
+    assert told == [[], [1]]
